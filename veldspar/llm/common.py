@@ -114,8 +114,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a chunk: byte offsets, 64-bit hashes and each text's range of words."""
 
-    def __init__(self, texts: list[bytes], lut: np.ndarray = ALNUM, fold: bool = False, hashes: bool = True):
-        joined = b"\n".join(texts) + b"\n"
+    def __init__(self, texts: list[bytes], lut: np.ndarray = ALNUM, fold: bool = False, hashes: bool = True, glue: bytes = b"\n"):
+        joined = glue.join(texts) + glue  # one byte that separates words
         self.raw = np.frombuffer(joined, np.uint8)
         self.norm = lut[self.raw]
         if fold:  # the capitals of the Latin-1 letters, which UTF-8 writes as C3 80 to C3 9E

@@ -6,9 +6,9 @@ lost executors and any store that Spark reaches can hold it):
   blocks/   part int, block int    place of the block; documents ascend with (part, block)
             first long             ids in this part before the block
             docs array<long>, sizes array<int>   ids of the documents and how many token ids each has
-            payload binary         the codes, most significant bit first
+            payload binary         the codes, most significant bit first; a document starts at a whole byte
             lanes binary           little-endian unsigned 16-bit numbers: the bits of each run of LANE
-                                   ids.  Their sums are the bit-offset checkpoints.
+                                   ids of a document.  Their sums are the bit-offset checkpoints.
   code/     id int, bits int       the canonical code: ascending (bits, id) numbers the codes
 
 A decoder starts at every checkpoint of a block at once and looks LIMIT bits up in one
@@ -18,7 +18,6 @@ table for each id.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,14 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, shared_dir
+from .common import Words, as_bytes, chunks, shared_dir, table
 
 #: Bits of the longest code, ids between checkpoints, and ids of a block (a longer document has its own).
 LIMIT, LANE, BLOCK = 16, 64, 1 << 15
 #: Word pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
-SPECIAL = "<|endoftext|>"
-_BESIDE = re.compile(r"\s | \s")
+REMEMBERED = 3_000_000
+_SPACES = [bytes([c]) for c in b"\n\t\r\v\f\x1c\x1d\x1e\x1f"]
+#: Starts of white space beyond ASCII in UTF-8 (and of other characters; such texts go whole).
+_WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+_PIECES = table(separators=b" ", lower=False)
+_CHUNK = 3 << 20
+_odd: dict[str, np.ndarray] = {}
 _tokenizers: dict[int, "ByteTokens"] = {}
 
 
@@ -42,8 +45,11 @@ class ByteTokens:
     """Ids of whole texts by the tokenizers library, with a memory for pieces between spaces.
 
     The pre-tokenizer lets a space stand only at the start of a token that goes on with
-    other characters, so pieces that neither begin nor end with white space are
-    tokenized apart.  Texts with such pieces, or with the special token, go whole.
+    other characters, so a piece that neither begins nor ends with white space is tokenized
+    the same wherever it stands.  Pieces of a chunk are hashed in numpy (64 and 32 bits, two
+    polynomials), the distinct ones looked up in sorted arrays, and the library
+    tokenizes those that a worker hasn't met.  Texts with other pieces, or with the
+    special token, and very long pieces go through the library whole.
     """
 
     def __init__(self, model: bytes):
@@ -53,45 +59,102 @@ class ByteTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model.decode())
-        self.known: dict[str, bytes] = {}
-
-    def regular(self, t: str) -> bool:
+        vocabulary = self.library.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    @staticmethod
+    def regular(t: bytes) -> bool:
         """Whether every piece between spaces can be tokenized apart."""
-        if "  " in t or SPECIAL in t or t[:1].isspace() or t[-1:].isspace():
+        if b"  " in t or b"<|" in t or b"\0" in t or t[:1].isspace() or t[-1:].isspace():
+            return False
+        if any(w in t and (w + b" " in t or b" " + w in t) for w in _SPACES):
             return False
-        if t.isascii():
-            return not any(w in t and (f"{w} " in t or f" {w}" in t) for w in "\n\t\r\v\f\x1c\x1d\x1e\x1f")
-        return not _BESIDE.search(t)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, without any special token added."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, new = self.known, {}
-        cut: list[list[str] | None] = []
-        for t in texts:
-            parts = t.split(" ")[1:] if self.regular(t) else None
-            cut.append(parts)
-            if parts is not None:
-                got = list(map(known.get, parts))
-                if None in got:
-                    new.update((p, None) for p, g in zip(parts, got) if g is None)
-        self.learn(list(new))
-        alone = self.library.encode_batch_fast([t if parts is None else t.partition(" ")[0] for t, parts in zip(texts, cut)], add_special_tokens=False)
-        out = []
-        for parts, e in zip(cut, alone):
-            first = np.array(e.ids, "<u4")
-            out.append(np.frombuffer(first.tobytes() + b"".join(map(known.__getitem__, parts)), "<u4") if parts else first)
-        return out
-
-    def learn(self, pieces: list[str]) -> None:
-        """Tokenize pieces with their space as one text, cut again at the pieces' places."""
-        if pieces:
-            found = self.library.encode(" " + " ".join(pieces), add_special_tokens=False)
-            start = np.cumsum([0, *[len(p) + 1 for p in pieces]])
-            cut = np.searchsorted(np.array([a for a, _ in found.offsets]), start)
-            raw = np.array(found.ids, "<u4").tobytes()
-            self.known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(pieces, cut[:-1].tolist(), cut[1:].tolist()))
+        return t.isascii() or not any(w in t for w in _WIDE)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind one another, without special tokens, and each text's first place (and the end)."""
+        if len(self.hash) > REMEMBERED:
+            self.clear()
+        plain = [self.regular(t) for t in texts]
+        w = Words([t if ok else b"" for t, ok in zip(texts, plain)], _PIECES, glue=b" ")
+        if len(w.start) and int((w.stop - w.start).max()) > 256:
+            long = np.unique(w.text_of()[w.stop - w.start > 256])
+            for d in long.tolist():
+                plain[d] = False
+            w = Words([t if ok else b"" for t, ok in zip(texts, plain)], _PIECES, glue=b" ")
+        full = w.counts > 0
+        rest = np.ones(len(w.hash), bool)
+        rest[w.ptr[:-1][full]] = False  # first pieces have no space before them
+        alone = [t if not ok else t.partition(b" ")[0] for t, ok in zip(texts, plain)]
+        got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in alone], add_special_tokens=False)]
+        own, first, back = np.unique(w.hash[rest], return_index=True, return_inverse=True)
+        check = _second(w, rest)
+        if (check[first][back] != check).any():  # two pieces with one hash: the library takes the chunk whole
+            got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            return np.concatenate(got), np.cumsum([0, *map(len, got)])
+        at = self.find(own, check[first], w, np.flatnonzero(rest)[first])
+        # a table for this chunk: the distinct pieces, then each text's own start
+        heads = np.array([len(g) for g in got], np.int64)
+        size = np.concatenate([self.size[at], heads])
+        place = np.concatenate([self.place[at], self.used + np.cumsum(heads) - heads])
+        flat = np.concatenate([self.flat[: self.used], *got])
+        order = np.empty(len(w.hash), np.int64)
+        order[rest] = back
+        order[~rest] = len(own) + np.flatnonzero(full)
+        order = np.insert(order, w.ptr[:-1][~full], len(own) + np.flatnonzero(~full))
+        sizes = size[order]
+        end = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(place[order] - end[:-1], sizes) + np.arange(end[-1])]
+        return ids, end[np.concatenate([[0], np.cumsum(np.maximum(w.counts, 1))])]
+
+    def find(self, own: np.ndarray, check: np.ndarray, w: Words, words: np.ndarray) -> np.ndarray:
+        """Rows of the memory for distinct pieces; new ones are tokenized."""
+        at, seen = self._look(own, check)
+        if not seen.all():
+            new = np.flatnonzero(~seen)
+            pieces = [w.raw[a:b].tobytes() for a, b in zip(w.start[words[new]], w.stop[words[new]])]
+            found = self.library.encode_batch_fast([(b" " + b" ".join(pieces)).decode("utf-8", "replace")], add_special_tokens=False)[0]
+            ids = np.array(found.ids, np.uint32)
+            edge = np.cumsum([0, *[len(p) + 1 for p in pieces]])
+            cut = np.searchsorted(np.cumsum(self.bytes[ids]) - self.bytes[ids], edge)
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            keep = ~np.isin(self.hash, own[new])  # a hash whose check differs is replaced
+            hash_ = np.concatenate([self.hash[keep], own[new]])
+            order = np.argsort(hash_, kind="stable")
+            self.hash = hash_[order]
+            for name, value in (("check", check[new]), ("place", self.used + cut[:-1]), ("size", np.diff(cut))):
+                setattr(self, name, np.concatenate([getattr(self, name)[keep], value])[order])
+            self.used += len(ids)
+            at, _ = self._look(own, check)
+        return at
+
+    def _look(self, own: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.hash):
+            return np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+        at = np.minimum(np.searchsorted(self.hash, own), len(self.hash) - 1)
+        return at, (self.hash[at] == own) & (self.check[at] == check)
+
+
+def _second(w: Words, some: np.ndarray) -> np.ndarray:
+    """Another hash of the pieces, of 32 bits."""
+    n = len(w.norm)
+    if len(_odd.get("up", ())) < n:
+        for name, base in (("up", 0x01000193), ("down", pow(0x01000193, -1, 1 << 32))):
+            one = np.full(max(n, 3 << 20), base, np.uint32)
+            one[0] = 1
+            _odd[name] = np.multiply.accumulate(one, dtype=np.uint32)
+    total = np.zeros(n + 1, np.uint32)
+    np.cumsum((w.norm.astype(np.uint32) + np.uint32(77)) * _odd["up"][:n], out=total[1:])
+    return (total[w.stop[some]] - total[w.start[some]]) * _odd["down"][w.start[some]]
 
 
 def tokens(model: bytes) -> ByteTokens:
@@ -161,43 +224,46 @@ class Code:
             self.symbol[at : at + width], self.step[at : at + width] = i, lengths[i]
             at += width
 
-    def pack(self, ids: np.ndarray) -> tuple[bytes, bytes]:
-        """(payload, lanes) of a block's ids."""
-        n = len(ids)
-        if not n:
-            return b"", b""
+    def pack(self, ids: np.ndarray, ptr: np.ndarray | None = None) -> tuple[list[int], list[bytes], list[bytes]]:
+        """(sizes, payloads, lanes) of the texts ids[ptr[i]:ptr[i + 1]]; each starts at a whole byte."""
+        ptr = np.array([0, len(ids)]) if ptr is None else ptr
+        n = np.diff(ptr)
         bits = self.bits[ids]
-        end = np.cumsum(bits)
-        off = end - bits
-        word = off >> 5
-        wide = self.codes[ids] << (64 - (off & 31) - bits).astype(np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        both = np.bitwise_or.reduceat(wide, first)
-        out = np.zeros((int(end[-1]) >> 5) + 2, np.uint64)
-        out[word[first]] = both >> np.uint64(32)
-        out[word[first] + 1] |= both & np.uint64(0xFFFFFFFF)
-        payload = out.astype(">u4").tobytes()[: (int(end[-1]) + 7) // 8]
-        mark = np.concatenate([end[LANE - 1 :: LANE], end[-1:] if n % LANE else []]).astype(np.int64)
-        return payload, np.diff(mark, prepend=0).astype("<u2").tobytes()
-
-    def unpack(self, payload: bytes, lanes: bytes, n: int) -> np.ndarray:
-        """The n ids of a block."""
-        return self.unpack_all([(n, payload, lanes)])
-
-    def unpack_all(self, blocks: list[tuple[int, bytes, bytes]]) -> np.ndarray:
-        """The ids of several (n, payload, lanes), behind one another: all lanes step together, one table look-up each."""
-        raw = np.frombuffer(b"".join([p for _, p, _ in blocks]) + b"\0" * 4, np.uint8).astype(np.uint32)
+        end = np.concatenate([[0], np.cumsum(bits)])
+        own = end[ptr[1:]] - end[ptr[:-1]]
+        byte = np.concatenate([[0], np.cumsum((own + 7) // 8)])
+        shift = 8 * byte[:-1] - end[ptr[:-1]]
+        off = end[:-1] + np.repeat(shift, n)
+        out = np.zeros((int(byte[-1]) >> 2) + 2, np.uint64)
+        if len(ids):
+            word = off >> 5
+            wide = self.codes[ids] << (64 - (off & 31) - bits).astype(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            both = np.bitwise_or.reduceat(wide, first)
+            out[word[first]] = both >> np.uint64(32)
+            out[word[first] + 1] |= both & np.uint64(0xFFFFFFFF)
+        raw = out.astype(">u4").tobytes()
+        per = -(-n // LANE)
+        lane = np.concatenate([[0], np.cumsum(per)])
+        mark = np.repeat(ptr[:-1] - LANE * lane[:-1], per) + LANE * np.arange(lane[-1])
+        stop = np.minimum(mark + LANE, np.repeat(ptr[1:], per))
+        steps = (end[stop] - end[mark]).astype("<u2").tobytes()
+        return n.tolist(), [raw[a:b] for a, b in zip(byte[:-1], byte[1:])], [steps[2 * a : 2 * b] for a, b in zip(lane[:-1], lane[1:])]
+
+    def unpack(self, payload: bytes, lanes: bytes, sizes: list[int]) -> np.ndarray:
+        """The ids of a block of texts of these sizes: all lanes step together, one table look-up each."""
+        raw = np.frombuffer(payload + b"\0" * 4, np.uint8).astype(np.uint32)
         three = raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]
-        n = np.array([b[0] for b in blocks], np.int64)
+        n = np.array(sizes, np.int64)
         per = -(-n // LANE)
-        size = np.frombuffer(b"".join([b[2] for b in blocks]), "<u2").astype(np.int64)
+        size = np.frombuffer(lanes, "<u2").astype(np.int64)
         if not len(size):
             return np.zeros(0, np.uint32)
-        end = np.cumsum(size)
-        head = np.cumsum(per) - per  # the first lane of each block
-        before = np.concatenate([[0], end])[head]
-        begin = np.cumsum([0] + [8 * len(b[1]) for b in blocks[:-1]])
-        at = end - size + np.repeat(begin - before, per)
+        end = np.concatenate([[0], np.cumsum(size)])
+        head = np.cumsum(per) - per  # the first lane of each text
+        bits = end[head + per] - end[head]
+        byte = np.cumsum((bits + 7) // 8) - (bits + 7) // 8
+        at = end[:-1] + np.repeat(8 * byte - end[head], per)
         fill = np.full(len(at), LANE, np.int64)
         fill[(head + per - 1)[per > 0]] = (n - (per - 1) * LANE)[per > 0]
         out = np.zeros((LANE, len(at)), np.uint32)
@@ -214,9 +280,8 @@ def _counted(model, end: int):
     def run(batches):
         t = tokens(model.value)
         total = np.zeros(1 << 16, np.int64)
-        for _, texts in chunks(batches):
-            some = t.encode([x.decode("utf-8", "replace") for x in texts])
-            count = np.bincount(np.concatenate(some) if some else [], minlength=len(total))
+        for _, texts in chunks(batches, _CHUNK):
+            count = np.bincount(t.encode(texts)[0], minlength=len(total))
             count[end] += len(texts)
             if len(count) > len(total):
                 total = np.pad(total, (0, len(count) - len(total)))
@@ -230,29 +295,24 @@ def _counted(model, end: int):
 def _packed(model, code, end: int):
     def run(batches):
         t, c = tokens(model.value), code.value
-        for columns, texts in chunks(batches):
-            out = []
-            for ids in t.encode([x.decode("utf-8", "replace") for x in texts]):
-                out.append((len(ids) + 1, *c.pack(np.concatenate([ids, np.array([end], np.uint32)]))))
-            n, payload, lanes = zip(*out)
+        for columns, texts in chunks(batches, _CHUNK):
+            ids, ptr = t.encode(texts)
+            n, payload, lanes = c.pack(np.insert(ids, ptr[1:], np.uint32(end)), ptr + np.arange(len(ptr)))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(payload, pa.binary()), pa.array(lanes, pa.binary())], names=["part", "doc_id", "n", "payload", "lanes"])
 
     return run
 
 
-def _blocks(code):
-    """Sorted documents to blocks; the documents' codes are laid behind one another anew."""
+def _blocks():
+    """Sorted documents to blocks: their codes behind one another, each from a whole byte."""
 
     def run(batches):
-        c = code.value
         part, number, before, held, size = None, 0, 0, [], 0
 
         def block():
             nonlocal number, before, held, size
-            ids = c.unpack_all([x[1:] for x in held])
-            payload, lanes = c.pack(ids)
-            row = (part, number, before, [x[0] for x in held], [x[1] for x in held], payload, lanes)
-            number, before, held, size = number + 1, before + len(ids), [], 0
+            row = (part, number, before, [x[0] for x in held], [x[1] for x in held], b"".join([x[2] for x in held]), b"".join([x[3] for x in held]))
+            number, before, held, size = number + 1, before + size, [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
@@ -276,7 +336,7 @@ _BLOCK_DDL = "part int, block int, first long, docs array<long>, sizes array<int
 def decode_blocks(code: Code, batch: pa.RecordBatch) -> Iterator[tuple]:
     """(part, ids in the part before the document, doc_id, its ids) of each document in the blocks."""
     for part, _, first, docs, sizes, payload, lanes in zip(*(x.to_pylist() for x in batch.columns)):
-        ids = code.unpack(payload, lanes, sum(sizes))
+        ids = code.unpack(payload, lanes, sizes)
         low = 0
         for doc, n in zip(docs, sizes):
             yield part, first + low, doc, ids[low : low + n]
@@ -319,7 +379,7 @@ def write(docs: DataFrame, path: str, model_path: str, end: int = 0) -> None:
         place = F.aggregate(F.array(*map(F.lit, sorted(set(cuts)))), F.lit(0), lambda n, c: n + F.when(F.col("doc_id") > c, 1).otherwise(0))
     coded = as_bytes(docs.withColumn("part", place), "part", "doc_id").mapInArrow(_packed(model, code, end), "part int, doc_id long, n int, payload binary, lanes binary")
     dealt = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n", F.xxhash64("payload"))
-    dealt.mapInArrow(_blocks(code), _BLOCK_DDL).write.parquet(f"{path}/blocks")
+    dealt.mapInArrow(_blocks(), _BLOCK_DDL).write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
