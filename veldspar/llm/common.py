@@ -53,8 +53,17 @@ def forget(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Let Arrow batches end at about 4 MB, so that memory doesn't follow the length of texts; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "")
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > limit:
+        spark.conf.set(key, str(limit))
+
+
 def as_bytes(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The kept columns, then the text as UTF-8 bytes (null stays null)."""
+    small_batches(docs.sparkSession)
     return docs.select(*keep, F.col(text).cast("binary").alias("_bytes"))
 
 

@@ -31,7 +31,7 @@ from .common import Words, as_bytes, chunks, shared_dir, table
 #: Bits of the longest code, ids between checkpoints, and ids of a block (a longer document has its own).
 LIMIT, LANE, BLOCK = 16, 64, 1 << 15
 #: Word pieces that a worker remembers before it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 2_000_000
 _SPACES = [bytes([c]) for c in b"\n\t\r\v\f\x1c\x1d\x1e\x1f"]
 #: Starts of white space beyond ASCII in UTF-8 (and of other characters; such texts go whole).
 _WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
@@ -104,7 +104,8 @@ class ByteTokens:
         heads = np.array([len(g) for g in got], np.int64)
         size = np.concatenate([self.size[at], heads])
         place = np.concatenate([self.place[at], self.used + np.cumsum(heads) - heads])
-        flat = np.concatenate([self.flat[: self.used], *got])
+        self.put(np.concatenate(got))  # behind what is remembered, and overwritten by the next chunk
+        flat = self.flat
         order = np.empty(len(w.hash), np.int64)
         order[rest] = back
         order[~rest] = len(own) + np.flatnonzero(full)
@@ -124,19 +125,24 @@ class ByteTokens:
             ids = np.array(found.ids, np.uint32)
             edge = np.cumsum([0, *[len(p) + 1 for p in pieces]])
             cut = np.searchsorted(np.cumsum(self.bytes[ids]) - self.bytes[ids], edge)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            keep = ~np.isin(self.hash, own[new])  # a hash whose check differs is replaced
-            hash_ = np.concatenate([self.hash[keep], own[new]])
-            order = np.argsort(hash_, kind="stable")
-            self.hash = hash_[order]
-            for name, value in (("check", check[new]), ("place", self.used + cut[:-1]), ("size", np.diff(cut))):
-                setattr(self, name, np.concatenate([getattr(self, name)[keep], value])[order])
+            self.put(ids)
+            value = {"hash": own[new], "check": check[new], "place": self.used + cut[:-1], "size": np.diff(cut)}
             self.used += len(ids)
+            there = np.searchsorted(self.hash, own[new])
+            clash = np.append(self.hash, 0)[there] == own[new] if len(self.hash) else np.zeros(len(new), bool)
+            for name, v in value.items():
+                old = getattr(self, name)
+                old[there[clash]] = v[clash]  # one hash, two checks: the later piece is remembered
+                setattr(self, name, np.insert(old, there[~clash], v[~clash]))
             at, _ = self._look(own, check)
         return at
 
+    def put(self, ids: np.ndarray) -> None:
+        """Write ids behind the remembered ones."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(len(ids) + self.used // 2, np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+
     def _look(self, own: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.hash):
             return np.zeros(len(own), np.int64), np.zeros(len(own), bool)

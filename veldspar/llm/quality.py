@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, as_bytes, chunks, segment_sums
+from .common import SPACED, Words, as_bytes, chunks, segment_sums, small_batches
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 20_000
@@ -175,6 +175,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
 
 def keep(docs: DataFrame, trees: Trees, least: float = 0.3) -> DataFrame:
     """The documents whose score is `least` or more, with all their columns, in one pass over the texts."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
