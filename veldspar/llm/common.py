@@ -56,7 +56,7 @@ def forget(spark: SparkSession, path: str) -> None:
 def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
     """Let Arrow batches end at about 4 MB, so that memory doesn't follow the length of texts; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "")
+    now = spark.conf.get(key)
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > limit:
         spark.conf.set(key, str(limit))
 
