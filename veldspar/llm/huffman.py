@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, chunks, shared_dir, table
+from .common import Words, as_bytes, chunks, forget, shared_dir, table
 
 #: Bits of the longest code, ids between checkpoints, and ids of a block (a longer document has its own).
 LIMIT, LANE, BLOCK = 16, 64, 1 << 15
@@ -282,29 +282,53 @@ class Code:
         return out.T[np.arange(LANE) < fill[:, None]]
 
 
-def _counted(model, end: int):
+def _tokenized(model, end: int):
+    """Ids of each text and the end id, a byte plane a column: planes press better than whole numbers."""
+
     def run(batches):
         t = tokens(model.value)
-        total = np.zeros(1 << 16, np.int64)
-        for _, texts in chunks(batches, _CHUNK):
-            count = np.bincount(t.encode(texts)[0], minlength=len(total))
-            count[end] += len(texts)
-            if len(count) > len(total):
-                total = np.pad(total, (0, len(count) - len(total)))
-            total += count
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], names=["id", "n"])
+        for columns, texts in chunks(batches, _CHUNK):
+            ids, ptr = t.encode(texts)
+            ids = np.insert(ids, ptr[1:], np.uint32(end))
+            cut = ptr + np.arange(len(ptr))
+            planes = []
+            for shift in (0, 8, 16):
+                raw = (ids >> np.uint32(shift)).astype(np.uint8).tobytes()
+                some = shift < 16 or any(raw)
+                planes.append(pa.array([raw[a:b] if some else b"" for a, b in zip(cut[:-1], cut[1:])], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*columns, *planes], names=["part", "doc_id", "low", "high", "top"])
 
     return run
 
 
-def _packed(model, code, end: int):
+_TOKENS = "part int, doc_id long, low binary, high binary, top binary"
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a batch's texts behind one another, and each text's first place (and the end)."""
+    low, high, top = (batch.column(c).to_pylist() for c in ("low", "high", "top"))
+    ids = np.frombuffer(b"".join(low), np.uint8).astype(np.uint32) | np.frombuffer(b"".join(high), np.uint8).astype(np.uint32) << np.uint32(8)
+    if any(top):
+        ids |= np.frombuffer(b"".join([x or bytes(len(y)) for x, y in zip(top, low)]), np.uint8).astype(np.uint32) << np.uint32(16)
+    return ids, np.cumsum([0, *map(len, low)])
+
+
+def _counted(batches):
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        count = np.bincount(_ids(batch)[0], minlength=len(total))
+        if len(count) > len(total):
+            total = np.pad(total, (0, len(count) - len(total)))
+        total += count
+    ids = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], names=["id", "n"])
+
+
+def _packed(code):
     def run(batches):
-        t, c = tokens(model.value), code.value
-        for columns, texts in chunks(batches, _CHUNK):
-            ids, ptr = t.encode(texts)
-            n, payload, lanes = c.pack(np.insert(ids, ptr[1:], np.uint32(end)), ptr + np.arange(len(ptr)))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(payload, pa.binary()), pa.array(lanes, pa.binary())], names=["part", "doc_id", "n", "payload", "lanes"])
+        for batch in batches:
+            n, payload, lanes = code.value.pack(*_ids(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(payload, pa.binary()), pa.array(lanes, pa.binary())], names=["part", "doc_id", "n", "payload", "lanes"])
 
     return run
 
@@ -365,27 +389,31 @@ def _read(code):
 def write(docs: DataFrame, path: str, model_path: str, end: int = 0) -> None:
     """Write the ids of every whole text, each document's followed by `end`, in ascending doc_id order.
 
-    Texts are tokenized twice, for the counts and for the codes, so that what moves between
-    executors and waits on disk is coded.  Documents are dealt to parts by quantiles of doc_id,
-    which a sketch over that column gives; null ids come first.  A null text is empty.
-    Repeated rows are written as often as they stand there.  An empty table gives no block.
+    The ids wait in a table in the shared folder for the counts and then for the codes; it is
+    deleted at the end.  Documents are dealt to parts by quantiles of doc_id, which a sketch over
+    that column gives; null ids come first.  A null text is empty.  Repeated rows are written
+    as often as they stand there.  An empty table gives no block.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("doc_id", docs["doc_id"].cast("long"))
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    counts = as_bytes(docs).mapInArrow(_counted(model, end), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
-    lengths = code_lengths({r.id: r.n for r in counts})
-    spark.createDataFrame(sorted(lengths.items()), "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
-    code = spark.sparkContext.broadcast(Code(lengths))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     place = F.lit(0)
     if cuts:
         place = F.aggregate(F.array(*map(F.lit, sorted(set(cuts)))), F.lit(0), lambda n, c: n + F.when(F.col("doc_id") > c, 1).otherwise(0))
-    coded = as_bytes(docs.withColumn("part", place), "part", "doc_id").mapInArrow(_packed(model, code, end), "part int, doc_id long, n int, payload binary, lanes binary")
+    held = f"{path}/ids"
+    as_bytes(docs.withColumn("part", place), "part", "doc_id").mapInArrow(_tokenized(model, end), _TOKENS).write.option("compression", "zstd").parquet(held)
+    ids = spark.read.schema(_TOKENS).parquet(held)
+    counts = ids.mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
+    lengths = code_lengths({r.id: r.n for r in counts})
+    spark.createDataFrame(sorted(lengths.items()), "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
+    code = spark.sparkContext.broadcast(Code(lengths))
+    coded = ids.mapInArrow(_packed(code), "part int, doc_id long, n int, payload binary, lanes binary")
     dealt = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n", F.xxhash64("payload"))
     dealt.mapInArrow(_blocks(), _BLOCK_DDL).write.parquet(f"{path}/blocks")
+    forget(spark, held)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
