@@ -126,5 +126,5 @@ def scan(docs: DataFrame) -> DataFrame:
     both = scanned.drop("votes").join(there, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left")
     listed = lambda c: F.concat_ws(",", F.array_sort(F.array_distinct(c)))
     labels = F.concat("base", F.coalesce("more", F.array().cast("array<string>")))
-    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.least("cover", F.lit(1.0)), F.lit(0.0)))
+    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.coalesce("cover", F.lit(0.0)), F.lit(1.0)))
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", listed("base").alias("base_labels"), listed(labels).alias("labels"), score.alias("score"))
