@@ -31,7 +31,7 @@ from .common import Words, as_bytes, chunks, forget, shared_dir, table
 #: Bits of the longest code, ids between checkpoints, and ids of a block (a longer document has its own).
 LIMIT, LANE, BLOCK = 16, 64, 1 << 15
 #: Word pieces that a worker remembers before it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_200_000
 _SPACES = [bytes([c]) for c in b"\n\t\r\v\f\x1c\x1d\x1e\x1f"]
 #: Starts of white space beyond ASCII in UTF-8 (and of other characters; such texts go whole).
 _WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]

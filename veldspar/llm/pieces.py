@@ -26,7 +26,7 @@ from .common import as_bytes, chunks
 MARK = "▁"
 LONG = 400
 #: Segments that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 _NONE = np.int64(1 << 40)
 _coders: dict[int, "PieceCoder"] = {}
 
