@@ -171,6 +171,13 @@ def segment_sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return total[ptr[1:]] - total[ptr[:-1]]
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def crc_rest(column: str, modulus: int):
     """crc32 of an id written as text, modulo a number (null for a null id)."""
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, chunks, save
+from .common import Words, as_bytes, chunks, fresh, save
 
 N, RUN = 3, 4
 #: Seeds that a pair shares at least, unless one occurs in the corpus no oftener than RARE times.
@@ -187,5 +187,6 @@ def _one_block(docs: DataFrame, items: DataFrame, reach: int) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents without a leak, with all their columns; rows with a null id stay."""
-    bad = leaks(docs, benchmark, least).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_leaked"], "left_anti")
+    name = fresh(docs, "leaked")
+    bad = leaks(docs, benchmark, least).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col(name), "left_anti")
