@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lab", "funding")
+MODULES = ("lab", "funding", "manuscripts")
 
 
 def _all() -> dict:
