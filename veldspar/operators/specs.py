@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"S?\d+|[A-Za-z]|[-–—]|,|&|and\b", re.ASCII)
+_TOKEN = re.compile(r"S?\d+|and\b|[A-Za-z](?![a-z])|[-–—]|,|&", re.ASCII)
 
 
 def parse(spec: str | None) -> list[dict]:

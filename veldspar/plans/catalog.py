@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lab", "funding", "manuscripts")
+MODULES = ("lab", "funding", "manuscripts", "projects")
 
 
 def _all() -> dict:
