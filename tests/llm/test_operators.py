@@ -232,16 +232,34 @@ def test_passages_are_found(docs, texts):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_chains_equal_the_quadratic_recurrence(seed):
+def test_chains_ascend_in_both_texts(seed):
     r = np.random.default_rng(seed)
     x = np.sort(r.choice(300, 25, replace=False))
     y = np.clip(x + r.integers(-30, 30, 25), 0, None)
     got = substrings.chain(x, y)
-    assert sorted(got)[0][0] == x.min() and all(a < b and c < d for a, b, c, d in got)
+    assert min(c[0][0] for c in got) == x.min()
+    assert all(s[k][1] <= s[k + 1][0] and s[k][3] <= s[k + 1][2] for s in got for k in range(len(s) - 1))
     straight = substrings.chain(np.arange(0, 60, 5), np.arange(100, 160, 5))
-    assert straight == [(0, 55 + substrings.K, 100, 155 + substrings.K)]
+    assert straight == [[(0, 55 + substrings.K, 100, 155 + substrings.K)]]
     moved = substrings.chain(np.array([0, 10, 25, 40]), np.array([100, 110, 128, 143]))
-    assert moved == [(0, 40 + substrings.K, 100, 143 + substrings.K)]
+    assert moved == [[(0, 10 + substrings.K, 100, 110 + substrings.K), (25, 40 + substrings.K, 128, 143 + substrings.K)]]
+
+
+def test_chains_are_cut_where_a_gap_disagrees():
+    r = np.random.default_rng(2)
+    a, b = r.integers(0, 60000, 130).astype(np.uint16), r.integers(0, 60000, 130).astype(np.uint16)
+    b[:20], b[55:] = a[:20], a[55:]
+    got = substrings.pieces(a, b, [(2, 18, 2, 18), (58, 120, 58, 120)])
+    assert [g[:4] for g in got] == [(0, 20, 0, 20), (55, 130, 55, 130)]
+    b[20:55:2] = a[20:55:2]
+    assert [g[:4] for g in substrings.pieces(a, b, [(2, 18, 2, 18), (58, 120, 58, 120)])] == [(0, 130, 0, 130)]
+
+
+@pytest.mark.parametrize("turn", ["und", "the, cat", "one two three four"])
+def test_loops_are_passages(spark, turn):
+    rows_ = [(1, "First of all here " + (turn + " ") * 70), (2, "then some other words stand " + turn.split()[-1] + " " + (turn + " ") * 70 + " the end"), (3, (turn + " ") * 2 + "and nothing more of it")]
+    got = {r.doc_id: r for r in substrings.passages(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert set(got) == {2} and got[2].others == [1] and got[2].n_words >= 66 * len(turn.split())
 
 
 def test_common_words():
