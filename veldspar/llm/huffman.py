@@ -31,7 +31,7 @@ from .common import Words, as_bytes, chunks, forget, shared_dir, table
 #: Bits of the longest code, ids between checkpoints, and ids of a block (a longer document has its own).
 LIMIT, LANE, BLOCK = 16, 64, 1 << 15
 #: Word pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_500_000
 _SPACES = [bytes([c]) for c in b"\n\t\r\v\f\x1c\x1d\x1e\x1f"]
 #: Starts of white space beyond ASCII in UTF-8 (and of other characters; such texts go whole).
 _WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
@@ -68,6 +68,19 @@ class ByteTokens:
         self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.again = np.zeros(0, bool)  # pieces that were met after their first chunk
+
+    def trim(self) -> None:
+        """Forget the pieces that didn't come back."""
+        keep = np.flatnonzero(self.again)
+        if 4 * len(keep) > 3 * REMEMBERED:
+            self.clear()
+            return
+        size = self.size[keep]
+        end = np.cumsum(size)
+        flat = self.flat[np.repeat(self.place[keep] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        self.hash, self.check, self.size, self.place, self.again = self.hash[keep], self.check[keep], size, end - size, np.zeros(len(keep), bool)
+        self.flat, self.used = flat, len(flat)
 
     @staticmethod
     def regular(t: bytes) -> bool:
@@ -81,7 +94,7 @@ class ByteTokens:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts behind one another, without special tokens, and each text's first place (and the end)."""
         if len(self.hash) > REMEMBERED:
-            self.clear()
+            self.trim()
         plain = [self.regular(t) for t in texts]
         w = Words([t if ok else b"" for t, ok in zip(texts, plain)], _PIECES, glue=b" ")
         if len(w.start) and int((w.stop - w.start).max()) > 256:
@@ -118,6 +131,7 @@ class ByteTokens:
     def find(self, own: np.ndarray, check: np.ndarray, w: Words, words: np.ndarray) -> np.ndarray:
         """Rows of the memory for distinct pieces; new ones are tokenized."""
         at, seen = self._look(own, check)
+        self.again[at[seen]] = True
         if not seen.all():
             new = np.flatnonzero(~seen)
             pieces = [w.raw[a:b].tobytes() for a, b in zip(w.start[words[new]], w.stop[words[new]])]
@@ -126,7 +140,7 @@ class ByteTokens:
             edge = np.cumsum([0, *[len(p) + 1 for p in pieces]])
             cut = np.searchsorted(np.cumsum(self.bytes[ids]) - self.bytes[ids], edge)
             self.put(ids)
-            value = {"hash": own[new], "check": check[new], "place": self.used + cut[:-1], "size": np.diff(cut)}
+            value = {"hash": own[new], "check": check[new], "place": self.used + cut[:-1], "size": np.diff(cut), "again": np.zeros(len(new), bool)}
             self.used += len(ids)
             there = np.searchsorted(self.hash, own[new])
             clash = np.append(self.hash, 0)[there] == own[new] if len(self.hash) else np.zeros(len(new), bool)
