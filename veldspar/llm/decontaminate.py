@@ -49,6 +49,25 @@ def _counts(grams):
     return run
 
 
+def _windows(at: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last hit of each run of hits, runs longer than 12 * reach words cut to windows.
+
+    Windows overlap by 3 * reach words.  No alignment with a positive score is wider (an item's words, and
+    MATCH gaps for each), so each lies in a window whole, with its seeds.
+    """
+    wide = 12 * reach
+    if not (at[last] - at[first] > wide).any():
+        return first, last
+    lows, highs = [], []
+    for a, b in zip(first.tolist(), last.tolist()):
+        step = np.arange(at[a], max(at[b] - 3 * reach, at[a]) + 1, wide - 3 * reach)
+        low = a + np.searchsorted(at[a : b + 1], step)
+        high = a + np.searchsorted(at[a : b + 1], step + wide, side="right") - 1
+        lows.append(low)
+        highs.append(high)
+    return np.concatenate(lows), np.concatenate(highs)
+
+
 def _passages(seeds, reach: int):
     def run(batches):
         known = seeds.value
@@ -63,7 +82,7 @@ def _passages(seeds, reach: int):
             who = w.text_of()[at]
             new = np.concatenate([[True], (who[1:] != who[:-1]) | (np.diff(at) > reach)])
             first = np.flatnonzero(new)
-            last = np.concatenate([first[1:], [len(at)]]) - 1
+            first, last = _windows(at, first, np.concatenate([first[1:], [len(at)]]) - 1, reach)
             doc = who[first]
             low = np.maximum(at[first] - reach, w.ptr[doc])
             high = np.minimum(at[last] + N + reach, w.ptr[doc + 1])
