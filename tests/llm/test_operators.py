@@ -218,6 +218,33 @@ def test_items_in_several_blocks(spark, docs, sf, monkeypatch):
     assert [r[:3] for r in sorted(rows(decontaminate.leaks(docs, bench)))] == [r[:3] for r in want]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_hold_every_stretch_of_an_alignments_width(seed):
+    r, reach = np.random.default_rng(seed), 20
+    at = np.cumsum(r.integers(1, reach + 1, 400))
+    first, last = decontaminate._windows(at, np.array([0, 150]), np.array([149, 399]), reach)
+    assert (at[last] - at[first] <= 12 * reach).all()
+    for low, high in ((0, 149), (150, 399)):
+        for i in range(low, high + 1):
+            j = min(high, np.searchsorted(at, at[i] + 3 * reach, side="right") - 1)
+            assert ((first <= i) & (j <= last)).any()
+    short = decontaminate._windows(at, np.array([0, 5]), np.array([4, 9]), reach)
+    assert [x.tolist() for x in short] == [[0, 5], [4, 9]]
+
+
+def test_leaks_in_a_text_of_hits_alone(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    some = spark.createDataFrame([(1, "w1 w2 w3 other " * 3000 + item + " w7 w8 w9 other" * 3000), (2, "w1 w2 w3 other " * 3000)], "doc_id long, text string")
+    got = decontaminate.leaks(some, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.score, r.end_word - r.first_word) for r in got] == [(1, 5, 1.0, 30)] and got[0].first_word == 12000
+
+
+def test_passages_of_a_crowd(docs, monkeypatch):
+    want = sorted(rows(substrings.passages(docs)))
+    monkeypatch.setattr(substrings, "CROWD", 2)
+    assert want and sorted(rows(substrings.passages(docs))) == want
+
+
 def test_passages_are_found(docs, texts):
     held = defaultdict(set)
     for i, t in texts.items():
