@@ -1,7 +1,6 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Of every RUN consecutive N-grams of a test item the one that the corpus holds least often is
-a seed, so any N + RUN - 1 untouched words hold a seed, however often the item has leaked.
+Every N-gram of a test item is a seed, so any N untouched words hold one, however often the item has leaked.
 Stretches of a document around seed hits become passages; Spark joins their
 seeds to the items', and each pair that meets is aligned over words.  Two passes stream
 over the texts (counts, then passages); only passages and seeds are ever shuffled.
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, as_bytes, chunks, fresh, save
 
-N, RUN = 3, 4
+N = 3
 #: Seeds that a pair shares at least, unless one occurs in the corpus no oftener than RARE times.
 SHARED, RARE = 2, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -155,12 +154,9 @@ def _aligned(batches):
 
 
 def _choose(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, gram, n): of every RUN consecutive grams of an item the rarest, the first of equals."""
-    each = items.select("item_id", F.posexplode("grams").alias("pos", "gram"))
-    numbered = each.join(counts, "gram", "left").select("item_id", "pos", "gram", F.coalesce("n", F.lit(0)).alias("n"))
-    runs = numbered.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "gram"))).alias("g"))  # an item's own grams
-    chosen = F.expr(f"array_distinct(transform(sequence(0, greatest(0, size(g) - {RUN})), i -> array_min(transform(slice(g, i + 1, {RUN}), x -> struct(x.n, x.pos, x.gram)))))")
-    return runs.select("item_id", F.explode(chosen).alias("c")).select("item_id", "c.gram", "c.n").distinct()
+    """(item_id, gram, n): every gram of an item that the corpus holds."""
+    each = items.select("item_id", F.explode("grams").alias("gram")).distinct()
+    return each.join(counts, "gram").select("item_id", "gram", "n")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
