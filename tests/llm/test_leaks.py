@@ -45,3 +45,29 @@ def test_edits_every_four_to_six_words(spark, copies):
     want = {(d, i): s for d, t in docs.items() for i, item in items.items() if (s := plain_score(t, item)) >= decontaminate.LEAST}
     assert len(want) == len(docs)
     assert found(spark, docs, items) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_a_short_item_in_many_documents(spark, n):
+    item = "five words that have leaked".split()[:n]
+    docs = {k: [f"a{k}", f"b{k}", *item, f"c{k}", f"d{k}"] for k in range(50)}
+    assert found(spark, docs, {7: item}) == {(k, 7): 1.0 for k in docs}
+
+
+def test_one_edited_document_in_many_copies(spark):
+    item = [f"w{k}" for k in range(15)]
+    copy = [f"x{k}" if k in (3, 4, 8, 12) else w for k, w in enumerate(item)]
+    copy = [w for k, w in enumerate(copy) if k not in (9, 10)]  # three untouched words stand together twice
+    score = plain_score(copy, item)
+    got = found(spark, {k: copy for k in range(50)}, {7: item})
+    assert got == ({(k, 7): score for k in range(50)} if score >= decontaminate.LEAST else {})
+    once = [w for k, w in enumerate(item) if k not in (1, 4, 7, 10)]  # seeds in the last words only
+    assert plain_score(once, item) >= decontaminate.LEAST
+    assert len(found(spark, {k: once for k in range(50)}, {7: item})) == 50
+
+
+def test_alignments_far_wider_than_the_item(spark):
+    item = [f"w{k}" for k in range(24)]
+    copy = [x for k, w in enumerate(item) for x in ([w] if k >= 20 else [w, f"x{k}"])]  # a word put in after each but the last
+    want = plain_score(copy, item)
+    assert want > decontaminate.LEAST and found(spark, {1: copy}, {7: item}) == {(1, 7): want}

@@ -1,13 +1,14 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Every N-gram of a test item is a seed, so any N untouched words hold one, however often the item has leaked.
-Stretches of a document around seed hits become passages; Spark joins their
-seeds to the items', and each pair that meets is aligned over words.  Two passes stream
-over the texts (counts, then passages); only passages and seeds are ever shuffled.
+Stretches of a document around seed hits become passages, and each is aligned over words with every
+item that it shares a seed with.  One pass streams over the texts; only what aligns is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +17,6 @@ from pyspark.sql import functions as F
 from .common import Words, as_bytes, chunks, fresh, save
 
 N = 3
-#: Seeds that a pair shares at least, unless one occurs in the corpus no oftener than RARE times.
-SHARED, RARE = 2, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 #: Benchmark grams that are looked up in one pass over the documents; more items go in several passes.
@@ -34,20 +33,6 @@ def _item_words(batches):
         yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.binary()), lists], names=["item_id", "words", "grams"])
 
 
-def _counts(grams):
-    def run(batches):
-        known = grams.value
-        total = np.zeros(len(known), np.int64)
-        for _, texts in chunks(batches):
-            _, g = Words(texts, fold=True).grams(N)
-            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            total += np.bincount(at[known[at] == g], minlength=len(known))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
-
-    return run
-
-
 def _windows(at: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last hit of each run of hits, runs longer than 12 * reach words cut to windows.
 
@@ -67,9 +52,17 @@ def _windows(at: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) ->
     return np.concatenate(lows), np.concatenate(highs)
 
 
-def _passages(seeds, reach: int):
+def _seeds(ids: np.ndarray, words: list[bytes], grams: list[np.ndarray]) -> tuple:
+    """(seeds in order, where each one's items begin, items by seed, item ids, item words)."""
+    pair = np.stack([np.concatenate(grams).view(np.uint64), np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.uint64)], axis=1)
+    pair = np.unique(pair, axis=0)
+    known, first = np.unique(pair[:, 0], return_index=True)
+    return known, np.append(first, len(pair)), pair[:, 1].astype(np.int64), ids, words
+
+
+def _found(sent, reach: int, margin: int):
     def run(batches):
-        known = seeds.value
+        known, begin, by_seed, item_ids, item_words = sent.value
         for (ids,), texts in chunks(batches):
             w = Words(texts, fold=True)
             at, g = w.grams(N)
@@ -77,18 +70,23 @@ def _passages(seeds, reach: int):
             hit = np.flatnonzero(known[place] == g)
             if not len(hit):
                 continue
-            at, g = at[hit], g[hit].view(np.int64)
+            at, place = at[hit], place[hit]
             who = w.text_of()[at]
             new = np.concatenate([[True], (who[1:] != who[:-1]) | (np.diff(at) > reach)])
             first = np.flatnonzero(new)
             first, last = _windows(at, first, np.concatenate([first[1:], [len(at)]]) - 1, reach)
             doc = who[first]
-            low = np.maximum(at[first] - reach, w.ptr[doc])
-            high = np.minimum(at[last] + N + reach, w.ptr[doc + 1])
-            # hits at most `reach` apart share a passage, so passages of a text may overlap by their margins only
-            found = [np.unique(g[a : b + 1]).tolist() for a, b in zip(first, last)]
-            words = [w.hash[a:b].tobytes() for a, b in zip(low, high)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(low - w.ptr[doc]), pa.array(words, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "start", "words", "seeds"])
+            low = np.maximum(at[first] - margin, w.ptr[doc])
+            high = np.minimum(at[last] + N + margin, w.ptr[doc + 1])
+            pairs, size = [], 0
+            for d, a, b, i, j in zip(doc.tolist(), low.tolist(), high.tolist(), first.tolist(), last.tolist()):
+                for k in np.unique(np.concatenate([by_seed[begin[s] : begin[s + 1]] for s in np.unique(place[i : j + 1]).tolist()])).tolist():
+                    pairs.append((d, a - w.ptr[d], w.hash[a:b], k))
+                    size += b - a
+                    if size > 1_000_000:
+                        yield from _aligned(pairs, ids, item_ids, item_words)
+                        pairs, size = [], 0
+            yield from _aligned(pairs, ids, item_ids, item_words)
 
     return run
 
@@ -118,10 +116,10 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarr
         cell = np.maximum(np.maximum(diag, up), 0)
         start = np.where(cell == 0, np.arange(1, wide + 1), np.where(diag >= up, begin[:, :-1], begin[:, 1:]))
         # gaps along the passage: the best cell to the left less its distance, by a running maximum
-        key = ((np.concatenate([np.zeros((b, 1), np.int64), cell], axis=1) + ramp) << 20) + np.arange(wide + 1)
+        key = ((np.concatenate([np.zeros((b, 1), np.int64), cell], axis=1) + ramp) << 32) + np.arange(wide + 1)
         run = np.maximum.accumulate(key, axis=1)
-        source = run & ((1 << 20) - 1)
-        h = (run >> 20) - ramp
+        source = run & ((1 << 32) - 1)
+        h = (run >> 32) - ramp
         padded = np.concatenate([np.zeros((b, 1), np.int64), start], axis=1)
         begin = np.take_along_axis(padded, source, axis=1)
         zero = h <= 0
@@ -134,29 +132,20 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarr
     return best / np.maximum(MATCH * sizes, 1), first, last
 
 
-def _aligned(batches):
-    for batch in batches:
-        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-        pairs = [(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for _, _, p, _, q in rows]
-        order = sorted(range(len(rows)), key=lambda k: len(pairs[k][0]))
-        low = 0
-        while low < len(order):
-            # as many pairs of similar length as fit about a million cells; one pair at least
-            high = low + 1
-            while high < len(order) and (high - low + 1) * (len(pairs[order[high]][0]) + 1) <= 100_000:
-                high += 1
-            some = order[low:high]
-            score, first, last = align([pairs[k][0] for k in some], [pairs[k][1] for k in some])
-            docs, starts, items = ([rows[k][c] for k in some] for c in (0, 1, 3))
-            base = np.array(starts, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(score), pa.array(base + first), pa.array(base + last)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
-            low = high
-
-
-def _choose(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, gram, n): every gram of an item that the corpus holds."""
-    each = items.select("item_id", F.explode("grams").alias("gram")).distinct()
-    return each.join(counts, "gram").select("item_id", "gram", "n")
+def _aligned(pairs: list[tuple], ids: pa.Array, item_ids: np.ndarray, item_words: list[bytes]):
+    """Scores of pairs (text, first word of its passage, the passage, item)."""
+    order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][2]))
+    low = 0
+    while low < len(order):
+        # as many pairs of similar length as fit about a million cells; one pair at least
+        high = low + 1
+        while high < len(order) and (high - low + 1) * (len(pairs[order[high]][2]) + 1) <= 100_000:
+            high += 1
+        docs, starts, texts, items = zip(*(pairs[k] for k in order[low:high]))
+        score, first, last = align(list(texts), [np.frombuffer(item_words[k], np.uint64) for k in items])
+        base = np.array(starts, np.int64)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(docs)), pa.array(item_ids[list(items)]), pa.array(score), pa.array(base + first), pa.array(base + last)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
+        low = high
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -176,28 +165,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     found = None
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        got = _one_block(docs, some, most + N)
-        found = got if found is None else found.unionByName(got)
+        rows = some.select("item_id", "words", "grams").toArrow()  # MOST_GRAMS or one item's more
+        if rows.num_rows:
+            got = _one_block(docs, rows, most + N, least)
+            found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
     best = found.where(F.col("score") >= least).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.first_word", "b.end_word")
 
 
-def _one_block(docs: DataFrame, items: DataFrame, reach: int) -> DataFrame:
-    spark = docs.sparkSession
-    grams = items.select(F.explode("grams").alias("gram")).distinct().toArrow()["gram"].to_numpy()  # MOST_GRAMS or one item's more
-    sent = spark.sparkContext.broadcast(np.sort(grams.view(np.uint64)))
-    counts = as_bytes(docs).mapInArrow(_counts(sent), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    seeds = save(_choose(items, counts), "seeds")
-    chosen = seeds.select("gram").distinct().toArrow()["gram"].to_numpy()
-    sent = spark.sparkContext.broadcast(np.sort(chosen.view(np.uint64)))
-    passages = as_bytes(docs, "doc_id").mapInArrow(_passages(sent, reach), "doc_id long, start long, words binary, seeds array<long>")
-    passages = save(passages.withColumn("key", F.xxhash64("doc_id", "start", "words")).dropDuplicates(["key"]), "passages")
-    hits = passages.select("key", F.explode("seeds").alias("gram")).join(seeds, "gram")
-    pairs = hits.groupBy("key", "item_id").agg(F.count("*").alias("shared"), F.min("n").alias("rarest")).where((F.col("shared") >= SHARED) | (F.col("rarest") <= RARE))
-    ready = pairs.select("key", "item_id").join(passages.select("key", "doc_id", "start", "words"), "key").join(items.select("item_id", F.col("words").alias("item")), "item_id")
-    return ready.select("doc_id", "start", "words", "item_id", "item").mapInArrow(_aligned, "doc_id long, item_id long, score double, first_word long, end_word long")
+def _one_block(docs: DataFrame, items: pa.Table, reach: int, least: float) -> DataFrame:
+    grams = [np.array(g, np.int64) for g in items["grams"].to_pylist()]
+    sent = docs.sparkSession.sparkContext.broadcast(_seeds(items["item_id"].to_numpy(), items["words"].to_pylist(), grams))
+    # an alignment of this score has no more matches than the item words, and no more gaps and mismatches than use up the rest of
+    # its full score, so it lies whole beside any seed in it
+    margin = math.ceil((3 - 2 * max(least, 0)) * reach)
+    return as_bytes(docs, "doc_id").mapInArrow(_found(sent, reach, max(margin, reach)), "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
