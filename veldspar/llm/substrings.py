@@ -3,8 +3,8 @@
 Words' K-mers are thinned to window minima (each WIDTH consecutive K-mers keep the least
 hash), so equal stretches of K + WIDTH - 1 words share a seed.  Every document
 that holds a seed links it to the least doc_id that holds it only, so links grow with the
-places, not with their pairs.  (Of a seed's places in one document the first counts: a text's
-repeats of itself are no repeats across documents.)  For each pair of documents the matches are chained in order with a
+places, not with their pairs.  (Of a seed's places in its first holder the first counts; in
+later documents every place is linked to it, so each copy of a passage is found.)  For each pair of documents the matches are chained in order with a
 Fenwick tree: a chain gains the words it covers and pays for gaps.  Chains are then
 aligned word by word around and between their seeds, and the words of a document that earlier
 text covers are merged to passages.
@@ -93,9 +93,6 @@ def _seeds(batches):
         order = np.argsort(place, kind="stable")
         place, hash_, span = place[order], hash_[order], span[order]
         doc = owner[place]
-        _, only = np.unique((doc.astype(np.uint64) << np.uint64(40)) | (hash_ >> np.uint64(24)), return_index=True)
-        only.sort()  # the first place of a seed in a text
-        place, hash_, span, doc = place[only], hash_[only], span[only], doc[only]
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array((span << 32) | (at[place] - w.ptr[doc])), pa.array(hash_.view(np.int64))], names=["doc_id", "place", "gram"])
 
 
@@ -192,8 +189,8 @@ def _chained(batches):
 def chains(docs: DataFrame) -> DataFrame:
     """(doc_id, rep, x0, x1, y0, y1, parts): words x0 to x1 of a document match y0 to y1 of an earlier one, by segments."""
     found = seeds(docs)
-    first = found.groupBy("gram").agg(F.min("doc_id").alias("rep"), F.min_by("place", "doc_id").alias("rep_place"), F.count("*").alias("n")).where("n > 1").select("gram", "rep", "rep_place")
     low, high = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftright(c, 32)
+    first = found.groupBy("gram").agg(F.min("doc_id").alias("rep"), F.min_by("place", F.struct("doc_id", low("place"))).alias("rep_place"), F.max("doc_id").alias("last")).where("rep <> last").select("gram", "rep", "rep_place")
     links = found.join(first, "gram").where("doc_id <> rep").select("doc_id", "rep", low("place").alias("pos"), low("rep_place").alias("rep_pos"), F.least(high("place"), high("rep_place")).alias("span"))
     return links.repartition("doc_id").sortWithinPartitions("doc_id", "rep", "pos", "rep_pos", "span").mapInArrow(_chained, "doc_id long, rep long, x0 long, x1 long, y0 long, y1 long, parts array<long>")
 
