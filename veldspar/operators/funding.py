@@ -8,6 +8,7 @@ list is unrestricted; an empty one admits nobody.
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,19 @@ RULES = {
 }
 
 
+#: Rows of a list that go to the executors at once.
+BLOCK = 20_000
+
+
+def beside(rows: DataFrame, listed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each row beside every row of a list, which goes to the executors in blocks of about `block` rows."""
+    n = -(-listed.count() // block)
+    if n <= 1:
+        return rows.crossJoin(F.broadcast(listed))
+    key = F.pmod(F.xxhash64(*[c for c, kind in listed.dtypes if "map<" not in kind]), F.lit(n))
+    return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(listed.where(key == k))) for k in range(n)])
+
+
 def pairs(people: DataFrame, calls: DataFrame, today: date) -> DataFrame:
     """Each researcher beside each call, with the call's next deadline and the targets that it admits.
 
@@ -57,9 +71,7 @@ def pairs(people: DataFrame, calls: DataFrame, today: date) -> DataFrame:
     of calls is a few hundred rows whatever the number of researchers.
     """
     own = people.withColumnsRenamed({"nationalities": "own_nationalities", "residence": "own_residence", "fields": "own_fields"})
-    if calls.limit(20_001).count() > 20_000:
-        raise ValueError("more than 20,000 calls: match them in blocks")
-    both = own.crossJoin(F.broadcast(calls.withColumn("deadline", deadline(today)))).withColumn("today", F.lit(today))
+    both = beside(own, calls.withColumn("deadline", deadline(today))).withColumn("today", F.lit(today))
     admitted = "filter(targets, h -> (hosts IS NULL OR array_contains(hosts, h)) AND NOT array_contains(coalesce(excluded_hosts, array()), h))"
     return both.withColumn("open_targets", F.expr(admitted))
 
@@ -179,8 +191,11 @@ def merge(base: DataFrame, fresh: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def measured(document: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc, rule, outcome) from measurements (doc, words, pages, min_margin, sizes array<struct<pt, chars>>) and rules (max_words, max_pages, min_margin_cm, min_pt)."""
-    both = document.crossJoin(F.broadcast(rules.limit(1)))
+    """(doc, rule, outcome) from measurements (doc, words, pages, min_margin, sizes array<struct<pt, chars>>) and rules (max_words, max_pages, min_margin_cm, min_pt).
+
+    Each row of rules is applied to each document; where rules have a `name`, it stands beside doc.
+    """
+    both = beside(document, rules)
     small = F.expr("aggregate(filter(sizes, s -> s.pt < min_pt - 0.25), 0L, (a, s) -> a + s.chars)")
     whole = F.expr("aggregate(sizes, 0L, (a, s) -> a + s.chars)")
     over = lambda v, most: F.when(most.isNull(), F.lit(None)).when(v.isNull(), "unsure").when(v > most, "fail").otherwise("ok")
@@ -189,4 +204,5 @@ def measured(document: DataFrame, rules: DataFrame) -> DataFrame:
         "margin": F.when(F.col("min_margin_cm").isNull(), F.lit(None)).when(F.col("min_margin").isNull(), "unsure").when(F.col("min_margin") < F.col("min_margin_cm") - 0.05, "fail").otherwise("ok"),
         "text_size": F.when(F.col("min_pt").isNull(), F.lit(None)).when(small == 0, "ok").when(small <= 0.02 * whole, "warn").otherwise("fail"),
     }
-    return both.select("doc", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("outcome")) for k, v in cases.items()]), lambda r: r["outcome"].isNotNull())).alias("r")).select("doc", "r.rule", "r.outcome")
+    named = [c for c in rules.columns if c == "name"]
+    return both.select("doc", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("outcome")) for k, v in cases.items()]), lambda r: r["outcome"].isNotNull())).alias("r"), *named).select("doc", *named, "r.rule", "r.outcome")

@@ -13,7 +13,7 @@ START, END = date(1998, 1, 1), date(1999, 12, 31)
 
 #: Both engines read orders through the same statement; it only renames and casts.
 ORDERS = """
-SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, concat(p_name, ' ', p_type) AS item, CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE s_name END AS vendor, p_brand AS catalog,
+SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(copy AS STRING)) AS id, concat(p_name, ' ', p_type) AS item, CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE s_name END AS vendor, p_brand AS catalog,
        l_quantity AS qty, CASE WHEN l_orderkey % 23 = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(18, 4)) END AS unit_price, CAST('each' AS STRING) AS unit_size, CAST('' AS STRING) AS url,
        CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE c_mktsegment END AS account, o_orderpriority AS project,
        CASE (l_orderkey * 7 + l_linenumber) % 8 WHEN 0 THEN 'requested' WHEN 1 THEN 'approved' WHEN 2 THEN 'ordered' WHEN 3 THEN 'backordered' WHEN 4 THEN 'cancelled' ELSE 'received' END AS status,
@@ -21,8 +21,8 @@ SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS
        CASE WHEN (l_orderkey * 7 + l_linenumber) % 8 = 1 THEN CAST(o_orderdate AS DATE) + 3 END AS approved,
        CASE WHEN (l_orderkey * 7 + l_linenumber) % 8 IN (2, 3, 6) THEN CAST(o_orderdate AS DATE) + 5 END AS ordered, CAST('' AS STRING) AS received_by,
        CASE WHEN (l_orderkey * 7 + l_linenumber) % 8 > 4 THEN CAST(l_shipdate AS DATE) END AS received,
-       CASE WHEN l_partkey % 13 = 0 THEN '' ELSE concat('room ', CAST(l_partkey % 12 AS STRING)) END AS location, CAST('' AS STRING) AS sublocation, l_returnflag AS notes, l_orderkey * 10 + l_linenumber AS seq
-FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS copy FROM lineitem) WHERE copy = 1) l
+       CASE WHEN l_partkey % 13 = 0 THEN '' ELSE concat('room ', CAST(l_partkey % 12 AS STRING)) END AS location, CAST('' AS STRING) AS sublocation, l_returnflag AS notes, (l_orderkey * 10 + l_linenumber) * 1000 + copy AS seq
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_returnflag) AS copy FROM (SELECT * FROM lineitem)) l
 JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey
 """
 WITH = f"WITH o AS ({ORDERS.replace('AS STRING', 'AS VARCHAR')}), p AS (SELECT *, CAST(CAST(qty AS DECIMAL(12, 2)) * unit_price AS DECIMAL(28, 4)) AS total, coalesce(ordered, received, requested) AS day FROM o)"

@@ -13,26 +13,24 @@ _P = """CASE (doc + i) % 12 WHEN 0 THEN concat(' as in Fig. ', CAST((doc + 2 * i
  WHEN 6 THEN ' then PCR and QZX and RNA were used' WHEN 7 THEN CASE WHEN doc % 2 = 0 THEN ' with 5 mg, then 10mg.' ELSE ' with 5 ml of 7 mL.' END WHEN 8 THEN CASE WHEN doc % 3 = 0 THEN ' the colour and behaviour' ELSE ' the color of fiber' END
  WHEN 9 THEN ' in patients and patients with mice' WHEN 10 THEN ' by Homo sapiens or H. sapiens' ELSE CASE WHEN doc % 5 = 0 THEN ' after informed consent. 12 were left' ELSE ' in Figs. 1-3 and more' END END"""
 _BASE = "SELECT doc, i, concat(line, {p}) AS text, {s} AS section FROM lines".format(p=_P, s=_S)
-_LEGENDS = "SELECT doc, 1000 + k AS i, concat('Figure ', CAST(CASE WHEN k = 4 AND doc % 7 = 0 THEN 1 ELSE k END AS STRING), '. Title (A) and (B) of it') AS text, 'figure_legends' AS section FROM ids, ks WHERE k <= doc % 5"
-_REFS = """SELECT doc, 2000 + k AS i, concat(CAST(CASE WHEN k = 3 AND doc % 6 = 0 THEN 4 ELSE k END AS STRING), '. Smith A, Jones B. A title of number ', CAST(CASE WHEN doc % 9 = 0 THEN 1 ELSE k END AS STRING), '. Journal',
+_LEGENDS = "SELECT doc, greatest(1000, n) + k AS i, concat('Figure ', CAST(CASE WHEN k = 4 AND doc % 7 = 0 THEN 1 ELSE k END AS STRING), '. Title (A) and (B) of it') AS text, 'figure_legends' AS section FROM ids, ks WHERE k <= doc % 5"
+_REFS = """SELECT doc, greatest(2000, n + 1000) + k AS i, concat(CAST(CASE WHEN k = 3 AND doc % 6 = 0 THEN 4 ELSE k END AS STRING), '. Smith A, Jones B. A title of number ', CAST(CASE WHEN doc % 9 = 0 THEN 1 ELSE k END AS STRING), '. Journal',
  CASE WHEN k = 2 THEN ' in press' ELSE concat(' ', CAST(1990 + k AS STRING)) END, CASE WHEN k % 2 = 1 THEN concat(' doi:', CASE WHEN k = 5 THEN '11' ELSE '10' END, '.1234/abc', CAST(k AS STRING)) ELSE '' END, '.') AS text, 'references' AS section FROM ids, ks WHERE k <= doc % 8"""
-#: The SQL still reads the first 40 lines of a document only; README says which queries differ by that.
-_UNION = f"{_BASE} WHERE i < 40 UNION ALL {_LEGENDS} UNION ALL {_REFS}"
-#: All lines; legends and references come after the last one, at the SQL's places in documents of up to 1000 lines.
-_WHOLE = f"{_BASE} UNION ALL {_LEGENDS.replace('1000 + k', 'greatest(1000, n) + k')} UNION ALL {_REFS.replace('2000 + k', 'greatest(2000, n + 1000) + k')}"
+#: Every line; legends and references come after the last one.
+_UNION = f"{_BASE} UNION ALL {_LEGENDS} UNION ALL {_REFS}"
 
 
 def paragraphs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
     sql = f"""WITH lines AS (SELECT doc_id AS doc, i, line FROM {{docs}} LATERAL VIEW posexplode(split(coalesce(text, ''), '\\n')) t AS i, line), ids AS (SELECT doc_id AS doc, size(split(coalesce(text, ''), '\\n')) AS n FROM {{docs}}), ks AS (SELECT CAST(id AS INT) AS k FROM range(1, 9))
-        SELECT CAST(doc AS STRING) AS doc_id, CAST(i AS INT) AS idx, text, section, false AS is_heading FROM ({_WHOLE})"""
+        SELECT CAST(doc AS STRING) AS doc_id, CAST(i AS INT) AS idx, text, section, false AS is_heading FROM ({_UNION})"""
     return spark.sql(sql, docs=docs)
 
 
-P = f"""WITH lines AS (SELECT doc_id AS doc, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), ids AS (SELECT doc_id AS doc FROM documents), ks AS (SELECT CAST(range AS INTEGER) AS k FROM range(1, 9)),
+P = f"""WITH lines AS (SELECT doc_id AS doc, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL), ids AS (SELECT doc_id AS doc, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents WHERE doc_id IS NOT NULL), ks AS (SELECT CAST(range AS INTEGER) AS k FROM range(1, 9)),
 p AS (SELECT CAST(doc AS VARCHAR) AS doc_id, CAST(i AS INTEGER) AS idx, text, section FROM ({_UNION.replace('AS STRING', 'AS VARCHAR')})), b AS (SELECT * FROM p WHERE section <> 'references'),
 lg AS (SELECT doc_id, idx, text, CAST(regexp_extract(text, '^Figure ([0-9]+)', 1) AS INTEGER) AS number, row_number() OVER (PARTITION BY doc_id, regexp_extract(text, '^Figure ([0-9]+)', 1) ORDER BY idx) AS n FROM p WHERE regexp_matches(text, '^Figure [0-9]+\\. [A-Z]')),
-cm AS (SELECT doc_id, idx, unnest(regexp_extract_all(text, '(?:^|[ (])(?:Figures?|Figs?\\.|Tables?) [0-9]+(?:-[0-9]+)?')) AS c FROM b WHERE idx < 1000),
+cm AS (SELECT doc_id, idx, unnest(regexp_extract_all(text, '(?:^|[ (])(?:Figures?|Figs?\\.|Tables?) [0-9]+(?:-[0-9]+)?')) AS c FROM b WHERE section <> 'figure_legends'),
 ce AS (SELECT doc_id, idx, CASE WHEN contains(c, 'Table') THEN 'table' ELSE 'figure' END AS kind, CAST(regexp_extract(c, '([0-9]+)', 1) AS INTEGER) AS lo, CAST(coalesce(nullif(regexp_extract(c, '-([0-9]+)', 1), ''), regexp_extract(c, '([0-9]+)', 1)) AS INTEGER) AS hi, contains(c, 'Fig.') OR contains(c, 'Figs.') AS short FROM cm),
 ca AS (SELECT doc_id, idx, kind, short, unnest(range(lo, hi + 1)) AS number FROM ce), fc AS (SELECT doc_id, kind, CAST(number AS INTEGER) AS number, min(idx) AS idx FROM ca GROUP BY 1, 2, 3),
 en AS (SELECT doc_id, idx, text, CAST(regexp_extract(text, '^([0-9]+)', 1) AS INTEGER) AS stated, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS place, nullif(regexp_extract(text, '((?:18|19|20)[0-9][0-9])', 1), '') AS year,
