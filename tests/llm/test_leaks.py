@@ -1,5 +1,7 @@
 """Leaks against brute-force alignment: edited often, short, and in large numbers."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -47,11 +49,35 @@ def test_edits_every_four_to_six_words(spark, copies):
     assert found(spark, docs, items) == pytest.approx(want)
 
 
-@pytest.mark.parametrize("n", [3, 5])
-def test_a_short_item_in_many_documents(spark, n):
-    item = "five words that have leaked".split()[:n]
-    docs = {k: [f"a{k}", f"b{k}", *item, f"c{k}", f"d{k}"] for k in range(50)}
-    assert found(spark, docs, {7: item}) == {(k, 7): 1.0 for k in docs}
+@pytest.mark.parametrize("copies", [1, 25, 500])
+def test_items_of_any_length_in_any_number_of_documents(spark, copies):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (1, 2, 3, 5, 10, 40)}
+    docs = {1000 * n + k: [f"a{k}", f"b{k}", *item, f"c{k}", f"d{k}"] for n, item in items.items() for k in range(copies)}
+    assert found(spark, docs, items) == {(d, d // 1000): 1.0 for d in docs}
+
+
+def test_items_of_two_words_stand_whole(spark):
+    docs = {1: "x w0 y w1 z".split(), 2: "x w0 w1".split(), 3: "w1 w0".split(), 4: "only one".split()}
+    assert found(spark, docs, {7: ["w0", "w1"], 8: ["only"], 9: []}) == {(2, 7): 1.0, (4, 8): 1.0}
+
+
+def test_leaks_equal_the_alignment_of_all_pairs(spark, sf):
+    """Every document of the table with every item, without seeds."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[À-ÖØ-Þ]", lambda m: m[0].lower(), t.lower() if t.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    ids: dict[str, int] = {}
+    numbered = lambda t: np.array([ids.setdefault(x, len(ids)) for x in words(t)], np.uint64)
+    texts = {r.doc_id: numbered(r.text) for r in docs.select("doc_id", "text").collect() if r.text}
+    items = {r.item_id: numbered(r.text) for r in bench.collect()}
+    want = {}
+    for d, t in texts.items():
+        for low in range(0, max(len(t), 1), 1000):  # stretches that overlap by more than the widest alignment
+            score, _, _ = decontaminate.align([t[low : low + 1300]] * len(items), list(items.values()))
+            for i, s in zip(items, score):
+                if s >= decontaminate.LEAST:
+                    want[d, i] = max(s, want.get((d, i), 0))
+    assert want and max(map(len, items.values())) < 100
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, bench).collect()} == pytest.approx(want)
 
 
 def test_one_edited_document_in_many_copies(spark):

@@ -2,7 +2,10 @@
 
 Text reaches Python as Arrow batches of UTF-8 bytes.  A batch is cut into chunks
 of about CHUNK_BYTES, so the arrays below stay small however long the batch is; a
-longer single text is one chunk of its own.
+longer single text is one chunk of its own, whose bytes are hashed a slab at a time.
+
+Tables that are stored on the way lie below the shared folder.  They are deleted when the application
+ends, or earlier: `forget` takes one, and `scratch` all that were stored inside it.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: Bytes that are hashed at once.
+SLAB = CHUNK_BYTES + 65536
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _powers = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,18 +46,44 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, to be deleted with the scope that is open, or when the application ends."""
+    path = f"{shared_dir(spark)}/veldspar/{name}-{uuid.uuid4().hex}"
+    target, system = _located(spark, path)
+    system.deleteOnExit(target)
+    for scope in _scopes[-1:]:
+        scope.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veldspar/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, system = _located(spark, path)
+    system.delete(target, True)
+    system.cancelDeleteOnExit(target)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end; what is to last is written to a place taken outside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            forget(spark, path)
 
 
 def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
@@ -106,7 +139,7 @@ ALNUM = table(letters=bytes([*range(48, 58), *range(97, 123), *range(128, 256)])
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 65536)
+        size = max(n, SLAB)
         for name, base in (("up", _PRIME), ("down", _INVERSE)):
             one = np.full(size, base, np.uint64)
             one[0] = 1
@@ -142,10 +175,28 @@ class Words:
         self.counts = np.diff(self.ptr)
         self.n = len(texts)
         if hashes:
-            up, down = powers(len(joined))
-            total = np.zeros(len(joined) + 1, np.uint64)
-            np.cumsum((self.norm.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-            self.hash = mix((total[self.stop] - total[self.start]) * down[self.start])
+            self.hash = mix(self._sums())
+
+    def _sums(self) -> np.ndarray:
+        """A polynomial of each word's bytes, whatever stands before it."""
+        size = len(self.norm)
+        up, down = powers(min(size, SLAB))
+        begin, end, shift = (np.empty(len(self.start), np.uint64) for _ in range(3))
+        carry, lift, drop = 0, 1, 1  # the sum before a slab, and the powers of its first byte's place
+        for low in range(0, size, SLAB):
+            high = min(low + SLAB, size)
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((self.norm[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=total[1:])
+            if low:
+                total = total * np.uint64(lift) + np.uint64(carry)
+            a, b = np.searchsorted(self.start, [low, high])
+            at = self.start[a:b] - low
+            begin[a:b], shift[a:b] = total[at], down[at] * np.uint64(drop)
+            a, b = np.searchsorted(self.stop, [low + 1, high + 1])
+            end[a:b] = total[self.stop[a:b] - low]
+            carry = int(total[-1])
+            lift, drop = lift * pow(_PRIME, SLAB, 1 << 64) % (1 << 64), drop * pow(_INVERSE, SLAB, 1 << 64) % (1 << 64)
+        return (end - begin) * shift
 
     def text_of(self) -> np.ndarray:
         """The number of each word's text."""

@@ -1,8 +1,9 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every N-gram of a test item is a seed, so any N untouched words hold one, however often the item has leaked.
-Stretches of a document around seed hits become passages, and each is aligned over words with every
-item that it shares a seed with.  One pass streams over the texts; only what aligns is shuffled.
+Every N-gram of a test item is a seed, so any N untouched words hold one, however often the item has leaked;
+an item of fewer words is one seed as a whole.  Stretches of a document around seed hits become passages, and
+each is aligned over words with every item that it shares a seed with, but for items so few of whose words the
+passage holds that no alignment can reach the least score.  One pass streams over the texts; only what aligns is shuffled.
 """
 
 from __future__ import annotations
@@ -26,11 +27,21 @@ MOST_GRAMS = 2_000_000
 def _item_words(batches):
     for columns, texts in chunks(batches):
         w = Words(texts, fold=True)
-        at, gram = w.grams(N)
-        cut = np.searchsorted(at, w.ptr)
         words = [w.hash[a:b].tobytes() for a, b in zip(w.ptr[:-1], w.ptr[1:])]
-        lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(gram.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.binary()), lists], names=["item_id", "words", "grams"])
+        at, gram, wide = _grams(w, range(1, N + 1))
+        own = np.minimum(w.counts, N)  # an item's grams are of N words, or of all that it has
+        fits = wide == own[w.text_of()[at]]
+        at, gram = at[fits], gram[fits]
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, w.ptr), pa.int32()), pa.array(gram.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.binary()), pa.array(own, pa.int32()), lists], names=["item_id", "words", "width", "grams"])
+
+
+def _grams(w: Words, widths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, hash, number of words) of all grams of these widths, by place."""
+    found = [(at, g, np.full(len(g), k)) for k in widths for at, g in [w.grams(k)]]
+    at, gram, wide = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(at, kind="stable") if len(found) > 1 else slice(None)
+    return at[order], gram[order], wide[order]
 
 
 def _windows(at: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,19 +64,30 @@ def _windows(at: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) ->
 
 
 def _seeds(ids: np.ndarray, words: list[bytes], grams: list[np.ndarray]) -> tuple:
-    """(seeds in order, where each one's items begin, items by seed, item ids, item words)."""
+    """(seeds in order, where each one's items begin, items by seed, item ids, item words, the words of all items and where each one's begin)."""
     pair = np.stack([np.concatenate(grams).view(np.uint64), np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.uint64)], axis=1)
     pair = np.unique(pair, axis=0)
     known, first = np.unique(pair[:, 0], return_index=True)
-    return known, np.append(first, len(pair)), pair[:, 1].astype(np.int64), ids, words
+    flat = np.frombuffer(b"".join(words), np.uint64)
+    return known, np.append(first, len(pair)), pair[:, 1].astype(np.int64), ids, words, flat, np.cumsum([0, *[len(x) // 8 for x in words]])
+
+
+def _worth(cand: np.ndarray, passage: np.ndarray, flat: np.ndarray, ptr: np.ndarray, least: float) -> np.ndarray:
+    """The items that can reach the least score: an alignment matches no word of an item that the passage lacks."""
+    size = ptr[cand + 1] - ptr[cand]
+    end = np.cumsum(size)
+    words = flat[np.repeat(ptr[cand] - (end - size), size) + np.arange(end[-1])]
+    own = np.unique(passage)
+    held = own[np.minimum(np.searchsorted(own, words), len(own) - 1)] == words
+    return cand[np.add.reduceat(held, end - size, dtype=np.int64) >= least * size - 1e-9]
 
 
-def _found(sent, reach: int, margin: int):
+def _found(sent, widths: list[int], reach: int, margin: int, least: float):
     def run(batches):
-        known, begin, by_seed, item_ids, item_words = sent.value
+        known, begin, by_seed, item_ids, item_words, flat, ptr = sent.value
         for (ids,), texts in chunks(batches):
             w = Words(texts, fold=True)
-            at, g = w.grams(N)
+            at, g, _ = _grams(w, widths)
             place = np.minimum(np.searchsorted(known, g), len(known) - 1)
             hit = np.flatnonzero(known[place] == g)
             if not len(hit):
@@ -77,10 +99,11 @@ def _found(sent, reach: int, margin: int):
             first, last = _windows(at, first, np.concatenate([first[1:], [len(at)]]) - 1, reach)
             doc = who[first]
             low = np.maximum(at[first] - margin, w.ptr[doc])
-            high = np.minimum(at[last] + N + margin, w.ptr[doc + 1])
+            high = np.minimum(at[last] + max(widths) + margin, w.ptr[doc + 1])
             pairs, size = [], 0
             for d, a, b, i, j in zip(doc.tolist(), low.tolist(), high.tolist(), first.tolist(), last.tolist()):
-                for k in np.unique(np.concatenate([by_seed[begin[s] : begin[s + 1]] for s in np.unique(place[i : j + 1]).tolist()])).tolist():
+                asked = np.unique(np.concatenate([by_seed[begin[s] : begin[s + 1]] for s in np.unique(place[i : j + 1]).tolist()]))
+                for k in _worth(asked, w.hash[a:b], flat, ptr, least).tolist():
                     pairs.append((d, a - w.ptr[d], w.hash[a:b], k))
                     size += b - a
                     if size > 1_000_000:
@@ -152,20 +175,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     """(doc_id, item_id, score, first_word, end_word) of each document and test item that align well.
 
     score is the best local alignment's share of the item's full score, at least `least`;
-    of several passages the best counts, then the first.  Items of fewer than N words have no
-    gram and are compared with nothing.  Null texts and null item ids give no row; a
-    document with a null id keeps its row; repeated rows of a document count once.
+    of several passages the best counts, then the first.  Items of fewer than N words are found
+    where all their words stand together; items without a word are compared with nothing.  Null texts and null
+    item ids give no row; a document with a null id keeps its row; repeated rows of a document count once.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     known = benchmark.where("item_id is not null and text is not null").withColumn("item_id", F.col("item_id").cast("long"))
-    items = save(as_bytes(known, "item_id").mapInArrow(_item_words, "item_id long, words binary, grams array<long>").where(F.size("grams") > 0).dropDuplicates(["item_id", "words"]), "items")
+    items = save(as_bytes(known, "item_id").mapInArrow(_item_words, "item_id long, words binary, width int, grams array<long>").where(F.size("grams") > 0).dropDuplicates(["item_id", "words"]), "items")
     n, most = items.agg(F.sum(F.size("grams").cast("long")), F.max(F.size("grams"))).first()
     blocks = -(-(n or 0) // MOST_GRAMS)
     found = None
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = some.select("item_id", "words", "grams").toArrow()  # MOST_GRAMS or one item's more
+        rows = some.select("item_id", "words", "width", "grams").toArrow()  # MOST_GRAMS or one item's more
         if rows.num_rows:
             got = _one_block(docs, rows, most + N, least)
             found = got if found is None else found.unionByName(got)
@@ -181,7 +204,7 @@ def _one_block(docs: DataFrame, items: pa.Table, reach: int, least: float) -> Da
     # an alignment of this score has no more matches than the item words, and no more gaps and mismatches than use up the rest of
     # its full score, so it lies whole beside any seed in it
     margin = math.ceil((3 - 2 * max(least, 0)) * reach)
-    return as_bytes(docs, "doc_id").mapInArrow(_found(sent, reach, max(margin, reach)), "doc_id long, item_id long, score double, first_word long, end_word long")
+    return as_bytes(docs, "doc_id").mapInArrow(_found(sent, sorted(set(items["width"].to_pylist())), reach, max(margin, reach), least), "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
