@@ -331,18 +331,6 @@ def test_languages_hold_on_rows_they_never_saw(spark):
     assert sum(a == b for a, b in got) >= 0.98 * len(got)
 
 
-def test_kneser_ney_sums_to_one():
-    s, _ = language.symbols([b"the cat sat on the mat and the bat", b"a rat"])
-    g, _ = language.grams(s)
-    own, count = np.unique(g, return_counts=True)
-    m = language.kneser_ney(own, count)
-    letters = np.unique(s[s != 0]).astype(np.uint64)
-    for context in (b"the ", b"xyz", b" ca"):
-        c = sum(int(b) << 16 * (3 - k) for k, b in enumerate(context[:3]))
-        total = m.chance(np.uint64(c) | letters).sum()
-        assert total + m.chance(np.array([c | 0xFFFF], np.uint64))[0] == pytest.approx(1)
-
-
 def test_odd_rows_have_defined_results(spark, odd):
     """Nulls, blanks, long texts, repeated rows and clashing columns, operator by operator."""
     n = odd.count()
