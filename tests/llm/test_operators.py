@@ -181,9 +181,10 @@ def test_licenses_match_brute_force(docs, texts):
 
 def test_licenses_find_altered_notices(spark):
     words = licenses.TEMPLATES[9][1].split()
-    altered = " ".join(words[:12] + ["quite"] + words[12:30] + words[32:])
-    got = licenses.scan(spark.createDataFrame([(1, "Before this. " + altered + " after"), (2, " ".join(words[:6]))], "doc_id long, text string")).collect()
-    assert {r.doc_id: r.labels for r in got} == {1: "gpl-3", 2: ""}
+    altered = " ".join(words[:12] + ["quite"] + words[12:22] + words[24:])
+    no_version = " ".join(words[:30] + words[32:])
+    got = licenses.scan(spark.createDataFrame([(1, "Before this. " + altered + " after"), (2, " ".join(words[:6])), (3, no_version)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {1: "gpl-3", 2: "", 3: ""}
 
 
 def test_alignment_scores_equal_the_recurrence():

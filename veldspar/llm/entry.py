@@ -100,4 +100,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are tested against brute force, round trips or held-out rows."""
-    return {"op9_rules": OP9_SQL}
+    return {"op5_licenses": licenses.sql(), "op9_rules": OP9_SQL}
