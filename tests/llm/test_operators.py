@@ -107,6 +107,47 @@ def test_huffman_lengths_are_optimal_without_a_limit():
     assert [lengths[i] for i in range(6)] == [4, 4, 3, 3, 3, 1]
 
 
+@pytest.mark.parametrize("limit", [2, 3, 4, 6])
+def test_huffman_lengths_are_the_best_within_the_limit(limit):
+    r = np.random.default_rng(limit)
+    for _ in range(40):
+        n = int(r.integers(2, min(7, 1 << limit) + (limit > 2)))
+        counts = {i: int(2 ** (12 * x)) for i, x in enumerate(r.random(n))}
+        best = min(sum(b * c for b, c in zip(bits, counts.values())) for bits in itertools.product(range(1, limit + 1), repeat=n) if sum(2.0**-b for b in bits) <= 1)
+        assert sum(b * counts[i] for i, b in huffman.code_lengths(counts, limit).items()) == best
+
+
+def test_long_texts_are_cut_where_tokens_begin():
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(BYTES), np.random.default_rng(2)
+    for k in range(60):
+        text = "".join(r.choice(list("ab'stE 1.,é①\u0085\u3000 \n\t  "), 3000)) + (" <|endoftext|> and so on" if k % 2 else "")
+        parts = huffman.parts_of(text.encode(), 100)
+        assert len(parts) > 3 and b"".join(parts) == text.encode()
+        assert [i for p in parts for i in t.encode(p.decode(), add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("slab", [64, 1000])
+def test_codes_are_packed_in_slabs(monkeypatch, slab):
+    r = np.random.default_rng(slab)
+    code = huffman.Code(huffman.code_lengths({i: int(c) for i, c in enumerate(r.integers(1, 10**6, 300))}))
+    ids, cut = r.integers(0, 300, 5000), np.sort([0, 5000, *r.integers(0, 5000, 7)])
+    want = code.pack(ids, cut)
+    monkeypatch.setattr(huffman, "_SLAB", slab)
+    assert code.pack(ids, cut) == want and (code.unpack(b"".join(want[1]), b"".join(want[2]), want[0]) == ids).all()
+
+
+def test_rows_without_an_id_are_dealt_to_many_parts(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text")).union(spark.sql("SELECT 5L, 'a b'"))
+    got = huffman.round_trip(docs, BYTES)
+    assert got.count() == 20_001 and [r.start for r in got.where("doc_id = 5").collect()] == [got.agg(F.sum("n_tokens")).first()[0] - 3]
+    path = huffman.place(spark, "ids")
+    huffman.write(docs, path, BYTES)
+    sizes = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.size("docs")).alias("n")).collect()
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r.n for r in sizes) < 10_000
+
+
 def test_tokens_by_pieces_equal_whole_texts(monkeypatch):
     from tokenizers import Tokenizer
 

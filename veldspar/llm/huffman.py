@@ -17,7 +17,7 @@ table for each id.
 
 from __future__ import annotations
 
-import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,13 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, chunks, forget, shared_dir, table
+from .common import Words, as_bytes, chunks, forget, place, table
 
 #: Bits of the longest code, ids between checkpoints, and ids of a block (a longer document has its own).
 LIMIT, LANE, BLOCK = 16, 64, 1 << 15
+#: Bits that a decoder can look up at once; a vocabulary in use of more than 1 << LIMIT ids has longer codes, up to this.
+MOST_BITS = 17
+#: Ids that are packed at once.
+_SLAB = 1 << 20
 #: Word pieces that a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
 _SPACES = [bytes([c]) for c in b"\n\t\r\v\f\x1c\x1d\x1e\x1f"]
+#: White space beyond ASCII that may end before a space.
+_WIDE_ENDS = tuple(c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace())
 #: Starts of white space beyond ASCII in UTF-8 (and of other characters; such texts go whole).
 _WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _PIECES = table(separators=b" ", lower=False)
@@ -177,6 +183,22 @@ def _second(w: Words, some: np.ndarray) -> np.ndarray:
     return (total[w.stop[some]] - total[w.start[some]]) * _odd["down"][w.start[some]]
 
 
+#: A space between other characters than white space: a token begins there, whatever stands before.
+_CUT = re.compile(rb"(?<=[!-~\x80-\xbf])(?= [!-;=-~])")
+
+
+def parts_of(text: bytes, most: int = 1 << 20) -> list[bytes]:
+    """A text in parts of `most` bytes or more whose ids, one part's behind another's, are the text's."""
+    out, low, at = [], 0, most
+    while at < len(text) and (cut := _CUT.search(text, at)):
+        if text.endswith(_WIDE_ENDS, low, cut.start()):
+            at = cut.start() + 1
+            continue
+        out.append(text[low : cut.start()])
+        low, at = cut.start(), cut.start() + most
+    return [*out, text[low:]]
+
+
 def tokens(model: bytes) -> ByteTokens:
     key = hash(model)
     if key not in _tokenizers:
@@ -185,54 +207,37 @@ def tokens(model: bytes) -> ByteTokens:
 
 
 def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
-    """Bits of each id with a count: Huffman's, with longer codes cut at the limit.
+    """Bits of each id with a count, the least in total of codes of at most `limit` bits, by package-merge.
 
-    After the cut the Kraft sum is brought back to one at least cost: rare codes just
-    below the limit grow first, then what is left over shortens frequent ones.
+    From the longest codes up, pairs of the cheapest items of a level are packages of the next, beside
+    the ids themselves.  The first 2n - 2 items of the last level are the code: an id gets a bit for each level at which it is taken.
     """
-    if not counts:
-        return {}
-    if len(counts) == 1:
-        return {next(iter(counts)): 1}
+    if len(counts) < 2:
+        return dict.fromkeys(counts, 1)
     if len(counts) > 1 << limit:
         raise ValueError("more ids than codes of that length")
     ids = sorted(counts, key=lambda i: (counts[i], i))
-    queue = [(counts[i], k) for k, i in enumerate(ids)]
-    heapq.heapify(queue)
-    parent: dict[int, int] = {}
-    made = len(ids)
-    while len(queue) > 1:
-        a, b = heapq.heappop(queue), heapq.heappop(queue)
-        parent[a[1]] = parent[b[1]] = made
-        heapq.heappush(queue, (a[0] + b[0], made))
-        made += 1
-    depth = {made - 1: 0}
-    for k in range(made - 2, -1, -1):
-        depth[k] = depth[parent[k]] + 1
-    bits = np.minimum([depth[k] for k in range(len(ids))], limit)  # rarest first
-    bits = np.sort(bits)[::-1].copy()
-    over = int(np.sum(1 << (limit - bits))) - (1 << limit)
-    k = 0
-    while over > 0:
-        while bits[k] >= limit:
-            k += 1
-        bits[k] += 1
-        over -= 1 << (limit - bits[k])
-        if over > 0 and bits[k] < limit:
-            continue
-        k += 1
-    spare = -over
-    for k in range(len(bits) - 1, -1, -1):  # the most frequent
-        while bits[k] > 1 and (gain := 1 << (limit - bits[k])) <= spare:
-            spare -= gain
-            bits[k] -= 1
-    bits = np.sort(bits)[::-1]
-    return {i: int(b) for i, b in zip(ids, bits)}
+    weight = np.array([counts[i] for i in ids], float)
+    level, taken = np.zeros(0), []
+    for _ in range(limit):
+        both = np.concatenate([weight, level])
+        order = np.argsort(both, kind="stable")
+        taken.append(np.cumsum(order < len(ids)))  # ids among the first items
+        both = both[order]
+        level = both[0 : len(both) // 2 * 2 : 2] + both[1::2]
+    bits, first = np.zeros(len(ids), np.int64), 2 * len(ids) - 2
+    for got in reversed(taken):
+        alone = int(got[first - 1]) if first else 0
+        bits[:alone] += 1
+        first = 2 * (first - alone)
+    return dict(zip(ids, bits.tolist()))
 
 
 class Code:
     def __init__(self, lengths: dict[int, int], limit: int = LIMIT):
-        self.limit = limit
+        self.limit = limit = max(limit, max(lengths.values(), default=1))
+        if limit > MOST_BITS:
+            raise ValueError(f"codes of more than {MOST_BITS} bits")
         order = sorted(lengths, key=lambda i: (lengths[i], i))
         size = max(lengths, default=0) + 1
         self.bits, self.codes = np.zeros(size, np.int64), np.zeros(size, np.uint64)
@@ -248,19 +253,20 @@ class Code:
         """(sizes, payloads, lanes) of the texts ids[ptr[i]:ptr[i + 1]]; each starts at a whole byte."""
         ptr = np.array([0, len(ids)]) if ptr is None else ptr
         n = np.diff(ptr)
-        bits = self.bits[ids]
-        end = np.concatenate([[0], np.cumsum(bits)])
+        end = np.concatenate([[0], np.cumsum(self.bits[ids])])
         own = end[ptr[1:]] - end[ptr[:-1]]
         byte = np.concatenate([[0], np.cumsum((own + 7) // 8)])
         shift = 8 * byte[:-1] - end[ptr[:-1]]
-        off = end[:-1] + np.repeat(shift, n)
         out = np.zeros((int(byte[-1]) >> 2) + 2, np.uint64)
-        if len(ids):
+        for low in range(0, len(ids), _SLAB):
+            some = slice(low, low + _SLAB)
+            at = np.clip(ptr, low, min(low + _SLAB, len(ids)))
+            off = end[:-1][some] + np.repeat(shift, np.diff(at))
             word = off >> 5
-            wide = self.codes[ids] << (64 - (off & 31) - bits).astype(np.uint64)
+            wide = self.codes[ids[some]] << (64 - (off & 31) - self.bits[ids[some]]).astype(np.uint64)
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             both = np.bitwise_or.reduceat(wide, first)
-            out[word[first]] = both >> np.uint64(32)
+            out[word[first]] |= both >> np.uint64(32)
             out[word[first] + 1] |= both & np.uint64(0xFFFFFFFF)
         raw = out.astype(">u4").tobytes()
         per = -(-n // LANE)
@@ -302,7 +308,11 @@ def _tokenized(model, end: int):
     def run(batches):
         t = tokens(model.value)
         for columns, texts in chunks(batches, _CHUNK):
-            ids, ptr = t.encode(texts)
+            if len(texts) == 1 and len(texts[0]) > _CHUNK:
+                ids = np.concatenate([t.encode([x])[0] for x in parts_of(texts[0])])
+                ptr = np.array([0, len(ids)])
+            else:
+                ids, ptr = t.encode(texts)
             ids = np.insert(ids, ptr[1:], np.uint32(end))
             cut = ptr + np.arange(len(ptr))
             planes = []
@@ -310,12 +320,13 @@ def _tokenized(model, end: int):
                 raw = (ids >> np.uint32(shift)).astype(np.uint8).tobytes()
                 some = shift < 16 or any(raw)
                 planes.append(pa.array([raw[a:b] if some else b"" for a, b in zip(cut[:-1], cut[1:])], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*columns, *planes], names=["part", "doc_id", "low", "high", "top"])
+            tie = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(tie, pa.int64()), *planes], names=["doc_id", "tie", "low", "high", "top"])
 
     return run
 
 
-_TOKENS = "part int, doc_id long, low binary, high binary, top binary"
+_TOKENS = "doc_id long, tie long, low binary, high binary, top binary"
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -338,20 +349,13 @@ def _counted(batches):
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], names=["id", "n"])
 
 
-def _packed(code):
-    def run(batches):
-        for batch in batches:
-            n, payload, lanes = code.value.pack(*_ids(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(payload, pa.binary()), pa.array(lanes, pa.binary())], names=["part", "doc_id", "n", "payload", "lanes"])
-
-    return run
-
-
-def _blocks():
-    """Sorted documents to blocks: their codes behind one another, each from a whole byte."""
+def _blocks(code):
+    """Sorted documents to blocks: their codes behind one another, each from a whole byte.  A task's documents are a part."""
 
     def run(batches):
-        part, number, before, held, size = None, 0, 0, [], 0
+        from pyspark import TaskContext
+
+        part, number, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def block():
             nonlocal number, before, held, size
@@ -360,11 +364,9 @@ def _blocks():
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
-            for p, doc, n, payload, lanes in zip(*(x.to_pylist() for x in batch.columns)):
-                if held and (p != part or size + n > BLOCK):
+            for doc, n, payload, lanes in zip(batch.column("doc_id").to_pylist(), *code.value.pack(*_ids(batch))):
+                if held and size + n > BLOCK:
                     yield block()
-                if p != part:
-                    part, number, before = p, 0, 0
                 held.append((doc, n, payload, lanes))
                 size += n
         if held:
@@ -403,30 +405,26 @@ def _read(code):
 def write(docs: DataFrame, path: str, model_path: str, end: int = 0) -> None:
     """Write the ids of every whole text, each document's followed by `end`, in ascending doc_id order.
 
-    The ids wait in a table in the shared folder for the counts and then for the codes; it is
-    deleted at the end.  Documents are dealt to parts by quantiles of doc_id, which a sketch over
-    that column gives; null ids come first.  A null text is empty.  Repeated rows are written
+    The ids wait in a table in the shared folder for the counts, the ranges and the codes; it is
+    deleted at the end.  Documents are dealt to parts by ranges of doc_id and, where one id (or none) has many rows, of
+    a checksum and a row number; null ids come first.  A null text is empty.  Repeated rows are written
     as often as they stand there.  An empty table gives no block.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("doc_id", docs["doc_id"].cast("long"))
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    place = F.lit(0)
-    if cuts:
-        place = F.aggregate(F.array(*map(F.lit, sorted(set(cuts)))), F.lit(0), lambda n, c: n + F.when(F.col("doc_id") > c, 1).otherwise(0))
     held = f"{path}/ids"
-    as_bytes(docs.withColumn("part", place), "part", "doc_id").mapInArrow(_tokenized(model, end), _TOKENS).write.option("compression", "zstd").parquet(held)
+    as_bytes(docs, "doc_id").mapInArrow(_tokenized(model, end), _TOKENS).write.option("compression", "zstd").parquet(held)
     ids = spark.read.schema(_TOKENS).parquet(held)
-    counts = ids.mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
-    lengths = code_lengths({r.id: r.n for r in counts})
+    counts = ids.select("low", "high", "top").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
+    lengths = code_lengths({r.id: r.n for r in counts}, max(LIMIT, (len(counts) - 1).bit_length()))
     spark.createDataFrame(sorted(lengths.items()), "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     code = spark.sparkContext.broadcast(Code(lengths))
-    coded = ids.mapInArrow(_packed(code), "part int, doc_id long, n int, payload binary, lanes binary")
-    dealt = coded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n", F.xxhash64("payload"))
-    dealt.mapInArrow(_blocks(), _BLOCK_DDL).write.parquet(f"{path}/blocks")
+    keys = [F.col("doc_id").asc_nulls_first(), "tie", "row"]
+    numbered = ids.withColumn("row", F.monotonically_increasing_id())  # of a stored table's rows
+    dealt = numbered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    dealt.select("doc_id", "low", "high", "top").mapInArrow(_blocks(code), _BLOCK_DDL).write.parquet(f"{path}/blocks")
     forget(spark, held)
 
 
@@ -447,8 +445,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """Write below the shared folder, then read back."""
-    import uuid
-
-    path = f"{shared_dir(docs.sparkSession)}/veldspar/ids-{uuid.uuid4().hex}"
+    path = place(docs.sparkSession, "ids")
     write(docs, path, model_path)
     return read(docs.sparkSession, path)
