@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from .common import Words, as_bytes, chunks, forget, place, table
 
 #: Bits of the longest code, ids between checkpoints, and ids of a block (a longer document has its own).
-LIMIT, LANE, BLOCK = 16, 64, 1 << 15
+LIMIT, LANE, BLOCK = 16, 64, 1 << 17
 #: Bits that a decoder can look up at once; a vocabulary in use of more than 1 << LIMIT ids has longer codes, up to this.
 MOST_BITS = 17
 #: Ids that are packed at once.
 _SLAB = 1 << 20
 #: Word pieces that a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
-_SPACES = [bytes([c]) for c in b"\n\t\r\v\f\x1c\x1d\x1e\x1f"]
+_SPACES = [(bytes([c]), bytes([c, 32]), bytes([32, c])) for c in b"\n\t\r\v\f\x1c\x1d\x1e\x1f"]
 #: White space beyond ASCII that may end before a space.
 _WIDE_ENDS = tuple(c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace())
 #: Starts of white space beyond ASCII in UTF-8 (and of other characters; such texts go whole).
@@ -93,8 +93,9 @@ class ByteTokens:
         """Whether every piece between spaces can be tokenized apart."""
         if b"  " in t or b"<|" in t or b"\0" in t or t[:1].isspace() or t[-1:].isspace():
             return False
-        if any(w in t and (w + b" " in t or b" " + w in t) for w in _SPACES):
-            return False
+        for w, before, after in _SPACES:
+            if w in t and (before in t or after in t):
+                return False
         return t.isascii() or not any(w in t for w in _WIDE)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -303,10 +304,10 @@ class Code:
 
 
 def _tokenized(model, end: int):
-    """Ids of each text and the end id, a byte plane a column: planes press better than whole numbers."""
+    """Ids of each text and the end id, a byte plane a column: planes press better than whole numbers.  A task's last row holds its counts."""
 
     def run(batches):
-        t = tokens(model.value)
+        t, total = tokens(model.value), np.zeros(1 << 16, np.int64)
         for columns, texts in chunks(batches, _CHUNK):
             if len(texts) == 1 and len(texts[0]) > _CHUNK:
                 ids = np.concatenate([t.encode([x])[0] for x in parts_of(texts[0])])
@@ -315,18 +316,24 @@ def _tokenized(model, end: int):
                 ids, ptr = t.encode(texts)
             ids = np.insert(ids, ptr[1:], np.uint32(end))
             cut = ptr + np.arange(len(ptr))
+            count = np.bincount(ids, minlength=len(total))
+            total = np.pad(total, (0, len(count) - len(total))) + count
             planes = []
             for shift in (0, 8, 16):
                 raw = (ids >> np.uint32(shift)).astype(np.uint8).tobytes()
                 some = shift < 16 or any(raw)
                 planes.append(pa.array([raw[a:b] if some else b"" for a, b in zip(cut[:-1], cut[1:])], pa.binary()))
             tie = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(tie, pa.int64()), *planes], names=["doc_id", "tie", "low", "high", "top"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(tie, pa.int64()), *planes, pa.nulls(len(tie), pa.binary())], names=names)
+        if total.any():
+            none = [pa.nulls(1, pa.int64())] * 2 + [pa.nulls(1, pa.binary())] * 3
+            yield pa.RecordBatch.from_arrays([*none, pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
+    names = ["doc_id", "tie", "low", "high", "top", "counts"]
     return run
 
 
-_TOKENS = "doc_id long, tie long, low binary, high binary, top binary"
+_TOKENS = "doc_id long, tie long, low binary, high binary, top binary, counts binary"
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -339,14 +346,11 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches):
-    total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        count = np.bincount(_ids(batch)[0], minlength=len(total))
-        if len(count) > len(total):
-            total = np.pad(total, (0, len(count) - len(total)))
-        total += count
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], names=["id", "n"])
+        for held in batch.column(0).to_pylist():
+            count = np.frombuffer(held, "<i8")
+            ids = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(count[ids])], names=["id", "n"])
 
 
 def _blocks(code):
@@ -416,8 +420,9 @@ def write(docs: DataFrame, path: str, model_path: str, end: int = 0) -> None:
         model = spark.sparkContext.broadcast(f.read())
     held = f"{path}/ids"
     as_bytes(docs, "doc_id").mapInArrow(_tokenized(model, end), _TOKENS).write.option("compression", "zstd").parquet(held)
-    ids = spark.read.schema(_TOKENS).parquet(held)
-    counts = ids.select("low", "high", "top").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
+    stored = spark.read.schema(_TOKENS).parquet(held)
+    ids = stored.where("counts is null").drop("counts")
+    counts = stored.select("counts").where("counts is not null").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
     lengths = code_lengths({r.id: r.n for r in counts}, max(LIMIT, (len(counts) - 1).bit_length()))
     spark.createDataFrame(sorted(lengths.items()), "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     code = spark.sparkContext.broadcast(Code(lengths))
