@@ -2,12 +2,14 @@
 
 A text becomes segments that start at a word mark; no piece of the vocabulary holds
 the mark after another character (checked at load), so no merge crosses a segment's
-start.  The segments that a worker hasn't met are laid end to end as one flat array
-of symbols.  Each round takes the least pair rank of every segment, merges its
+start.  Nor does one cross two neighbouring characters that no piece holds side by side, so segments are cut there
+(which leaves a few characters together in text without spaces).  The segments that a worker hasn't met are laid end to end
+as one flat array of symbols.  Each round takes the least pair rank of every segment, merges its
 leftmost occurrence in all segments at once, looks up the two new pairs beside each
-merge, drops the merged symbols, and moves finished segments out, until no pair remains.
-Very long segments go through the same merges with a heap, since rounds would be as many
-as their symbols.
+merge, drops the merged symbols, and moves finished segments out, until no pair remains.  Where a merge
+can't open a pair of lower rank, all its occurrences in a segment merge in one round, which changes nothing but the number of rounds.
+Segments of more than LONG characters that are still open after FIRST rounds are finished with a heap, since rounds
+could be as many as their symbols.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,11 @@ from pyspark.sql import DataFrame
 from .common import as_bytes, chunks
 
 MARK = "▁"
-LONG = 400
-#: Segments that a worker remembers before it starts anew.
-REMEMBERED = 350_000
+LONG, FIRST = 400, 24
+#: Segments that a worker remembers before it starts anew, bytes of them, and characters of a segment that is remembered.
+REMEMBERED, HELD, SHORT = 350_000, 96 << 20, 200
+#: Characters that are merged at once, and of a text that is encoded at once, about.
+_SLAB, _PART = 1 << 20, 4 << 20
 _NONE = np.int64(1 << 40)
 _coders: dict[int, "PieceCoder"] = {}
 
@@ -44,6 +49,9 @@ class PieceCoder:
             raise ValueError("a piece holds the word mark after another character")
         if sum(bytes_) != 256:
             raise ValueError("the model has no byte pieces")
+        probe = "  ①ﬁ  Ａe\u0301\u200b\n x  "
+        if sp.decode(sp.encode(probe)) != probe or not sp.encode_as_pieces("a")[0].startswith(MARK) or sp.encode_as_pieces("  a") != sp.encode_as_pieces(" " + MARK + "a"):
+            raise ValueError("the model changes texts or puts no mark before them")
         self.byte_id = np.zeros(256, np.int64)
         self.surface = []
         for i, name in enumerate(names):
@@ -72,30 +80,40 @@ class PieceCoder:
         pairs = [(symbols[name[:j]] * self.size + symbols[name[j:]], i) for name, i in ids.items() for j in range(1, len(name)) if name[:j] in symbols and name[j:] in symbols]
         key, made = np.array(sorted(pairs), np.int64).T
         self.key, self.value = key, rank[made] * self.size + made  # rank first, and what the pair becomes
+        opens = np.zeros(self.size, bool)  # pieces that stand in a pair of lower rank than their own
+        for part in (key // self.size, key % self.size):
+            lower = (part < self.n) & (rank[made] < rank[np.minimum(part, self.n - 1)])
+            opens[part[lower]] = True
+        alone = np.bincount(rank[made][np.unique(made, return_index=True)[1]], minlength=self.n) == 1
+        self.at_once = ~opens
+        self.at_once[: self.n] &= alone[rank]
+        self.beside = np.unique([ord(a) << 21 | ord(b) for name in ids for a, b in zip(name, name[1:])])
+        self.pairs: dict[int, int] = {}
+        self.surfaces = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.lengths = np.array([len(x) for x in self.surface])
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.byte_like, self.mute = np.array(bytes_), np.array(self.silent)
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.count: list[int] = []
-        self.ids: list[bytes] = []
-        self.text: list[bytes] = []
+        self.ids: list[bytes] = []  # little-endian, 32 bits
+        self.digits: list[bytes] = []
+        self.held = 0
 
     def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         want = left * self.size + right
         at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
         return np.where((self.key[at] == want) & (left >= 0) & (right >= 0), self.value[at], _NONE)
 
-    def rounds(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat symbols, the characters they start at, and the segment of each."""
-        points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
-        sym, at, seg = self.char[points], np.arange(len(points)), np.repeat(np.arange(len(segments)), lengths)
+    def rounds(self, sym: np.ndarray, at: np.ndarray, seg: np.ndarray, most: int | None = None) -> tuple[tuple, tuple]:
+        """Merged (symbols, places, segments) of finished segments and of those still open after `most` rounds."""
         best = np.full(len(sym), _NONE)
         best[:-1] = self.look(sym[:-1], sym[1:])
-        last = np.cumsum(lengths) - 1
-        best[last] = _NONE  # no pair reaches over a segment's end
+        best[:-1][seg[1:] != seg[:-1]] = _NONE  # no pair reaches over a segment's end
         done = []
-        while len(sym):
+        while len(sym) and most != 0:
+            most = most and most - 1
             first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
             size = np.diff(np.concatenate([first, [len(seg)]]))
             least = np.repeat(np.minimum.reduceat(best, first), size)
@@ -106,7 +124,11 @@ class PieceCoder:
                 if not len(sym):
                     break
             hit = np.flatnonzero(best == least)
-            hit = hit[np.concatenate([[True], seg[hit[1:]] != seg[hit[:-1]]])]
+            new = np.concatenate([[True], seg[hit[1:]] != seg[hit[:-1]]])
+            # of occurrences that overlap in a row, every other one counts from the left
+            run = np.flatnonzero(new | np.concatenate([[True], np.diff(hit) > 1]))
+            turn = np.arange(len(hit)) - np.repeat(run, np.diff(np.concatenate([run, [len(hit)]])))
+            hit = hit[new | (self.at_once[best[hit] % self.size] & (turn % 2 == 0))]
             sym[hit] = best[hit] % self.size
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
@@ -122,20 +144,20 @@ class PieceCoder:
             before = hit[hit > 0]
             before = before[seg[before - 1] == seg[before]]
             best[before - 1] = self.look(sym[before - 1], sym[before])
-        sym, at, seg = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 3
-        order = np.argsort(seg, kind="stable")
-        return sym[order], at[order], seg[order]
-
-    def heap(self, segment: str) -> list[int]:
-        """The same merges for one long segment."""
-        points = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32)
-        sym = self.char[points]
-        value = self.look(sym[:-1], sym[1:])
-        table = dict(zip(self.key.tolist(), self.value.tolist()))
-        sym = sym.tolist()
+        none = (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*done, none)), (sym, at, seg)
+
+    def heap(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, places) that the same merges leave of one long segment."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.key.tolist(), self.value.tolist()))
+        table = self.pairs
+        value = self.look(symbols[:-1], symbols[1:])
+        sym = symbols.tolist()
         n = len(sym)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        queue = [(int(v) // self.size, i, sym[i], sym[i + 1], int(v) % self.size) for i, v in enumerate(value) if v != _NONE]
+        some = np.flatnonzero(value != _NONE)
+        queue = [(v // self.size, i, sym[i], sym[i + 1], v % self.size) for i, v in zip(some.tolist(), value[some].tolist())]
         heapq.heapify(queue)
         while queue:
             _, i, a, b, made = heapq.heappop(queue)
@@ -150,35 +172,56 @@ class PieceCoder:
                     v = table.get(sym[left] * self.size + sym[right])
                     if v is not None:
                         heapq.heappush(queue, (v // self.size, left, sym[left], sym[right], v % self.size))
-        out: list[int] = []
-        for i in range(n):
-            if alive[i]:
-                out += self.spelled(sym[i], chr(points[i]))
-        return out
-
-    def spelled(self, symbol: int, character: str) -> list[int]:
-        """The id, or the byte ids of a character that is no piece."""
-        if 0 <= symbol < self.n:
-            return [symbol]
-        return [int(self.byte_id[b]) for b in character.encode("utf-8", "surrogatepass")]
-
-    def encode_segments(self, segments: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(segments)
-        short = [k for k, s in enumerate(segments) if len(s) <= LONG]
-        for k, s in enumerate(segments):
-            if len(s) > LONG:
-                out[k] = self.heap(s)
-        if short:
-            some = [segments[k] for k in short]
-            sym, at, seg = self.rounds(some)
-            edge = np.searchsorted(seg, np.arange(len(some) + 1))
-            whole = (sym >= 0) & (sym < self.n)
-            odd = set(seg[~whole].tolist())
-            joined, listed = "".join(some) if odd else "", sym.tolist()
-            for x, k in enumerate(short):
-                low, high = edge[x], edge[x + 1]
-                out[k] = listed[low:high] if x not in odd else [i for p in range(low, high) for i in self.spelled(listed[p], joined[at[p]])]
-        return out
+        left = np.flatnonzero(alive)
+        return np.array(sym, np.int64)[left], left
+
+    def merged(self, points: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, places) of code points; a character that is no piece has an id for each of its bytes."""
+        sym, at = self.char[points], np.arange(len(points))
+        long = np.bincount(seg)[seg] > LONG
+        parts = [self.rounds(sym[~long], at[~long], seg[~long])[0]]
+        if long.any():
+            closed, (sym, at, seg) = self.rounds(sym[long], at[long], seg[long], FIRST)
+            parts.append(closed)
+            cut = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1], [True]])) if len(seg) else np.zeros(1, np.int64)
+            for a, b in zip(cut[:-1], cut[1:]):
+                some, left = self.heap(sym[a:b])
+                parts.append((some, at[a:b][left], seg[a:b][left]))
+        sym, at, _ = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(at, kind="stable")
+        sym, at = sym[order], at[order]
+        whole = (sym >= 0) & (sym < self.n)
+        if whole.all():
+            return sym, at
+        code = points[at]
+        size = np.where(whole, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+        ids = np.repeat(sym, size)
+        odd = code[~whole].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        ids[np.repeat(~whole, size)] = self.byte_id[np.frombuffer(odd, np.uint8)]
+        return ids, np.repeat(at, size)
+
+    def encode_segments(self, segments: list[str]) -> list[np.ndarray]:
+        """The ids of each segment, with its marks."""
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        end = np.cumsum(lengths)
+        points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = points[:-1].astype(np.int64) << 21 | points[1:]
+        apart = np.ones(len(points), bool)
+        apart[1:] = self.beside[np.minimum(np.searchsorted(self.beside, code), len(self.beside) - 1)] != code
+        apart[end[:-1]] = True
+        first = np.flatnonzero(apart)
+        low, ids, at = 0, [], []
+        while low < len(points):  # slabs end where a segment does
+            k = np.searchsorted(first, low + _SLAB)
+            high = int(first[k]) if k < len(first) else len(points)
+            got, where = self.merged(points[low:high], np.cumsum(apart[low:high]) - 1)
+            ids.append(got.astype("<i4"))
+            at.append(where + low)
+            low = high
+        if not ids:
+            return []
+        ids, at = np.concatenate(ids), np.concatenate(at)
+        return np.split(ids, np.searchsorted(at, end[:-1]))
 
     def segments(self, text: str) -> list[str]:
         """The text's segments without their first word mark; those with odd marks start with a mark."""
@@ -189,9 +232,9 @@ class PieceCoder:
 
     def places(self, texts: list[str]) -> list[list[int]]:
         """For each text the entries of its segments; new segments are encoded together."""
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > REMEMBERED or self.held > HELD:
             self.clear()
-        index, new = self.index, []
+        index, new, size = self.index, [], len(self.ids)
         out = []
         for t in texts:
             parts = self.segments(t)
@@ -201,23 +244,73 @@ class PieceCoder:
                     if p is None:
                         p = index.get(parts[i])
                         if p is None:
-                            p = index[parts[i]] = len(index)
+                            p = size + len(new)
+                            if len(parts[i]) <= SHORT:
+                                index[parts[i]] = p
                             new.append(parts[i])
                         got[i] = p
             out.append(got)
         for ids in self.encode_segments([s if s[0] == MARK else MARK + s for s in new]):
-            self.count.append(len(ids))
-            self.ids.append(b" ".join([self.decimal[i] for i in ids]))
-            self.text.append(b"".join([self.surface[i] for i in ids]))
+            self.ids.append(ids.tobytes())
+            self.digits.append(b" ".join(map(self.decimal.__getitem__, ids.tolist())))
+            self.held += 12 * len(ids) + 100
         return out
 
+    def parts(self, text: str) -> Iterator[str]:
+        """A text in parts that are encoded each by itself; the space between two of them opens the later one."""
+        low, at = 0, _PART
+        while at < len(text):
+            at = text.find(" ", at)
+            if at < 0:
+                break
+            if text[at - 1] in (" ", MARK) or text[at + 1 : at + 2] in ("", " ", MARK):
+                at += 1
+                continue
+            yield text[low:at]
+            low, at = at + 1, at + 1 + _PART
+        yield text[low:]
+
+    def batches(self, texts: list[str]) -> Iterator[list[list[int]]]:
+        """The entries of the segments of all texts, then of the parts of a very long one, which comes alone."""
+        if len(texts) == 1 and len(texts[0]) > _PART:
+            yield from (self.places([p]) for p in self.parts(texts[0]))
+        else:
+            yield self.places(texts)
+
+    def taken(self, entries: list[int]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.ids.__getitem__, entries)), "<i4")
+
     def encode(self, text: str) -> list[int]:
         """The ids of a text with the end id."""
-        return [i for s in self.encode_segments([s if s[0] == MARK else MARK + s for s in self.segments(text)]) for i in s] + [self.eos]
+        return [*(i for (got,) in self.batches([text]) for i in self.taken(got).tolist()), self.eos]
+
+    def said(self, ids: np.ndarray, begins: bool = True) -> bytes:
+        """The text of ids as UTF-8; a byte that is no part of a character becomes U+FFFD."""
+        size = self.lengths[ids]
+        end = np.cumsum(size)
+        raw = self.surfaces[np.repeat(self.begin[ids] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        if begins and len(ids):
+            heard = np.flatnonzero(~self.mute[ids[:8]])
+            first = int(ids[heard[0]]) if len(heard) else next((i for i in ids.tolist() if not self.silent[i]), None)
+            if first is not None and self.marked[first]:
+                raw = raw[1:]
+        if self.byte_like[ids].any():
+            try:
+                raw.decode("utf-8")
+                broken = self.mute[ids[:-1]].any()
+            except UnicodeDecodeError:
+                broken = True
+            if broken:
+                raw = self.spelled_out(ids.tolist(), begins).encode()
+        return raw
 
     def decode(self, ids: list[int]) -> str:
-        """The text of any ids; a byte that is no part of valid UTF-8 becomes U+FFFD."""
-        out, run, begun = [], bytearray(), False
+        """The text of any ids."""
+        return self.said(np.array(ids, np.int64)).decode("utf-8")
+
+    def spelled_out(self, ids: list[int], begins: bool = True) -> str:
+        """The same one id after another, for bytes that are no character."""
+        out, run, begun = [], bytearray(), not begins
 
         def flush():
             low = 0
@@ -261,20 +354,35 @@ def _whole(texts: list[bytes]) -> list[str]:
     return [t.decode("utf-8", "replace") for t in texts]
 
 
-def _digests(model):
+def _digests(model, with_ids: bool):
     def run(batches):
         c = coder(model.value)
         end = b"%d" % c.eos
-        for (ids,), texts in chunks(batches, 4 << 20):
-            n, a, b = [], [], []
-            for got in c.places(_whole(texts)):
-                n.append(sum(map(c.count.__getitem__, got)) + 1)
-                listed = list(map(c.ids.__getitem__, got))
-                listed.append(end)
-                a.append(hashlib.sha256(b" ".join(listed)).hexdigest())
-                said = b"".join(map(c.text.__getitem__, got))
-                b.append(hashlib.sha256(said[1:] if said[:1] == b" " else said).hexdigest())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for (doc_ids,), texts in chunks(batches, 4 << 20):
+            n, a, b, listed = [], [], [], []
+            for part, entries in enumerate(c.batches(_whole(texts))):
+                for got in entries:
+                    ids = c.taken(got)
+                    digits = b" ".join(map(c.digits.__getitem__, got))
+                    if part == 0:
+                        n.append(0)
+                        a.append(hashlib.sha256())
+                        b.append(hashlib.sha256())
+                        listed.append([])
+                    n[-1] += len(ids)
+                    if digits:
+                        a[-1].update(digits + b" ")
+                    b[-1].update(c.said(ids, part == 0))
+                    if with_ids:
+                        listed[-1].append(ids)
+            for h in a:
+                h.update(end)
+            cols = [doc_ids, pa.array([x + 1 for x in n], pa.int64()), pa.array([h.hexdigest() for h in a]), pa.array([h.hexdigest() for h in b])]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                cols.append(pa.array([np.append(np.concatenate([*x, np.zeros(0, np.int32)]), np.int32(c.eos)).astype(np.int32) for x in listed], pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -283,7 +391,11 @@ def _encoded(model):
     def run(batches):
         c = coder(model.value)
         for columns, texts in chunks(batches, 4 << 20):
-            ids = [np.array([int(x) for g in got for x in c.ids[g].split()] + [c.eos], np.int32) for got in c.places(_whole(texts))]
+            out = [[] for _ in texts]
+            for entries in c.batches(_whole(texts)):
+                for held, got in zip(out, entries):
+                    held.append(c.taken(got))
+            ids = [np.append(np.concatenate(x), c.eos).astype(np.int32) for x in out]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
@@ -315,12 +427,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decoded(_model(encoded, path)), "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, one row per row.
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, one row per row; on request ids array<int> too.
 
-    Ids are those of the encoder above with the end id; the decoded text is what they
-    spell.  Null and empty texts have one id and decode to an empty text; null ids of
+    Ids are those of the encoder above with the end id; the decoded text is what the decoder makes
+    of them.  Null and empty texts have one id and decode to an empty text; null ids of
     documents and repeated rows stay; other columns are not read.
     """
     docs = docs.withColumn("doc_id", docs["doc_id"].cast("long"))
-    return as_bytes(docs, "doc_id").mapInArrow(_digests(_model(docs, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return as_bytes(docs, "doc_id").mapInArrow(_digests(_model(docs, path), with_ids), kinds)
