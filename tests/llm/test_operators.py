@@ -68,6 +68,21 @@ def test_simhash_links_in_small_and_large_postings(spark, crowd, bits):
     assert {p: found.get(p, p) for p in prints} == groups(wide, bits)
 
 
+def test_shared_postings_tell_shared_bytes():
+    for n in range(9):
+        for same in itertools.combinations(range(8), n):
+            shared = sum(set(c) <= set(same) for c in simhash.POSITIONS)
+            assert (shared >= simhash.SHARED[6], shared >= simhash.SHARED[7], shared >= simhash.SHARED[8]) == (n >= 6, n >= 7, n == 8)
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_fingerprints_of_long_texts(texts, width):
+    some = [t.encode() for t in texts.values()] + [b" a  b " * 50, b"x" * 900, b"x" * 900 + b" y z", b"p q " + b"x" * 700 + b" y", b" " * 800]
+    want = simhash.fingerprints_of(some, width)
+    for long in (16, 100, 1000):
+        assert (simhash.fingerprints_of(some, width, long) == want).all()
+
+
 def test_simhash_keeps_one_of_each_group(docs, texts):
     kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
     assert sorted(kept) == sorted(set(groups({i: fingerprint(t) for i, t in texts.items()}).values()))
