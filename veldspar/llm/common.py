@@ -232,3 +232,32 @@ def fresh(docs: DataFrame, name: str) -> str:
 def crc_rest(column: str, modulus: int):
     """crc32 of an id written as text, modulo a number (null for a null id)."""
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
+
+
+#: Rows of one key that a task may hold, about; keys with more are dealt apart.
+HOT = 100_000
+
+
+def hot_bar(counted: DataFrame, hot: int | None = None) -> int | None:
+    """The number of rows (column n) from which on keys are hot, or null where none is; at most `hot` keys can have more."""
+    hot = HOT if hot is None else hot
+    total, most = counted.agg(F.sum("n"), F.max("n")).first()
+    bar = max(hot, (total or 0) // hot)
+    return bar if (most or 0) > bar else None
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left.join(right, key), where n of right is the number of a key's rows in left: hot keys' rows go out to all executors and stay where they are."""
+    bar = hot_bar(right)
+    if bar is None:
+        return left.join(right.drop("n"), key)
+    hot = F.broadcast(right.where(F.col("n") > bar).drop("n"))  # HOT rows at most
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") <= bar).drop("n"), key)
+    return left.join(hot, key).unionByName(rest)
+
+
+def adaptive(spark: SparkSession) -> None:
+    """Skewed joins are split at run time, which is Spark's default."""
+    for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
+        if spark.conf.get(name).lower() != "true":
+            spark.conf.set(name, "true")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import adaptive, forget, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     loops don't matter.  No edge gives no row.
     """
     spark = edges.sparkSession
+    adaptive(spark)  # a component's root has as many edges as the component nodes
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now, path = stored(now, "edges")
     mark = None

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, as_bytes, chunks, segment_sums, small_batches
+from .common import SLAB, SPACED, Words, as_bytes, chunks, segment_sums, small_batches
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 20_000
@@ -45,8 +45,12 @@ def measure(texts: list[bytes]) -> np.ndarray:
     """float32 statistics of each text, in the order of FEATURES; 0 for what an empty text lacks."""
     w = Words(texts, SPACED)
     n, size = w.n, np.diff(w.offset)
-    owner = np.repeat(np.arange(n), size)
-    kinds = np.bincount(owner * 12 + _KIND[w.raw], minlength=12 * n).reshape(n, 12).astype(float)
+    kinds = np.zeros(12 * n)
+    for low in range(0, len(w.raw), SLAB):
+        high = min(low + SLAB, len(w.raw))
+        owner = np.repeat(np.arange(n), np.diff(np.clip(w.offset, low, high)))
+        kinds += np.bincount(owner * 12 + _KIND[w.raw[low:high]], minlength=12 * n)
+    kinds = kinds.reshape(n, 12)
     kinds[:, 4] -= 1  # the line end that the chunk puts after every text
     length, words = size - 1.0, w.counts.astype(float)
     per = lambda x, y: x / np.maximum(y, 1)
@@ -60,7 +64,7 @@ def measure(texts: list[bytes]) -> np.ndarray:
     line_start = np.concatenate([[0], line_end[:-1] + 1])
     line_words = np.searchsorted(w.start, line_end) - np.searchsorted(w.start, line_start)
     full = line_words > 0
-    line_who = owner[line_end]
+    line_who = np.searchsorted(w.offset, line_end, side="right") - 1
     line_hash = np.zeros(len(line_end), np.uint64)
     if len(w.hash):
         wide = np.concatenate([[np.uint64(0)], np.cumsum(w.hash * (np.arange(len(w.hash), dtype=np.uint64) * np.uint64(2) + np.uint64(1)))])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, forget, save, segment_sums, stored
+from .common import as_bytes, chunks, forget, join_counted, save, segment_sums, stored
 from .components import components
 
 SEED = 42
@@ -163,12 +163,13 @@ def near_duplicates(docs: DataFrame, bits: int = 2) -> DataFrame:
     component of nulls alone has a null id.  An empty table gives no row.
     """
     prints = save(fingerprints(docs), "fingerprints")
-    own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(own.select("fp"), bits), "a", "b")
+    own = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    edges = links(own.select("fp"), bits)
+    roots = components(edges, "a", "b")
     grouped = own.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = save(grouped.join(named, "root").select("fp", "component_id"), "labels")
-    return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = save(grouped.join(named, "root").select("fp", "component_id", "n"), "labels")
+    return join_counted(prints, labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = 2) -> DataFrame:

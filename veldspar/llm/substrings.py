@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, as_bytes, chunks, fresh, mix, save, small_batches
+from .common import CHUNK_BYTES, Words, as_bytes, chunks, fresh, hot_bar, mix, save, small_batches
 
 K, WIDTH = 6, 10
 #: Longest period, in words, of a stretch that is one seed as a whole.
@@ -90,16 +90,27 @@ def _seeds(batches):
         loop, name, wide = _loops(g, np.repeat(cut[1:], np.diff(cut)))
         place, hash_ = np.concatenate([some, loop]), np.concatenate([g[some], name])
         span = np.concatenate([np.ones(len(some), np.int64), wide])
-        order = np.argsort(place, kind="stable")
+        order = np.lexsort((place, hash_, owner[place]))
         place, hash_, span = place[order], hash_[order], span[order]
         doc = owner[place]
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array((span << 32) | (at[place] - w.ptr[doc])), pa.array(hash_.view(np.int64))], names=["doc_id", "place", "gram"])
+        # a row for each text and seed: the first place, and the others if there are any
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (hash_[1:] != hash_[:-1])]))
+        size = np.diff(np.append(first, len(place)))
+        where = (span << 32) | (at[place] - w.ptr[doc])
+        later = np.ones(len(place), bool)
+        later[first] = False
+        more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size - 1)]), pa.int32(), mask=np.append(size == 1, False)), pa.array(where[later]))
+        doc, hash_ = doc[first], hash_[first]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(where[first]), pa.array(hash_.view(np.int64)), more], names=["doc_id", "place", "gram", "more"])
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, gram) of the thinned K-mers and the loops of every whole text with an id; place holds the K-mers that a seed spans above bit 32."""
+    """(doc_id, place, gram, more) of the thinned K-mers and the loops of every whole text with an id, a row for each text and seed.
+
+    place is the seed's first place, with the K-mers that it spans above bit 32; more has the other places or is null.
+    """
     named = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return as_bytes(named, "doc_id").mapInArrow(_seeds, "doc_id long, place long, gram long")
+    return as_bytes(named, "doc_id").mapInArrow(_seeds, "doc_id long, place long, gram long, more array<long>")
 
 
 def chain(x: np.ndarray, y: np.ndarray, span: np.ndarray | int = 1) -> list[list[tuple[int, int, int, int]]]:
@@ -186,12 +197,27 @@ def _chained(batches):
         yield close(np.concatenate(held))
 
 
+def _salted(found: DataFrame, first: DataFrame) -> DataFrame:
+    """Seeds and their first holders; a seed that very many texts hold is dealt by text to several copies of its holder's row."""
+    bar = hot_bar(first)
+    if bar is None:
+        return found.join(first.drop("n"), "gram")
+    copies = F.ceil(F.col("n") / bar)
+    hot = F.broadcast(first.where(F.col("n") > bar).select("gram", copies.alias("copies")))  # common.HOT rows at most
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("copies")), F.lit(0))
+    dealt = found.join(hot, "gram", "left").withColumn("salt", salt).drop("copies")
+    return dealt.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("n"), ["gram", "salt"]).drop("salt")
+
+
 def chains(docs: DataFrame) -> DataFrame:
     """(doc_id, rep, x0, x1, y0, y1, parts): words x0 to x1 of a document match y0 to y1 of an earlier one, by segments."""
     found = seeds(docs)
     low, high = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftright(c, 32)
-    first = found.groupBy("gram").agg(F.min("doc_id").alias("rep"), F.min_by("place", F.struct("doc_id", low("place"))).alias("rep_place"), F.max("doc_id").alias("last")).where("rep <> last").select("gram", "rep", "rep_place")
-    links = found.join(first, "gram").where("doc_id <> rep").select("doc_id", "rep", low("place").alias("pos"), low("rep_place").alias("rep_pos"), F.least(high("place"), high("rep_place")).alias("span"))
+    first = found.groupBy("gram").agg(F.min("doc_id").alias("rep"), F.min_by("place", F.struct("doc_id", low("place"))).alias("rep_place"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    first = save(first.where("rep <> last").drop("last"), "firsts")
+    joined = _salted(found, first).where("doc_id <> rep")
+    places = F.when(F.col("more").isNull(), F.array("place")).otherwise(F.concat(F.array("place"), F.col("more")))
+    links = joined.select("doc_id", "rep", "rep_place", F.explode(places).alias("place")).select("doc_id", "rep", low("place").alias("pos"), low("rep_place").alias("rep_pos"), F.least(high("place"), high("rep_place")).alias("span"))
     return links.repartition("doc_id").sortWithinPartitions("doc_id", "rep", "pos", "rep_pos", "span").mapInArrow(_chained, "doc_id long, rep long, x0 long, x1 long, y0 long, y1 long, parts array<long>")
 
 
@@ -286,8 +312,26 @@ def _align(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 6 else pa.int64()) for k, c in enumerate(cols)], names=["doc_id", "rep", "start", "stop", "rep_start", "rep_stop", "alike"])
 
 
+def differing(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, least): ids with more than one text, and the least hash among them; null where there is none."""
+    hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    odd = save(hashed.groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").drop("most"), "differing")
+    n = odd.count()
+    return None if not n else F.broadcast(odd) if n <= SMALL_ROWS else odd
+
+
+def one_text(docs: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """The rows of docs but those whose id stands beside a text of a lesser hash, too."""
+    if odd is None:
+        return docs
+    name = fresh(docs, "other")
+    keyed = odd.select(F.col("doc_id").alias(name), F.col("least").alias(f"{name}_least"))
+    joined = docs.join(keyed, F.col("doc_id").cast("long") == F.col(name), "left").where(F.col(name).isNull() | (F.xxhash64("text") == F.col(f"{name}_least")))
+    return joined.select(*docs.columns)
+
+
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep, start, stop, rep_start, rep_stop, alike): aligned chains of CHAIN words or more."""
+    """(doc_id, rep, start, stop, rep_start, rep_stop, alike): aligned chains of CHAIN words or more.  An id has one text here."""
     found = save(chains(docs).withColumn("chain", F.monotonically_increasing_id()), "chains")
     asks = lambda doc, low, high, own: found.select(F.col(doc).alias("doc_id"), F.struct("chain", F.lit(own).alias("own"), F.col(low).alias("low"), F.col(high).alias("high")).alias("want"))
     wants = asks("doc_id", "x0", "x1", True).unionByName(asks("rep", "y0", "y1", False))
@@ -310,8 +354,13 @@ def passages(docs: DataFrame) -> DataFrame:
     apart at most; `others` are the ids it is matched with, the first holders; `alike` is the
     least share of equal words among its chains.  Words are runs of digits, letters and anything
     beyond ASCII, lower-cased, from 0.  Null and short texts give no row; rows with a null
-    id can't be named and give none; repeated rows of one id count once.
+    id can't be named and give none; repeated rows of one id count once, and of different texts of one id
+    the one with the least hash is the document.
     """
+    return _passages(one_text(docs, differing(docs)))
+
+
+def _passages(docs: DataFrame) -> DataFrame:
     spans = matches(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "rep", "alike"))).alias("s"))  # of one document
     merged = F.expr(f"""aggregate(s, cast(array() as array<struct<start: bigint, stop: bigint, others: array<bigint>, alike: double>>), (acc, x) ->
         if(size(acc) > 0 and x.start <= element_at(acc, -1).stop + {BRIDGE},
@@ -350,10 +399,16 @@ def trim(docs: DataFrame) -> DataFrame:
     """The documents without the passages that earlier ones hold; one that loses its last word goes.
 
     Every passage stays in the document of least id that holds it.  n_chars, if there, is counted anew.
+    Rows with a null id, and further texts of one id, stay as they are.
     """
     small_batches(docs.sparkSession)
-    found, name = save(passages(docs), "passages"), fresh(docs, "cuts")
+    odd = differing(docs)
+    found, name = save(_passages(one_text(docs, odd)), "passages"), fresh(docs, "cuts")
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias(name))
-    joined = _texts_with(docs, per_doc, found.count(), "left").select(*docs.columns, name)
+    joined = _texts_with(docs, per_doc, found.count(), "left")
+    if odd is not None:
+        least = fresh(docs, "least")
+        joined = joined.join(odd.select("doc_id", F.col("least").alias(least)), "doc_id", "left").withColumn(name, F.when(F.col(least).isNull() | (F.xxhash64("text") == F.col(least)), F.col(name)))
+    joined = joined.select(*docs.columns, name)
     out = joined.mapInArrow(_trim(docs.columns, name), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

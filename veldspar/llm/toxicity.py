@@ -4,11 +4,12 @@ Features are the distinct unigrams, bigrams and one-word skip-grams of a text's
 words, hashed to 2**BITS places.  Each coordinate has its own rate and an L1 term, so
 only places that tell toxic from other texts get a weight, and the model that goes to
 the executors is those places alone.  Learning is online and so is done in one task, over a bounded
-sample of labelled rows (SAMPLE, by hash of the id); scoring covers every whole text.
+sample of labelled rows (SAMPLE, by hash of the id, and FEATURES of them in all); scoring covers every whole text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,20 +21,20 @@ from .common import Words, as_bytes, chunks, mix
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 16_000
+#: Features of those rows that are learned from, at most; rows beyond, in the order of learning, are left out.
+FEATURES = 1 << 25
 BITS = 22
 
 
-def features(w: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of every feature occurrence."""
-    who = w.text_of()
-    places, owners = [mix(w.hash ^ np.uint64(0x1B873593))], [who]
+def features(w: Words, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, place) of every feature occurrence, one kind of feature after another."""
+    who, down = w.text_of(), np.uint64(64 - bits)
+    yield who, (mix(w.hash ^ np.uint64(0x1B873593)) >> down).astype(np.int64)
     for gap, salt in ((1, 0x85EBCA6B), (2, 0xC2B2AE35)):
         if len(w.hash) > gap:
             a, b = w.hash[:-gap], w.hash[gap:]
             inside = who[gap:] == who[:-gap]
-            places.append(mix(a * np.uint64(0x9FB21C651E98DF25) + b + np.uint64(salt))[inside])
-            owners.append(who[gap:][inside])
-    return np.concatenate(owners), (np.concatenate(places) >> np.uint64(64 - bits)).astype(np.int64)
+            yield who[gap:][inside], (mix(a * np.uint64(0x9FB21C651E98DF25) + b + np.uint64(salt))[inside] >> down).astype(np.int64)
 
 
 @dataclass
@@ -51,9 +52,8 @@ class Weights:
         return out
 
     def score(self, texts: list[bytes], dense: np.ndarray) -> np.ndarray:
-        owner, place = features(Words(texts, fold=True), self.bits)
-        some = np.flatnonzero(dense[place])
-        pairs = np.unique(owner[some] << self.bits | place[some])  # each feature once a text
+        pairs = [owner[some] << self.bits | place[some] for owner, place in features(Words(texts, fold=True), self.bits) for some in [np.flatnonzero(dense[place])]]
+        pairs = np.unique(np.concatenate(pairs))  # each feature once a text
         total = self.bias + np.bincount(pairs >> self.bits, dense[pairs & ((1 << self.bits) - 1)], len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
@@ -80,32 +80,36 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 2.0, beta: float
 
 def _rows(batches):
     for columns, texts in chunks(batches):
-        owner, place = features(Words(texts, fold=True))
-        pairs = np.unique(owner << BITS | place)
+        pairs = np.unique(np.concatenate([np.unique(owner << BITS | place) for owner, place in features(Words(texts, fold=True))]))
         cut = np.searchsorted(pairs, np.arange(len(texts) + 1) << BITS)
         x = (pairs & ((1 << BITS) - 1)).astype("<u4")
         yield pa.RecordBatch.from_arrays([*columns, pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "y", "x"])
 
 
 def _learn(batches):
-    rows, y, order = [], [], []
+    rows, y, size = [], [], 0
     for batch in batches:
-        for doc, label, x in zip(*(c.to_pylist() for c in batch.columns)):
-            rows.append(np.frombuffer(x, "<u4").astype(np.int32))
-            y.append(label)
-            order.append(((doc * 0x9E3779B97F4A7C15) & (1 << 64) - 1, doc, label))
-    by = sorted(range(len(rows)), key=order.__getitem__)
-    m = ftrl([rows[i] for i in by], np.array([y[i] for i in by], float)) if rows else Weights(0.0, np.zeros(0, np.int64), np.zeros(0, np.float32))
+        for label, x in zip(batch.column("y").to_pylist(), batch.column("x").to_pylist()):
+            size += len(x) // 4
+            if size <= FEATURES or not rows:
+                rows.append(np.frombuffer(x, "<u4").astype(np.int32))
+                y.append(label)
+    m = ftrl(rows, np.array(y, float)) if rows else Weights(0.0, np.zeros(0, np.int64), np.zeros(0, np.float32))
     yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.place.tolist()], pa.list_(pa.int64())), pa.array([m.weight.tolist()], pa.list_(pa.float32()))], names=["bias", "place", "weight"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, sample: int = SAMPLE) -> Weights:
-    """Fit on at most `sample` labelled rows that `usable` admits; null labels and ids are left out."""
+    """Fit on at most `sample` labelled rows that `usable` admits, in the order of a hash of the id.
+
+    Null labels and ids are left out.  Rows that share an id and a label count once, with the text whose features sort first.
+    """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.where(usable) if usable is not None else rows
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")  # at most `sample` rows of 12 bytes
-    got = as_bytes(some, "doc_id", "y").mapInArrow(_rows, "doc_id long, y int, x binary").repartition(1).mapInArrow(_learn, "bias double, place array<long>, weight array<float>").collect()
+    each = as_bytes(some, "doc_id", "y").mapInArrow(_rows, "doc_id long, y int, x binary").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    ordered = each.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "y")  # FTRL is sequential
+    got = ordered.select("y", "x").mapInArrow(_learn, "bias double, place array<long>, weight array<float>").collect()
     if not got:
         return Weights(0.0, np.zeros(0, np.int64), np.zeros(0, np.float32))
     return Weights(got[0].bias, np.array(got[0].place, np.int64), np.array(got[0].weight, np.float32))
