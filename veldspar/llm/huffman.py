@@ -141,10 +141,13 @@ class ByteTokens:
         self.again[at[seen]] = True
         if not seen.all():
             new = np.flatnonzero(~seen)
-            pieces = [w.raw[a:b].tobytes() for a, b in zip(w.start[words[new]], w.stop[words[new]])]
-            found = self.library.encode_batch_fast([(b" " + b" ".join(pieces)).decode("utf-8", "replace")], add_special_tokens=False)[0]
+            begin = w.start[words[new]] - 1  # with the blank before it
+            size = w.stop[words[new]] - begin
+            edge = np.concatenate([[0], np.cumsum(size)])
+            joined = w.raw[np.repeat(begin - edge[:-1], size) + np.arange(edge[-1])]
+            joined[edge[:-1]] = 32
+            found = self.library.encode_batch_fast([joined.tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0]
             ids = np.array(found.ids, np.uint32)
-            edge = np.cumsum([0, *[len(p) + 1 for p in pieces]])
             cut = np.searchsorted(np.cumsum(self.bytes[ids]) - self.bytes[ids], edge)
             self.put(ids)
             value = {"hash": own[new], "check": check[new], "place": self.used + cut[:-1], "size": np.diff(cut), "again": np.zeros(len(new), bool)}
