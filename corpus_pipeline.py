@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veldspar.llm import decontaminate, pieces, quality, simhash, substrings
-from veldspar.llm.common import save
+from veldspar.llm.common import forget, place, scratch
 from veldspar.llm.entry import table, tokenizer
 
 
@@ -30,8 +30,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids with the end id, and digests of them and of the decoded text."""
-    return pieces.digests(docs, tokenizer("piece_bpe_32k.model"))
+    """The ids of each document with the end id, and digests of them and of the decoded text."""
+    return pieces.digests(docs, tokenizer("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [
@@ -47,9 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = save(docs, name)
-    return docs
+    """The stages one after another; a stage's table goes once the next one is written, and what a stage stores on its way with it."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = place(spark, name)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
