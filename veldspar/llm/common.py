@@ -181,22 +181,25 @@ class Words:
         """A polynomial of each word's bytes, whatever stands before it."""
         size = len(self.norm)
         up, down = powers(min(size, SLAB))
-        begin, end, shift = (np.empty(len(self.start), np.uint64) for _ in range(3))
-        carry, lift, drop = 0, 1, 1  # the sum before a slab, and the powers of its first byte's place
+        out = np.empty(len(self.start), np.uint64)
+        carry, lift, drop, open_ = 0, 1, 1, None  # the sum before a slab, the powers of its first byte's place, and a word that goes on
         for low in range(0, size, SLAB):
             high = min(low + SLAB, size)
             total = np.zeros(high - low + 1, np.uint64)
             np.cumsum((self.norm[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=total[1:])
-            if low:
-                total = total * np.uint64(lift) + np.uint64(carry)
             a, b = np.searchsorted(self.start, [low, high])
-            at = self.start[a:b] - low
-            begin[a:b], shift[a:b] = total[at], down[at] * np.uint64(drop)
-            a, b = np.searchsorted(self.stop, [low + 1, high + 1])
-            end[a:b] = total[self.stop[a:b] - low]
-            carry = int(total[-1])
+            c, d = np.searchsorted(self.stop, [low + 1, high + 1])
+            if open_ is not None and d > c:
+                out[c] = (open_[0] + int(total[self.stop[c] - low]) * lift + carry) * open_[1] % (1 << 64)
+                c, open_ = c + 1, None
+            at = self.start[c:d] - low
+            out[c:d] = (total[self.stop[c:d] - low] - total[at]) * down[at]  # no word's sum depends on where it stands
+            if b > d and open_ is None:
+                at = int(self.start[d] - low)
+                open_ = -(int(total[at]) * lift + carry), int(down[at]) * drop
+            carry = (carry + int(total[-1]) * lift) % (1 << 64)
             lift, drop = lift * pow(_PRIME, SLAB, 1 << 64) % (1 << 64), drop * pow(_INVERSE, SLAB, 1 << 64) % (1 << 64)
-        return (end - begin) * shift
+        return out
 
     def text_of(self) -> np.ndarray:
         """The number of each word's text."""

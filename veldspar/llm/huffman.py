@@ -17,6 +17,7 @@ table for each id.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,7 @@ _WIDE_ENDS = tuple(c.encode() for c in map(chr, range(128, 0x3001)) if c.isspace
 #: Starts of white space beyond ASCII in UTF-8 (and of other characters; such texts go whole).
 _WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _PIECES = table(separators=b" ", lower=False)
+_LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 _CHUNK = 3 << 20
 _odd: dict[str, np.ndarray] = {}
 _tokenizers: dict[int, "ByteTokens"] = {}
@@ -65,6 +67,10 @@ class ByteTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model.decode())
+        said = json.loads(model)
+        split = said.get("pre_tokenizer") or {}
+        # letters between spaces are one token for the merges, which then needn't be cut out of a text
+        self.plain = said.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
         vocabulary = self.library.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
         self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
@@ -114,7 +120,12 @@ class ByteTokens:
         rest[w.ptr[:-1][full]] = False  # first pieces have no space before them
         alone = [t if not ok else t.partition(b" ")[0] for t, ok in zip(texts, plain)]
         got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in alone], add_special_tokens=False)]
-        own, first, back = np.unique(w.hash[rest], return_index=True, return_inverse=True)
+        order = np.argsort(w.hash[rest])
+        own = w.hash[rest][order]
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        own, first, back = own[new], order[new], np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
         check = _second(w, rest)
         if (check[first][back] != check).any():  # two pieces with one hash: the library takes the chunk whole
             got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
@@ -146,9 +157,7 @@ class ByteTokens:
             edge = np.concatenate([[0], np.cumsum(size)])
             joined = w.raw[np.repeat(begin - edge[:-1], size) + np.arange(edge[-1])]
             joined[edge[:-1]] = 32
-            found = self.library.encode_batch_fast([joined.tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0]
-            ids = np.array(found.ids, np.uint32)
-            cut = np.searchsorted(np.cumsum(self.bytes[ids]) - self.bytes[ids], edge)
+            ids, cut = self.tokenized(joined, edge)
             self.put(ids)
             value = {"hash": own[new], "check": check[new], "place": self.used + cut[:-1], "size": np.diff(cut), "again": np.zeros(len(new), bool)}
             self.used += len(ids)
@@ -161,6 +170,28 @@ class ByteTokens:
             at, _ = self._look(own, check)
         return at
 
+    def tokenized(self, joined: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces with a blank before each, which begin at edge, and where each piece's begin."""
+        size = np.diff(edge)
+        letters = np.add.reduceat(_LETTER[joined], edge[:-1], dtype=np.int64) == size - 1
+        letters &= self.plain
+        raw = joined.tobytes()
+        text = raw.decode("latin-1")
+        merges = self.library.model.tokenize
+        words = np.flatnonzero(letters)
+        ids = [[t.id for t in merges("Ġ" + text[a + 1 : b])] for a, b in zip(edge[words].tolist(), edge[words + 1].tolist())]
+        n = np.zeros(len(size), np.int64)
+        n[words] = np.fromiter(map(len, ids), np.int64, len(ids))
+        others = np.flatnonzero(~letters)
+        some = [raw[a:b] for a, b in zip(edge[others].tolist(), edge[others + 1].tolist())]
+        together = [b"".join(some[k : k + 100]).decode("utf-8", "replace") for k in range(0, len(some), 100)]
+        rest = np.array([i for e in self.library.encode_batch_fast(together, add_special_tokens=False) for i in e.ids], np.uint32)
+        n[others] = np.diff(np.searchsorted(np.cumsum(self.bytes[rest]) - self.bytes[rest], np.concatenate([[0], np.cumsum(size[others])])))
+        out = np.empty(int(n.sum()), np.uint32)
+        mine = np.repeat(letters, n)
+        out[mine], out[~mine] = [i for x in ids for i in x], rest
+        return out, np.concatenate([[0], np.cumsum(n)])
+
     def put(self, ids: np.ndarray) -> None:
         """Write ids behind the remembered ones."""
         if self.used + len(ids) > len(self.flat):

@@ -205,9 +205,11 @@ class PieceCoder:
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
         end = np.cumsum(lengths)
         points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = points[:-1].astype(np.int64) << 21 | points[1:]
         apart = np.ones(len(points), bool)
-        apart[1:] = self.beside[np.minimum(np.searchsorted(self.beside, code), len(self.beside) - 1)] != code
+        for low in range(1, len(points), _SLAB):
+            some = points[low - 1 : low + _SLAB].astype(np.int64)
+            code = some[:-1] << 21 | some[1:]
+            apart[low : low + _SLAB] = self.beside[np.minimum(np.searchsorted(self.beside, code), len(self.beside) - 1)] != code
         apart[end[:-1]] = True
         first = np.flatnonzero(apart)
         low, ids, at = 0, [], []
@@ -216,7 +218,7 @@ class PieceCoder:
             high = int(first[k]) if k < len(first) else len(points)
             got, where = self.merged(points[low:high], np.cumsum(apart[low:high]) - 1)
             ids.append(got.astype("<i4"))
-            at.append(where + low)
+            at.append((where + low).astype(np.int32))
             low = high
         if not ids:
             return []
@@ -252,7 +254,7 @@ class PieceCoder:
             out.append(got)
         for ids in self.encode_segments([s if s[0] == MARK else MARK + s for s in new]):
             self.ids.append(ids.tobytes())
-            self.digits.append(b" ".join(map(self.decimal.__getitem__, ids.tolist())))
+            self.digits.append(b" ".join([b" ".join(map(self.decimal.__getitem__, ids[k : k + _SLAB].tolist())) for k in range(0, len(ids), _SLAB)]))
             self.held += 12 * len(ids) + 100
         return out
 
@@ -286,9 +288,7 @@ class PieceCoder:
 
     def said(self, ids: np.ndarray, begins: bool = True) -> bytes:
         """The text of ids as UTF-8; a byte that is no part of a character becomes U+FFFD."""
-        size = self.lengths[ids]
-        end = np.cumsum(size)
-        raw = self.surfaces[np.repeat(self.begin[ids] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        raw = b"".join([self._surface(ids[k : k + _SLAB]) for k in range(0, len(ids), _SLAB)])
         if begins and len(ids):
             heard = np.flatnonzero(~self.mute[ids[:8]])
             first = int(ids[heard[0]]) if len(heard) else next((i for i in ids.tolist() if not self.silent[i]), None)
@@ -304,6 +304,11 @@ class PieceCoder:
                 raw = self.spelled_out(ids.tolist(), begins).encode()
         return raw
 
+    def _surface(self, ids: np.ndarray) -> bytes:
+        size = self.lengths[ids]
+        end = np.cumsum(size)
+        return self.surfaces[np.repeat(self.begin[ids] - (end - size), size) + np.arange(end[-1])].tobytes()
+
     def decode(self, ids: list[int]) -> str:
         """The text of any ids."""
         return self.said(np.array(ids, np.int64)).decode("utf-8")
