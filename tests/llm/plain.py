@@ -1,10 +1,12 @@
 """Plain restatements of operators: loops over dictionaries and lists."""
 
+import bisect
 import itertools
 import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -61,34 +63,41 @@ def statistics(text):
     return out
 
 
+def added(values):
+    """A sum from left to right, so that ties fall as they do in arrays."""
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
 def grow(x, y, rounds=80, depth=4, bins=64, rate=0.15, ridge=1.0, least=2.0):
     """A function from a row to the chance of label 1: boosted trees by Newton steps, with splits at quantiles."""
     mean = (sum(y) + 0.5) / (len(y) + 1)
-    base = math.log(mean / (1 - mean))
-    sigmoid = lambda t: 1 / (1 + math.exp(-t))
+    base = float(np.log(mean / (1 - mean)))
+    sigmoid = lambda t: float(1 / (1 + np.exp(-np.array([t]))[0]))
     if len(y) < 20 or min(y) == max(y):
         return lambda row: sigmoid(base)
     columns = [sorted(c) for c in zip(*x)]
-    edges = [sorted({c[math.floor((len(c) - 1) * k / bins)] for k in range(1, bins)}) for c in columns]
+    edges = [sorted({c[(len(c) - 1) * k // bins] for k in range(1, bins)}) for c in columns]
     trees, total = [], [base] * len(y)
 
     def tree(rows, g, h, level):
-        gs, hs = sum(g[i] for i in rows), sum(h[i] for i in rows)
         if level == depth:
-            return -rate * gs / (hs + ridge)
-        best = (1e-6, None, None)
+            return -rate * added(g[i] for i in rows) / (added(h[i] for i in rows) + ridge)
+        best, whole = (1e-6, None, None), None
         for f, cuts in enumerate(edges):
-            if hs < 2 * least:
-                break
-            by = sorted((x[i][f], g[i], h[i]) for i in rows)
-            k, gl, hl = 0, 0.0, 0.0
-            for cut in cuts:
-                while k < len(by) and by[k][0] <= cut:
-                    gl, hl, k = gl + by[k][1], hl + by[k][2], k + 1
-                if hl >= least and hs - hl >= least:
-                    gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
-                    if gain > best[0] + 1e-9 * abs(gain):
-                        best = (gain, f, cut)
+            held = [[0.0, 0.0] for _ in range(len(cuts) + 1)]
+            for i in rows:
+                b = bisect.bisect_left(cuts, x[i][f])
+                held[b][0] += g[i]
+                held[b][1] += h[i]
+            held = list(itertools.accumulate(held, lambda a, b: [a[0] + b[0], a[1] + b[1]]))
+            gs, hs = whole = whole or held[-1]
+            for cut, (gl, hl) in zip(cuts, held):
+                gain = gl * gl / (hl + ridge) + (gs - gl) * (gs - gl) / (hs - hl + ridge) - gs * gs / (hs + ridge)
+                if hl >= least and hs - hl >= least and gain > best[0]:
+                    best = (gain, f, cut)
         _, f, cut = best
         left = [i for i in rows if f is None or x[i][f] <= cut]
         right = [i for i in rows if f is not None and x[i][f] > cut]
