@@ -2,6 +2,8 @@
 
 import hashlib
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -98,7 +100,21 @@ def test_pipeline_over_empty_tables(spark, tables, tmp_path, empty):
 def test_pipeline_leaves_one_table_behind(spark, tables):
     from veldspar.llm.common import shared_dir
 
-    top = shared_dir(spark).removeprefix("file://") + "/veldspar"
+    top = shared_dir(spark).removeprefix("file://") + f"/veldspar/{spark.sparkContext.applicationId}"
     before = set(os.listdir(top)) if os.path.isdir(top) else set()
     assert corpus_pipeline.run(spark, tables[0]).count() > 0
     assert [x.split("-")[0] for x in set(os.listdir(top)) - before] == ["decontamination"]
+
+
+def test_nothing_is_left_when_the_application_ends(tables, tmp_path):
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+import corpus_pipeline
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+print(corpus_pipeline.run(spark, "{tables[0]}").count(), sum(len(f) for _, _, f in os.walk("{tmp_path}/shared")))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=600)
+    rows, files = map(int, done.stdout.split()[-2:])
+    assert rows > 50 and files > 0 and not [f for _, _, f in os.walk(f"{tmp_path}/shared") if f]

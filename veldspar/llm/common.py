@@ -27,6 +27,7 @@ _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _powers = {}
 _scopes: list[list[str]] = []
+_homes: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,10 +48,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, to be deleted with the scope that is open, or when the application ends."""
-    path = f"{shared_dir(spark)}/veldspar/{name}-{uuid.uuid4().hex}"
-    target, system = _located(spark, path)
-    system.deleteOnExit(target)
+    """A new path in the application's part of the shared folder, to be deleted with the scope that is open or when the application ends."""
+    home = f"{shared_dir(spark)}/veldspar/{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        target, system = _located(spark, home)
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+        _homes.add(home)
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     for scope in _scopes[-1:]:
         scope.append(path)
     return path
@@ -72,7 +77,6 @@ def forget(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
     target, system = _located(spark, path)
     system.delete(target, True)
-    system.cancelDeleteOnExit(target)
 
 
 @contextmanager

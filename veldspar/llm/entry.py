@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL.
 
-Each query applies its operator to the whole table with production parameters.
+Each query applies its operator to the whole table with production parameters.  Rows with a null
+doc_id keep their row where there is one for each row; their held_out is null, and no label is learned from them.
 """
 
 from __future__ import annotations

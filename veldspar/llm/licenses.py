@@ -250,7 +250,7 @@ def sql() -> str:
     gram = " || ' ' || ".join(["word", *[f"lead(word, {k}) OVER s" for k in range(1, K)]])
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+w AS MATERIALIZED (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
 u AS (SELECT r, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM w),
 phrase(label, p) AS (VALUES {phrases}),
 b AS (SELECT r, label, unnest(list_filter(range(len(ws) - len(p) + 1), lambda i: ws[i + 1:i + len(p)] = p)) AS pos FROM w, phrase),

@@ -154,7 +154,10 @@ def _measured(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, sample: int = SAMPLE) -> Trees:
-    """Fit on at most `sample` labelled rows that `usable` admits; null labels and ids are left out."""
+    """Fit on at most `sample` labelled rows that `usable` admits; null labels and ids are left out.
+
+    A document that stands in several rows counts as often, with 2 * sample rows in all at most, in the order of a hash.
+    """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.where(usable) if usable is not None else rows
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
