@@ -202,6 +202,25 @@ def test_pieces_of_odd_texts_and_ids():
         assert c.decode(ids) == sp.decode(ids)
 
 
+def test_pieces_of_text_without_spaces(texts, monkeypatch):
+    import base64
+
+    import sentencepiece
+
+    sp, r = sentencepiece.SentencePieceProcessor(model_file=PIECES), np.random.default_rng(1)
+    some = ["".join("".join((t or "").split()) for t in texts.values())[:40_000], base64.b64encode(r.bytes(9000)).decode(), "".join(r.choice([chr(x) for x in range(0x4E00, 0x9FA5)], 9000)), "th" * 3000, "the" * 3000, "=" * 5001, "a" * 5001]
+    some += [f"{a} {b}" for a, b in zip(some, some[1:])]
+    with open(PIECES, "rb") as f:
+        model = f.read()
+    for part in (4 << 20, 1000):
+        monkeypatch.setattr(pieces, "_PART", part)
+        monkeypatch.setattr(pieces, "_SLAB", part // 3)
+        c = pieces.PieceCoder(model)
+        for t in some:
+            ids = c.encode(t)
+            assert ids == [*sp.encode(t), 2] and c.decode(ids) == t
+
+
 def test_pieces_tables_round_trip(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     assert dict(rows(pieces.decode(pieces.encode(df, PIECES), PIECES))) == dict(enumerate(TEXTS))
