@@ -89,9 +89,8 @@ def attention(orders: DataFrame, today: date, order_within: int = 7, deliver_wit
 
 def catalogue(orders: DataFrame) -> DataFrame:
     """The latest order of each item, by its trimmed lower-case name."""
-    key = F.lower(F.trim("item"))
-    w = Window.partitionBy("key").orderBy(F.col("requested").desc_nulls_last(), F.col("seq").desc())
-    return orders.withColumn("key", key).where("key <> ''").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    named = orders.withColumn("key", F.lower(F.trim("item"))).where("key <> ''")
+    return named.groupBy("key").agg(F.max_by(F.struct(*orders.columns), F.struct("requested", "seq")).alias("latest")).select("latest.*", "key")
 
 
 def frequent(orders: DataFrame, n: int = 8) -> DataFrame:
