@@ -18,3 +18,12 @@ def test_every_copy_in_a_later_document_is_a_passage(spark, held):
     assert got == [(2, 30, 90, [1]), (2, 120, 180, [1]), (2, 210, 270, [1]), (3, 30, 90, [1])]
     left = {r.doc_id: r.text.split() for r in substrings.trim(docs).collect()}
     assert left[1] == first.split() and left[2] == f"{own[2]} {own[3]} {own[4]}".split() and left[3] == own[5].split()
+
+
+@pytest.mark.parametrize("turn", ["und", "the cat", "one two three", "a b c d e f g h"])
+@pytest.mark.parametrize("times", [61, 150, 1000])
+def test_loops_longer_than_the_first_holders(spark, turn, times):
+    period = len(turn.split())
+    rows = [(1, "First of all " + (turn + " ") * -(-60 // period)), (2, "then some others stand here " + (turn + " ") * times + "and an end")]
+    (got,) = substrings.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert got.doc_id == 2 and got.others == [1] and 5 <= got.start_word < 5 + period and 5 + times * period - period < got.end_word <= 5 + times * period

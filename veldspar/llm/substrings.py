@@ -34,8 +34,8 @@ SMALL_ROWS = 200_000
 CROWD = 1024
 
 
-def _loops(g: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, K-mers) of stretches that repeat with a period of up to LOOP words.
+def _loops(g: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, K-mers, period) of stretches that repeat with a period of up to LOOP words.
 
     last: for each K-mer the place after its text's last one.  A loop starts at its period's
     least K-mer and its hash is of the period's K-mers in any rotation, so equal loops meet whatever
@@ -58,8 +58,13 @@ def _loops(g: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
             first = begin + turn.argmin(axis=1)
             # loops that are passages by themselves meet apart from shorter ones, which would hide them as first places
             kind = np.where(end - first + K - 1 >= PASSAGE, p + LOOP, p).astype(np.uint64)
-            out.append((first[own], mix(turn.sum(axis=1, dtype=np.uint64) + kind)[own], (end - first)[own]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            out.append((first[own], mix(turn.sum(axis=1, dtype=np.uint64) + kind)[own], (end - first)[own], np.full(own.sum(), p)))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(none, *out))
+
+
+#: K-mers of a loop, at most; a longer one counts as so long.
+_WIDE = (1 << 24) - 1
 
 
 def _seeds(batches):
@@ -87,9 +92,9 @@ def _seeds(batches):
         for d in np.flatnonzero((np.diff(cut) > 0) & (np.diff(cut) < WIDTH)):
             keep[cut[d] + np.argmin(value[cut[d] : cut[d + 1]])] = True
         some = np.flatnonzero(keep)
-        loop, name, wide = _loops(g, np.repeat(cut[1:], np.diff(cut)))
+        loop, name, wide, period = _loops(g, np.repeat(cut[1:], np.diff(cut)))
         place, hash_ = np.concatenate([some, loop]), np.concatenate([g[some], name])
-        span = np.concatenate([np.ones(len(some), np.int64), wide])
+        span = np.concatenate([np.ones(len(some), np.int64), np.minimum(wide, _WIDE) | period << 24])
         order = np.lexsort((place, hash_, owner[place]))
         place, hash_, span = place[order], hash_[order], span[order]
         doc = owner[place]
@@ -107,7 +112,7 @@ def _seeds(batches):
 def seeds(docs: DataFrame) -> DataFrame:
     """(doc_id, place, gram, more) of the thinned K-mers and the loops of every whole text with an id, a row for each text and seed.
 
-    place is the seed's first place, with the K-mers that it spans above bit 32; more has the other places or is null.
+    place is the seed's first place, with the K-mers that it spans above bit 32 and a loop's period above bit 56; more has the other places or is null.
     """
     named = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     return as_bytes(named, "doc_id").mapInArrow(_seeds, "doc_id long, place long, gram long, more array<long>")
@@ -212,12 +217,20 @@ def _salted(found: DataFrame, first: DataFrame) -> DataFrame:
 def chains(docs: DataFrame) -> DataFrame:
     """(doc_id, rep, x0, x1, y0, y1, parts): words x0 to x1 of a document match y0 to y1 of an earlier one, by segments."""
     found = seeds(docs)
-    low, high = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftright(c, 32)
+    low, wide, period = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)), lambda c: F.shiftright(c, 32).bitwiseAND(F.lit(_WIDE)), lambda c: F.shiftright(c, 56)
     first = found.groupBy("gram").agg(F.min("doc_id").alias("rep"), F.min_by("place", F.struct("doc_id", low("place"))).alias("rep_place"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     first = save(first.where("rep <> last").drop("last"), "firsts")
     joined = _salted(found, first).where("doc_id <> rep")
     places = F.when(F.col("more").isNull(), F.array("place")).otherwise(F.concat(F.array("place"), F.col("more")))
-    links = joined.select("doc_id", "rep", "rep_place", F.explode(places).alias("place")).select("doc_id", "rep", low("place").alias("pos"), low("rep_place").alias("rep_pos"), F.least(high("place"), high("rep_place")).alias("span"))
+    each = joined.select("doc_id", "rep", low("rep_place").alias("rep_pos"), wide("rep_place").alias("rep_wide"), F.explode(places).alias("place"))
+    each = each.select("doc_id", "rep", "rep_pos", "rep_wide", low("place").alias("pos"), wide("place").alias("wide"), period("place").alias("period"))
+    # where the first holder's loop is a passage by itself, a longer loop holds it again and again, and once more at its end
+    again = (F.col("period") > 0) & (F.col("wide") >= F.col("rep_wide") + F.col("period")) & (F.col("rep_wide") >= PASSAGE - K + 1)
+    step = F.col("rep_wide") - F.col("rep_wide") % F.col("period")
+    last = F.col("wide") - F.col("rep_wide")
+    turns = F.when(again, F.concat(F.sequence(F.lit(0).cast("long"), last, F.when(again, step).otherwise(1)), F.array(last - last % F.col("period")))).otherwise(F.array(F.lit(0).cast("long")))
+    placed = each.select("doc_id", "rep", "rep_pos", "rep_wide", "pos", "wide", F.explode(turns).alias("turn"))
+    links = placed.select("doc_id", "rep", (F.col("pos") + F.col("turn")).alias("pos"), "rep_pos", F.least(F.col("wide") - F.col("turn"), "rep_wide").alias("span"))
     return links.repartition("doc_id").sortWithinPartitions("doc_id", "rep", "pos", "rep_pos", "span").mapInArrow(_chained, "doc_id long, rep long, x0 long, x1 long, y0 long, y1 long, parts array<long>")
 
 
