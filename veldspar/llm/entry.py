@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, language, licenses, pieces, quality, rules, simhash, substrings, toxicity
+from . import audit, decontaminate, huffman, language, licenses, pieces, quality, rules, simhash, substrings, toxicity, trie
 from .common import crc_rest
 
 
@@ -75,8 +75,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, models).select("doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.with_shared_starts(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.replay(audit.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_licenses, op6_simhash, op7_huffman, op8_pieces, op9_rules, op10_language)}
+    numbered = (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_licenses, op6_simhash, op7_huffman, op8_pieces, op9_rules, op10_language, op11_trie, op12_audit)
+    return {f.__name__: f for f in numbered}
 
 
 OP9_SQL = r"""
@@ -101,4 +110,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are tested against brute force, round trips or held-out rows."""
-    return {"op5_licenses": licenses.sql(), "op9_rules": OP9_SQL}
+    return {"op5_licenses": licenses.sql(), "op9_rules": OP9_SQL, "op11_trie": trie.SQL, "op12_audit": audit.SQL}
