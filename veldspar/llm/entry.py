@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, decontaminate, huffman, language, licenses, pieces, quality, rules, simhash, substrings, toxicity, trie
+from . import audit, chat, decontaminate, huffman, language, licenses, pieces, quality, rules, simhash, substrings, toxicity, trie
 from .common import crc_rest
 
 
@@ -83,8 +83,15 @@ def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.replay(audit.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(chat.ADDED_ID, 0, "user", chat.ADDED_TEXT), (chat.ADDED_ID, 1, "assistant", chat.ADDED_TEXT)]
+    added = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.round_trip(told, tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    numbered = (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_licenses, op6_simhash, op7_huffman, op8_pieces, op9_rules, op10_language, op11_trie, op12_audit)
+    numbered = (op1_decontaminate, op2_substrings, op3_toxicity, op4_quality, op5_licenses, op6_simhash, op7_huffman, op8_pieces, op9_rules, op10_language, op11_trie, op12_audit, op13_chat)
     return {f.__name__: f for f in numbered}
 
 
@@ -110,4 +117,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are tested against brute force, round trips or held-out rows."""
-    return {"op5_licenses": licenses.sql(), "op9_rules": OP9_SQL, "op11_trie": trie.SQL, "op12_audit": audit.SQL}
+    return {"op5_licenses": licenses.sql(), "op9_rules": OP9_SQL, "op11_trie": trie.SQL, "op12_audit": audit.SQL, "op13_chat": chat.SQL}
