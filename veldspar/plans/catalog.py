@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lab", "funding", "manuscripts", "projects")
+MODULES = ("lab", "funding", "manuscripts", "projects", "references", "journals")
 
 
 def _all() -> dict:
