@@ -27,6 +27,25 @@ def matches(c: Column, pattern: str) -> Column:
     return F.zip_with(found, F.slice(ends, F.lit(1), F.size(found)), lambda t, s: F.struct(s.alias("start"), t.alias("text")))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body uses it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def spans(c: Column, pattern: str) -> Column:
+    """array<struct<start, text, before>> of every match: what `matches` gives and the text since the match before.
+
+    The pattern runs twice over the text and no more, also inside other array functions.
+    """
+
+    def placed(s):
+        both = F.zip_with(s["gaps"], s["found"], lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+        ends = F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"), F.concat(a["out"], F.array(a["at"] + x["g"])).alias("out")))["out"]
+        return F.filter(F.transform(F.arrays_zip(s["found"].alias("t"), ends.alias("at"), s["gaps"].alias("g")), lambda x: F.struct(x["at"].alias("start"), x["t"].alias("text"), x["g"].alias("before"))), lambda m: m["text"].isNotNull())
+
+    return let(F.struct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("found"), F.split(c, pattern, -1).alias("gaps")), placed)
+
+
 def scan(paragraphs: DataFrame, pattern: str) -> DataFrame:
     """A row for each match: the paragraph's doc_id, idx and section, and start and text of the match."""
     return paragraphs.where(F.col("text").rlike(pattern)).select("doc_id", "idx", "section", F.explode(matches(F.col("text"), pattern)).alias("m")).select("doc_id", "idx", "section", "m.start", F.col("m.text").alias("match"))

@@ -12,18 +12,18 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.text import matches
-
-from .manuscripts import issue
+from veldspar.functions.text import let, spans
 
 CHECK = "abbreviations"
 _W = r"[\p{L}\p{N}_'’/-]"
 _TERM = rf"[A-Za-z]{_W}*(?:[ ‐-][A-Za-z]{_W}*)"
 _SHORT = r"[A-Za-z]?[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9-]{0,8}"
 _NUMBER = r"(?:[0-9]{1,2}[-‐–]\s*)?"
-#: "long form (LF, n = 6)" and "(long form; LF)"; groups: what stands before the short form, the long form, the short form, what follows in the bracket.
-AFTER = rf"(({_TERM}{{0,6}})\s*[(\[]{_NUMBER})({_SHORT})s?(\s*[,;]\s*[^)\]]{{0,45}})?[)\]]"
+#: "(LF, n = 6)" after a long form, and "(long form; LF)"; groups: what stands before the short form, the long form inside, the short form, what follows it.
+BRACKET = rf"([(\[]{_NUMBER})()({_SHORT})s?(\s*[,;]\s*[^)\]]{{0,45}})?[)\]]"
 INSIDE = rf"([(\[]({_TERM}{{1,6}})\s*[;,]\s*{_NUMBER})({_SHORT})s?()[)\]]"
+#: Up to seven words at the end of a text, read backwards.
+_BACK = rf"^\s*((?:{_W}*[A-Za-z][ ‐-]){{0,6}}{_W}*[A-Za-z])"
 USE = r"(?<![\p{L}\p{N}_])(?:[0-9]{1,2}[-‐–])?[a-z]?[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9-]{0,8}(?![\p{L}\p{N}_])"
 SMALL = "of the and for in on to a an with by".split()
 NEVER = "FIGURE FIGURES TABLE TABLES AND THE OR IN OF FOR WITH SUPPLEMENTARY EXTENDED DATA".split()
@@ -46,11 +46,6 @@ def zone() -> Column:
     return F.when(section.isin("abstract", "methods"), section).when(section.isin("introduction", "results", "discussion", "conclusions"), "main")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def normal(short: Column) -> Column:
     """A short form without the number before it and without a plural s after capitals."""
     bare = F.regexp_replace(short, r"^[0-9]{1,2}[-‐–]\s*", "")
@@ -84,7 +79,7 @@ def expansion(term: Column, letters: Column) -> Column:
         return F.filter(tails, lambda words: initials(words) == letters)
 
     split = lambda rx: F.filter(F.split(term, rx), lambda w: w != "")
-    found = F.concat(_let(split(r"\s+"), read), _let(split(r"[\s‐-]+"), read))
+    found = F.concat(let(split(r"\s+"), read), let(split(r"[\s‐-]+"), read))
     return F.array_join(F.get(found, 0), " ")
 
 
@@ -97,87 +92,128 @@ def _plausible(short: Column, term: Column, lead: Column, letters: Column) -> Co
 
 
 def _read(text: Column, pattern: str) -> Column:
-    """The matches of a definition's pattern as structs."""
-    part = lambda m, k: F.regexp_extract(m["text"], pattern, k)
+    """The matches of a definition's pattern: the short form and its place, the long form, what stands before, and whether the bracket holds more.
+
+    A long form before a bracket is read backwards from it, so its words are looked at once.
+    """
 
     def one(m):
-        at = m["start"] + F.length(part(m, 1))
-        low = F.greatest(m["start"] - 90, F.lit(0))
-        return F.struct(normal(part(m, 3)).alias("abbr"), F.trim(part(m, 2)).alias("term"), at.alias("start"), (at + F.length(part(m, 3))).alias("stop"), F.substring(text, low + 1, at - low).alias("lead"), (part(m, 4) != "").alias("extra"))
+        part = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), lambda k: F.call_function("regexp_extract", m["text"], F.lit(pattern), k))
+        back = F.reverse(m["before"])
+        outside = F.struct(F.reverse(F.regexp_extract(back, _BACK, 1)).alias("term"), F.length(F.regexp_extract(back, _BACK, 0)).alias("size"))
+
+        def told(g, o):
+            at = m["start"] + F.length(g[0])
+            low = F.greatest(m["start"] - o["size"] - 90, F.lit(0))
+            return F.struct(normal(g[2]).alias("abbr"), F.trim(F.when(g[1] != "", g[1]).otherwise(o["term"])).alias("term"), at.alias("start"), (at + F.length(g[2])).alias("stop"), F.substring(text, low + 1, at - low).alias("lead"), (g[3] != "").alias("extra"))
 
-    return F.transform(matches(text, pattern), one)
+        none = F.struct(F.lit("").alias("term"), F.lit(0).alias("size"))
+        return let(part, lambda g: let(F.when(g[1] == "", outside).otherwise(none), lambda o: told(g, o)))
+
+    return F.filter(F.transform(spans(text, pattern), one), lambda d: d["term"] != "")
 
 
 def _told(text: Column) -> Column:
     """A paragraph's definitions: those that can be one, and with more in the bracket only where the initials agree."""
-    each = F.concat(_read(text, AFTER), _read(text, INSIDE))
-    full = F.transform(each, lambda d: _let(letters_of(d["abbr"]), lambda ls: F.struct(d["abbr"].alias("abbr"), d["term"].alias("term"), d["start"].alias("start"), d["stop"].alias("stop"), d["lead"].alias("lead"), d["extra"].alias("extra"), expansion(d["term"], ls).alias("expansion"), _plausible(d["abbr"], d["term"], d["lead"], ls).alias("can"))))
-    return F.filter(full, lambda d: d["can"] & (~d["extra"] | d["expansion"].isNotNull()))
+
+    def full(d):
+        return let(letters_of(d["abbr"]), lambda ls: F.struct(d["abbr"].alias("abbr"), d["term"].alias("term"), d["start"].alias("start"), d["stop"].alias("stop"), d["lead"].alias("lead"), d["extra"].alias("extra"), expansion(d["term"], ls).alias("expansion"), _plausible(d["abbr"], d["term"], d["lead"], ls).alias("can")))
+
+    return F.filter(F.transform(F.concat(_read(text, BRACKET), _read(text, INSIDE)), full), lambda d: d["can"] & (~d["extra"] | d["expansion"].isNotNull()))
+
+
+_TOLD = "array<struct<abbr:string,term:string,start:int,stop:int,lead:string,extra:boolean,expansion:string,can:boolean>>"
 
 
 def _used(text: Column, told: Column) -> Column:
     """A paragraph's uses: not in quotes and not in a definition's brackets."""
-    quotes = "'‘“\"", "'’”\""
 
     def keep(u):
         stop = u["start"] + F.length(u["text"])
-        quoted = F.substring(text, u["start"], F.lit(1)).isin(*quotes[0], "") & F.substring(text, stop + 1, F.lit(1)).isin(*quotes[1], "")
+        quoted = F.substring(text, u["start"], F.lit(1)).isin("'", "‘", "“", '"', "") & F.substring(text, stop + 1, F.lit(1)).isin("'", "’", "”", '"', "")
         return ~quoted & ~F.exists(told, lambda d: (u["start"] < d["stop"]) & (stop > d["start"]))
 
-    rows = F.transform(F.filter(matches(text, USE), keep), lambda u: F.struct(normal(u["text"]).alias("abbr"), u["start"].alias("start")))
+    rows = F.transform(F.filter(spans(text, USE), keep), lambda u: F.struct(normal(u["text"]).alias("abbr"), u["start"].alias("start")))
     return F.filter(rows, lambda u: (F.length(u["abbr"]) >= 2) & ~F.upper(u["abbr"]).isin(NEVER))
 
 
 def read(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, idx, zone, told, used): what each paragraph defines and uses, as arrays of structs; paragraphs with neither are left out."""
+    """(doc_id, idx, zone, kind, abbr, start, expansion, term, lead): a row for each definition (kind d) and use (kind u) of a paragraph.
+
+    expansion is null where the initials don't agree; a use has neither term nor lead.  Paragraphs outside the zones, headings and blanks have none.
+    """
     rows = paragraphs.where(~F.coalesce("is_heading", F.lit(False)) & F.col("text").rlike(USE)).withColumn("zone", zone()).where("zone is not null")
-    some = rows.select("doc_id", "idx", "zone", "text", F.when(F.col("text").rlike(r"[(\[]"), _told(F.col("text"))).otherwise(F.array().cast("array<struct<abbr:string,term:string,start:int,stop:int,lead:string,extra:boolean,expansion:string,can:boolean>>")).alias("told"))
-    return some.select("doc_id", "idx", "zone", "told", _used(F.col("text"), F.col("told")).alias("used"))
+    text, no = F.col("text"), F.lit(None).cast("string")
+
+    def both(told):
+        made = F.transform(told, lambda d: F.struct(F.lit("d").alias("kind"), d["abbr"].alias("abbr"), d["start"].alias("start"), d["expansion"].alias("expansion"), d["term"].alias("term"), d["lead"].alias("lead")))
+        return F.concat(made, F.transform(_used(text, told), lambda u: F.struct(F.lit("u").alias("kind"), u["abbr"].alias("abbr"), u["start"].alias("start"), no.alias("expansion"), no.alias("term"), no.alias("lead"))))
+
+    told = F.when(text.rlike(r"[(\[]"), _told(text)).otherwise(F.array().cast(_TOLD))
+    return rows.select("doc_id", "idx", "zone", F.explode(let(told, both)).alias("e")).select("doc_id", "idx", "zone", "e.*")
 
 
 def definitions(found: DataFrame) -> DataFrame:
-    """(doc_id, idx, zone, abbr, start, expansion, term, lead) of `read`; expansion is null where the initials don't agree."""
-    return found.select("doc_id", "idx", "zone", F.explode("told").alias("d")).select("doc_id", "idx", "zone", "d.abbr", "d.start", "d.expansion", "d.term", "d.lead")
+    """(doc_id, idx, zone, abbr, start, expansion, term, lead) of `read`."""
+    return found.where("kind = 'd'").select("doc_id", "idx", "zone", "abbr", "start", "expansion", "term", "lead")
 
 
 def uses(found: DataFrame) -> DataFrame:
     """(doc_id, idx, zone, abbr, start) of `read`."""
-    return found.select("doc_id", "idx", "zone", F.explode("used").alias("u")).select("doc_id", "idx", "zone", "u.abbr", "u.start")
+    return found.where("kind = 'u'").select("doc_id", "idx", "zone", "abbr", "start")
 
 
 def vendors(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, abbr): capitals that a bracket names with a place after them, as in "(QIAGEN, Germany)", in any section."""
     text = F.col("text")
-    named = F.filter(matches(text, r"(?<![\p{L}\p{N}_])[A-Z]{3,8}(?![\p{L}\p{N}_])"), lambda m: F.left(text, m["start"]).rlike(r"[(,]\s*$") & F.substring(text, m["start"] + F.length(m["text"]) + 1, F.lit(120)).rlike(r"^\s*,\s*[^)]{2,45}\)"))
+    named = F.filter(spans(text, r"(?<![\p{L}\p{N}_])[A-Z]{3,8}(?![\p{L}\p{N}_])"), lambda m: F.left(text, m["start"]).rlike(r"[(,]\s*$") & F.substring(text, m["start"] + F.length(m["text"]) + 1, F.lit(120)).rlike(r"^\s*,\s*[^)]{2,45}\)"))
     return paragraphs.where(text.rlike(r"[(,]\s*[A-Z]{3,8}\s*,[^)]*\)")).select("doc_id", F.explode(F.transform(named, lambda m: m["text"])).alias("abbr")).distinct()
 
 
-def issues(paragraphs: DataFrame, found: DataFrame, standard: Iterable[str] = tuple(STANDARD), listed: int = 8) -> dict[str, DataFrame]:
-    """Issues of abbreviations by code.
+def terms(paragraphs: DataFrame, found: DataFrame, standard: Iterable[str] = tuple(STANDARD)) -> DataFrame:
+    """One row for each short form of a document: what its definitions, uses and vendors' brackets say, and whether it is exempt.
 
-    found: of `read` over the paragraphs.  Standard short forms and names of organisations (by the words before a definition) are exempt; a
-    definition counts as such for repeats, spellings and use only where the initials agree, and one in the methods needs no use.
+    found: of `read` over the paragraphs.  (doc_id, abbr, free, sure, first, last, used, n_used, defined, vendor): free is false for standard short forms and for
+    names of organisations (by the words before a definition); sure holds the definitions whose initials agree, in order; first and last are the
+    places of the first and last definition, used that of the first use.  Definitions, uses and vendors are read in one pass and grouped once.
+    """
+    no = lambda kind: F.lit(None).cast(kind)
+    named = F.col("kind").eqNullSafe("d") & F.concat_ws(" ", "lead", "term").rlike(ORGANISATION)
+    each = found.select("doc_id", "abbr", "kind", "idx", "start", "zone", "expansion", named.alias("named"))
+    sold = vendors(paragraphs).select("doc_id", "abbr", F.lit("v").alias("kind"), no("int").alias("idx"), no("int").alias("start"), no("string").alias("zone"), no("string").alias("expansion"), F.lit(False).alias("named"))
+    at, of = F.struct("idx", "start"), lambda kind: F.col("kind") == kind
+    per = each.unionByName(sold).groupBy("doc_id", "abbr").agg(
+        F.array_sort(F.collect_list(F.when(of("d") & F.col("expansion").isNotNull(), F.struct("idx", "start", "zone", "expansion")))).alias("sure"),  # of one short form in one document
+        F.min(F.when(of("d"), at)).alias("first"), F.max(F.when(of("d"), at)).alias("last"), F.min(F.when(of("u"), at)).alias("used"), F.count_if(of("u")).alias("n_used"), F.bool_or("named").alias("named"), F.bool_or(of("v")).alias("vendor"),
+    )
+    known = F.array(*[F.lit(x.upper()) for x in sorted(set(standard))])
+    return per.select("doc_id", "abbr", (~F.array_contains(known, F.upper("abbr"))).alias("common"), "named", "sure", "first", "last", "used", "n_used", "vendor")
+
+
+def issues(per: DataFrame, listed: int = 8) -> DataFrame:
+    """Issues of abbreviations.
+
+    per: of `terms`.  A definition counts for repeats, spellings and use only where the initials agree, and one in the methods needs no use.  Short forms of
+    three to eight capitals that are used three times and never defined are one issue of a document, which names the first `listed`.
     """
-    spark = paragraphs.sparkSession
-    known = F.broadcast(spark.createDataFrame([(x.upper(),) for x in sorted(set(standard))], "capitals string"))  # a list given as a parameter
-    free = lambda df: df.withColumn("capitals", F.upper("abbr")).join(known, "capitals", "left_anti").drop("capitals")
-    made, used = definitions(found), uses(found)
-    named = made.where(F.concat_ws(" ", "lead", "term").rlike(ORGANISATION)).select("doc_id", "abbr").distinct()
-    told = free(made).join(named, ["doc_id", "abbr"], "left_anti")
-    at = F.struct("idx", "start")
-    first = told.groupBy("doc_id", "abbr").agg(F.min(at).alias("made"))
-    early = used.groupBy("doc_id", "abbr").agg(F.min(at).alias("at"), F.count("*").alias("n"))
-    sure = told.where("expansion is not null")
-    again = sure.groupBy("doc_id", "abbr", "zone").agg(F.count("*").alias("n"), F.get(F.array_sort(F.collect_list("idx")), 1).alias("idx")).where("n > 1")
-    differ = sure.groupBy("doc_id", "abbr", F.regexp_replace(F.lower("expansion"), "s+$", "").alias("key")).agg(F.min(F.struct("idx", "start", "expansion")).alias("m")).groupBy("doc_id", "abbr").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("m.expansion")).alias("e")).where("n > 1")
-    last = told.groupBy("doc_id", "abbr").agg(F.max(at).alias("last"))
-    idle = sure.where("zone <> 'methods'").groupBy("doc_id", "abbr").agg(F.min("idx").alias("idx")).join(early, ["doc_id", "abbr"], "left_anti")
-    lost = free(early.where((F.col("n") >= 3) & F.col("abbr").rlike("^[A-Z]{3,8}$"))).join(made.select("doc_id", "abbr").distinct(), ["doc_id", "abbr"], "left_anti").join(vendors(paragraphs), ["doc_id", "abbr"], "left_anti")
-    per = lost.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("abbr", "n", "at"))).alias("a"))  # short forms of one document
-    return {
-        "used_before_defined": issue(early.join(first, ["doc_id", "abbr"]).where("at < made").withColumn("idx", F.col("at.idx")), CHECK, "warning", "used_before_defined", F.col("abbr")),
-        "defined_twice": issue(again, CHECK, "warning", "defined_twice", F.concat_ws(" ", "abbr", "zone", "n")),
-        "differing_expansions": issue(differ.join(last, ["doc_id", "abbr"]).withColumn("idx", F.col("last.idx")), CHECK, "warning", "differing_expansions", F.concat(F.col("abbr"), F.lit(": "), F.array_join("e", "; "))),
-        "never_used": issue(idle, CHECK, "info", "never_used", F.col("abbr")),
-        "never_defined": issue(per.withColumn("idx", F.get("a", 0)["at"]["idx"]), CHECK, "info", "never_defined", F.array_join(F.transform(F.slice("a", 1, listed), lambda x: F.concat_ws(" ", x["abbr"], x["n"])), ", ")),
-    }
+    zones = F.array(*[F.lit(z) for z in ("abstract", "main", "methods")])
+    twice = F.filter(F.transform(zones, lambda z: F.struct(z.alias("zone"), F.filter("sure", lambda d: d["zone"] == z).alias("d"))), lambda x: F.size(x["d"]) > 1)
+    key = lambda d: F.regexp_replace(F.lower(d["expansion"]), "s+$", "")
+    # the first of each spelling
+    spelt = F.filter("sure", lambda d, i: ~F.exists(F.slice("sure", F.lit(1), i), lambda e: key(e) == key(d)))
+    idle = F.filter("sure", lambda d: d["zone"] != "methods")
+    made = lambda code, severity, idx, detail: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), idx.alias("idx"), detail.alias("detail"))
+    own = F.array_compact(
+        F.concat(
+            F.array(F.when(F.col("used") < F.col("first"), made("used_before_defined", "warning", F.col("used.idx"), F.col("abbr")))),
+            F.transform(twice, lambda x: made("defined_twice", "warning", F.get(x["d"], 1)["idx"], F.concat_ws(" ", F.col("abbr"), x["zone"], F.size(x["d"]).cast("string")))),
+            F.array(F.when(F.size(spelt) > 1, made("differing_expansions", "warning", F.col("last.idx"), F.concat(F.col("abbr"), F.lit(": "), F.array_join(F.array_sort(F.transform(spelt, lambda d: d["expansion"])), "; "))))),
+            F.array(F.when((F.size(idle) > 0) & (F.col("n_used") == 0), made("never_used", "info", F.get(idle, 0)["idx"], F.col("abbr")))),
+        )
+    )
+    rows = per.where("first is not null and common and not named").select("doc_id", F.explode(own).alias("i")).select("doc_id", "i.*")
+    lost = per.where("first is null and common and not vendor and n_used >= 3").where(F.col("abbr").rlike("^[A-Z]{3,8}$"))
+    all_ = lost.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("abbr", "n_used", "used"))).alias("a"))  # short forms of one document
+    names = F.array_join(F.transform(F.slice("a", 1, listed), lambda x: F.concat_ws(" ", x["abbr"], x["n_used"])), ", ")
+    rows = rows.unionByName(all_.select("doc_id", F.lit("info").alias("severity"), F.lit("never_defined").alias("code"), F.get("a", 0)["used"]["idx"].alias("idx"), names.alias("detail")))
+    return rows.select("doc_id", F.lit(CHECK).alias("check"), "severity", "code", F.col("idx").cast("int").alias("para_index"), "detail")

@@ -74,7 +74,7 @@ def _union(by_code):
 
 def abbreviation_issues(spark, sf_dir):
     p = _abbreviated(spark, sf_dir)
-    return _union(a.issues(p, a.read(p)))
+    return a.issues(a.terms(p, a.read(p)))
 
 
 def species_issues(spark, sf_dir):
@@ -107,7 +107,8 @@ _LEG = f"""lc AS (SELECT doc_id, run, min(idx) AS idx, arg_min(text, idx) AS hea
 ld AS (SELECT doc_id, idx, head, full_text, n_absorbed, regexp_extract(head, '{_q(_LEGEND_RX)}', 1) AS pre, lower(regexp_extract(head, '{_q(_LEGEND_RX)}', 2)) AS word, regexp_extract(head, '{_q(_LEGEND_RX)}', 3) AS label, trim(regexp_extract(head, '{_q(_LEGEND_RX)}')) AS anchor, {_PANELS} AS f FROM lc)
 """
 
-_AFTER = a.AFTER
+#: The long form and the bracket as one pattern.
+_AFTER = rf"(({a._TERM}{{0,6}})\s*[(\[]{a._NUMBER})({a._SHORT})s?(\s*[,;]\s*[^)\]]{{0,45}})?[)\]]"
 _A_WORD = r"(?:^|[^\p{L}\p{N}_])((?:[0-9]{1,2}[-‐–])?[a-z]?[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9-]{0,8})"
 _NEVER = "(" + ", ".join(f"'{x}'" for x in a.NEVER) + ")"
 _SMALL = "(" + ", ".join(f"'{x}'" for x in a.SMALL) + ")"
@@ -121,8 +122,8 @@ def _defined(rx: str, extra: bool) -> str:
 
 _DERIVED = "[list_aggregate(w, 'string_agg', ' ') for w in [ws[-n:] for n in [ln, ln + 1, ln + 2, ln + 3] if n <= len(ws) and n > 0] if [lower(x[1]) for x in w if lower(x) NOT IN {small}] = ls]"
 _DEFS = f"""{_p(_ABBREVIATED)} z AS (SELECT *, CASE WHEN section IN ('abstract', 'methods') THEN section WHEN section IN ('introduction', 'results', 'discussion', 'conclusions') THEN 'main' END AS zone FROM p WHERE zone IS NOT NULL),
-da AS ({_defined(a.AFTER, True)} UNION ALL {_defined(a.INSIDE, False)}), db AS (SELECT *, unnest(range(1, len(g0) + 1)) AS k FROM da),
-dc AS (SELECT doc_id, idx, zone, text, CAST(list_sum(gaps[1:k]) + coalesce(list_sum(list_transform(g0[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS pos, g1[k] AS front, trim(g2[k]) AS term, g3[k] AS short, g4[k] <> '' AS extra FROM db),
+da AS ({_defined(_AFTER, True)} UNION ALL {_defined(a.INSIDE, False)}), db AS (SELECT *, unnest(range(1, len(g0) + 1)) AS k FROM da),
+dc AS (SELECT doc_id, idx, zone, text, CAST(list_sum(gaps[1:k]) + coalesce(list_sum(list_transform(g0[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS pos, g1[k] AS front, trim(g2[k]) AS term, g3[k] AS short, coalesce(g4[k], '') <> '' AS extra FROM db),
 dd AS (SELECT doc_id, idx, zone, text, pos + length(front) AS start, pos + length(front) + length(short) AS stop, term, extra, {_NORMAL.format('short')} AS abbr, substr(text, CAST(greatest(pos - 90, 0) AS BIGINT) + 1, CAST(pos + length(front) - greatest(pos - 90, 0) AS BIGINT)) AS lead FROM dc),
 de AS (SELECT *, regexp_extract_all(lower(abbr), '[a-z]') AS ls, len(regexp_extract_all(lower(abbr), '[a-z]')) AS ln, list_filter(regexp_split_to_array(term, '\\s+'), lambda x: x <> '') AS w1, list_filter(regexp_split_to_array(term, '[\\s‐-]+'), lambda x: x <> '') AS w2 FROM dd),
 df AS (SELECT *, ({_DERIVED.format(small=_SMALL).replace('ws', 'w1')} || {_DERIVED.format(small=_SMALL).replace('ws', 'w2')})[1] AS expansion,
