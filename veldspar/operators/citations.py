@@ -174,18 +174,23 @@ def listed(paragraphs: DataFrame) -> DataFrame:
     )
 
 
+def _keys() -> Column:
+    """The keys by which a citation may name an entry."""
+    authors = F.col("authors")
+    first, second = F.get(authors, 0), F.get(authors, 1)
+    initials = F.array_join(F.transform(F.slice(authors, 1, 4), lambda n: F.left(n, F.lit(1))), "")
+    stems = F.array_compact(F.array(F.left(first, F.lit(3)), first, initials, F.concat(initials, F.lit("+")), F.concat(F.left(first, F.lit(3)), F.left(second, F.lit(3)))))
+    made = F.array_distinct(F.flatten(F.transform(stems, lambda s: F.array(F.concat(s, F.right("year", F.lit(2))), F.concat(s, F.col("year"))))))
+    return F.when(F.col("year").isNotNull() & (F.size(authors) > 0), made).otherwise(F.array().cast("array<string>"))
+
+
 def entry_keys(held: DataFrame) -> DataFrame:
     """(doc_id, place, key): the keys by which a citation may name an entry, in lower case.
 
     held: of `listed`.  An entry with a year and authors a, b, ... has a's first three letters, a, the initials of up to
     four authors, those with a plus sign, and with two authors three letters of each, all before a year of two or of four digits.
     """
-    authors = F.col("authors")
-    first, second = F.get(authors, 0), F.get(authors, 1)
-    initials = F.array_join(F.transform(F.slice(authors, 1, 4), lambda n: F.left(n, F.lit(1))), "")
-    stems = F.array_compact(F.array(F.left(first, F.lit(3)), first, initials, F.concat(initials, F.lit("+")), F.concat(F.left(first, F.lit(3)), F.left(second, F.lit(3)))))
-    made = F.flatten(F.transform(stems, lambda s: F.array(F.concat(s, F.right("year", F.lit(2))), F.concat(s, F.col("year")))))
-    return held.where("year is not null and size(authors) > 0").select("doc_id", "place", F.explode(F.array_distinct(made)).alias("key"))
+    return held.select("doc_id", "place", F.explode(_keys()).alias("key"))
 
 
 STYLES = ("numeric", "author_year", "key", "note")
@@ -216,24 +221,38 @@ def styles(held: DataFrame, numeric: DataFrame, named: DataFrame, keyed: DataFra
 # Issues
 
 
+def _met(cited: DataFrame, listed_: DataFrame, by: list[str]) -> DataFrame:
+    """Citations and entries, both as (doc_id, *by, me), grouped by what they may share; a row (doc_id, me, met) for each, met where it shares anything with the other side.
+
+    me is a struct with `side`, c or e; a null in `by` is shared with nothing.  A group holds what one document has of a key or a name.
+    """
+    both = cited.unionByName(listed_)
+    other = F.when(F.col("m.side") == "c", F.col("e")).otherwise(F.col("c"))
+    shared = both.groupBy("doc_id", *by).agg(F.collect_list("me").alias("all"), F.bool_or(F.col("me.side") == "c").alias("c"), F.bool_or(F.col("me.side") == "e").alias("e"))
+    known = F.lit(True)
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    each = shared.select("doc_id", *by, "c", "e", F.explode("all").alias("m")).select("doc_id", F.col("m").alias("me"), (known & other).alias("met"))
+    return each.groupBy("doc_id", "me").agg(F.bool_or("met").alias("met"))
+
+
 def key_issues(held: DataFrame, keyed: DataFrame) -> DataFrame:
     """Keys that name no entry (once each, where they stand first) and entries with keys that no citation names."""
-    known, low = entry_keys(held), keyed.withColumn("key", F.lower("key"))
-    first = low.groupBy("doc_id", "key").agg(F.min(F.struct("at", "part", "idx")).alias("m")).select("doc_id", "key", "m.idx")
-    missing = first.join(known, ["doc_id", "key"], "left_anti")
-    used = known.join(first, ["doc_id", "key"], "left_semi").select("doc_id", "place").distinct()
-    unused = held.join(known.select("doc_id", "place").distinct(), ["doc_id", "place"], "left_semi").join(used, ["doc_id", "place"], "left_anti")
-    return issue(missing, CHECK, "error", "key_missing", F.col("key")).unionByName(issue(unused, CHECK, "error", "key_unused", F.col("place")))
+    no = lambda kind: F.lit(None).cast(kind)
+    low = keyed.withColumn("key", F.lower("key")).groupBy("doc_id", "key").agg(F.min(F.struct("at", "part", "idx")).alias("m"))
+    cite = low.select("doc_id", "key", F.struct(F.lit("c").alias("side"), F.col("m.idx").alias("idx"), no("int").alias("place"), F.col("key").alias("what")).alias("me"))
+    own = held.select("doc_id", F.explode(_keys()).alias("key"), F.struct(F.lit("e").alias("side"), F.col("idx"), F.col("place").cast("int").alias("place"), no("string").alias("what")).alias("me"))
+    lost = _met(cite, own, ["key"]).where("not met").withColumn("idx", F.col("me.idx"))
+    return issue(lost.where("me.side = 'c'"), CHECK, "error", "key_missing", F.col("me.what")).unionByName(issue(lost.where("me.side = 'e'"), CHECK, "error", "key_unused", F.col("me.place")))
 
 
 def name_issues(held: DataFrame, named: DataFrame, where: str = "name") -> DataFrame:
     """Author-year citations without an entry of that year that shares a surname, and entries that no citation names."""
-    cite = named.select("doc_id", "idx", "year", "surnames", F.explode("surnames").alias("surname"))
-    own = held.where("year is not null").select("doc_id", "place", "year", F.explode("surnames").alias("surname"))
-    met = cite.join(own, ["doc_id", "year", "surname"])
-    missing = named.join(met.select("doc_id", "idx", "year", "surnames").distinct(), ["doc_id", "idx", "year", "surnames"], "left_anti")
-    unused = held.join(met.select("doc_id", "place").distinct(), ["doc_id", "place"], "left_anti")
-    return issue(missing, CHECK, "error", f"{where}_missing", F.concat_ws(" ", F.get("surnames", 0), "year")).unionByName(issue(unused, CHECK, "error", f"{where}_unused", F.col("place")))
+    no = lambda kind: F.lit(None).cast(kind)
+    cite = named.select("doc_id", "year", F.explode("surnames").alias("surname"), F.struct(F.lit("c").alias("side"), F.col("idx"), no("int").alias("place"), F.concat_ws(" ", F.get("surnames", 0), "year").alias("what"), F.array_join("surnames", " ").alias("all")).alias("me"))
+    own = held.select("doc_id", "year", F.explode_outer("surnames").alias("surname"), F.struct(F.lit("e").alias("side"), F.col("idx"), F.col("place").cast("int").alias("place"), no("string").alias("what"), no("string").alias("all")).alias("me"))
+    lost = _met(cite, own, ["year", "surname"]).where("not met").withColumn("idx", F.col("me.idx"))
+    return issue(lost.where("me.side = 'c'"), CHECK, "error", f"{where}_missing", F.col("me.what")).unionByName(issue(lost.where("me.side = 'e'"), CHECK, "error", f"{where}_unused", F.col("me.place")))
 
 
 def number_issues(held: DataFrame, numeric: DataFrame) -> dict[str, DataFrame]:
