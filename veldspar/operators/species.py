@@ -13,9 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.functions.text import matches
-
-from .manuscripts import issue
+from veldspar.functions.text import spans
 
 CHECK = "species"
 SECTIONS = "abstract introduction methods results discussion conclusions supplementary figure_legends".split()
@@ -43,40 +41,56 @@ def _italic(spans: Column, m: Column) -> Column:
     return F.lit(10) * inside > F.lit(6) * F.length(m["text"])
 
 
-def _found(paragraphs: DataFrame, pattern: str) -> DataFrame:
-    rows = body(paragraphs).where(F.col("text").rlike(pattern))
-    italic = F.lit(False)
+def read(paragraphs: DataFrame, no_genus: Iterable[str] = tuple(NO_GENUS), no_epithet: Iterable[str] = tuple(NO_EPITHET)) -> DataFrame:
+    """(doc_id, idx, kind, start, said, italic, initial, genus, epithet): what may be names, in one pass over the paragraphs.
+
+    Kind f is a full name, b one with an initial (its genus is null), u a genus before sp. or spp. (its epithet is that form).  Words that are no names and ranks above
+    the genus are left out of f.
+    """
+    text, no = F.col("text"), F.lit(None).cast("string")
+    rows = body(paragraphs).where(text.rlike(rf"{_BEFORE}[A-Z](?:[a-z]{{3,}}\s+[a-z]|\.\s*[a-z]{{3}})"))
+    italic = lambda m: F.lit(False)
     if "italic_spans" in paragraphs.columns:
         rows = rows.withColumn("italic_spans", F.coalesce("italic_spans", F.array().cast(paragraphs.schema["italic_spans"].dataType)))
-        italic = _italic(F.col("italic_spans"), F.col("m"))
-    some = [c for c in ("italic_spans",) if c in paragraphs.columns]
-    return rows.select("doc_id", "idx", *some, F.explode(matches(F.col("text"), pattern)).alias("m")).select("doc_id", "idx", F.col("m.start").alias("start"), F.col("m.text").alias("said"), italic.alias("italic"))
+        italic = lambda m: _italic(F.col("italic_spans"), m)
 
+    def event(kind, genus, epithet):
+        return lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["text"].alias("said"), italic(m).alias("italic"), F.left(m["text"], F.lit(1)).alias("initial"), genus(m["text"]).alias("genus"), epithet(m["text"]).alias("epithet"))
 
-def candidates(paragraphs: DataFrame, no_genus: Iterable[str] = tuple(NO_GENUS), no_epithet: Iterable[str] = tuple(NO_EPITHET)) -> DataFrame:
-    """(doc_id, idx, start, said, italic, genus, epithet): what looks like a full name."""
-    genus, epithet = F.regexp_extract("said", r"^(\S+)", 1), F.regexp_extract("said", r"(\S+)$", 1)
-    return _found(paragraphs, FULL).withColumns({"genus": genus, "epithet": epithet}).where(~F.col("genus").isin(list(no_genus)) & ~F.col("epithet").isin(list(no_epithet)) & ~F.col("genus").rlike(HIGHER))
+    first, last = (lambda t: F.regexp_extract(t, r"^(\S+)", 1)), (lambda t: F.regexp_extract(t, r"(\S+)$", 1))
+    full = F.filter(F.transform(spans(text, FULL), event("f", first, last)), lambda e: ~e["genus"].isin(list(no_genus)) & ~e["epithet"].isin(list(no_epithet)) & ~e["genus"].rlike(HIGHER))
+    brief = F.transform(spans(text, BRIEF), event("b", lambda t: no, lambda t: F.regexp_extract(t, "([a-z]+)$", 1)))
+    unnamed = F.filter(F.transform(spans(text, UNNAMED), event("u", first, last)), lambda e: ~e["genus"].isin(list(no_genus)))
+    return rows.select("doc_id", "idx", F.explode(F.concat(full, brief, unnamed)).alias("e")).select("doc_id", "idx", "e.*")
 
 
-def unnamed(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, idx, start, genus, form): a genus before sp. or spp."""
-    return _found(paragraphs, UNNAMED).select("doc_id", "idx", "start", F.regexp_extract("said", r"^(\S+)", 1).alias("genus"), F.regexp_extract("said", r"(\S+)$", 1).alias("form"))
+def _known(events: DataFrame) -> DataFrame:
+    """The events with the genus that an initial stands for, and `kept`, whether they mention a name with evidence; all windows lie within a document."""
+    of = lambda kind: F.col("kind") == kind
+    at = F.struct("idx", "start", "genus")
+    first = F.min(F.when(of("f"), at)).over(Window.partitionBy("doc_id", "initial"))
+    named = events.repartition("doc_id").withColumn("genus", F.when(of("b"), first["genus"]).otherwise(F.col("genus"))).where("genus is not null")
+    name, genus = Window.partitionBy("doc_id", "genus", "epithet"), Window.partitionBy("doc_id", "genus")
+    evidence = F.max(of("b") | (of("f") & F.col("italic"))).over(name) | F.max(of("u")).over(genus)
+    return named.withColumn("kept", ~of("u") & F.max(of("f")).over(name) & evidence)
 
 
-def mentions(paragraphs: DataFrame, **lists) -> DataFrame:
+def mentions(events: DataFrame) -> DataFrame:
     """(doc_id, genus, epithet, idx, start, said, italic, brief) of the names with evidence, in full and with an initial.
 
-    An initial stands for the genus of that letter that the document names first; one whose full name it never gives is left out.
+    events: of `read`.  An initial stands for the genus of that letter that the document names first; one whose full name it never gives is left out.
     """
-    full = candidates(paragraphs, **lists)
-    first = full.groupBy("doc_id", F.left("genus", F.lit(1)).alias("initial")).agg(F.min_by("genus", F.struct("idx", "start")).alias("genus"))
-    brief = _found(paragraphs, BRIEF).withColumns({"initial": F.left("said", F.lit(1)), "epithet": F.regexp_extract("said", r"([a-z]+)$", 1)}).join(first, ["doc_id", "initial"]).drop("initial")
-    name = ["doc_id", "genus", "epithet"]
-    names = full.groupBy(*name).agg(F.bool_or("italic").alias("italic"))
-    evidence = names.where("italic").select(*name).unionByName(names.select(*name).join(brief.select(*name), name, "left_semi")).unionByName(names.select(*name).join(unnamed(paragraphs).select("doc_id", "genus"), ["doc_id", "genus"], "left_semi")).distinct()
-    both = full.withColumn("brief", F.lit(False)).unionByName(brief.withColumn("brief", F.lit(True)))
-    return both.join(evidence, name, "left_semi").select(*name, "idx", "start", "said", "italic", "brief")
+    return _known(events).where("kept").select("doc_id", "genus", "epithet", "idx", "start", "said", "italic", (F.col("kind") == "b").alias("brief"))
+
+
+def _names(events: DataFrame) -> DataFrame:
+    """One row for each name of a document, and for each genus before sp. or spp. (its epithet is null)."""
+    known = _known(events).withColumn("epithet", F.when(F.col("kind") != "u", F.col("epithet"))).withColumn("form", F.when(F.col("kind") == "u", F.regexp_extract("said", r"(\S+)$", 1)))
+    of, at = lambda kind: F.col("kind") == kind, F.struct("idx", "start")
+    return known.where("kept or kind = 'u'").groupBy("doc_id", "genus", "epithet").agg(
+        F.count("*").alias("n"), F.count_if("italic").alias("n_italic"), F.min(F.when(~F.col("italic"), F.col("idx"))).alias("plain"), F.min(F.struct("idx", "start", of("b").alias("brief"))).alias("first"), F.count_if(of("f")).alias("n_full"),
+        F.array_sort(F.collect_list(F.when(of("f"), at))).alias("full"), F.count_if(F.col("form") == "sp.").alias("one"), F.count_if(F.col("form") == "spp.").alias("more"),  # of one name in one document
+    )
 
 
 def _lower_case(paragraphs: DataFrame, names: DataFrame) -> DataFrame:
@@ -92,24 +106,21 @@ def _lower_case(paragraphs: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("doc_id", "idx", F.explode(F.filter("names", inside)).alias("n")).groupBy("doc_id", "n.genus", "n.epithet").agg(F.min("idx").alias("idx"))
 
 
-def issues(paragraphs: DataFrame, found: DataFrame, no_genus: Iterable[str] = tuple(NO_GENUS)) -> dict[str, DataFrame]:
-    """Issues of species names by code.  found: of `mentions` over the paragraphs."""
-    name = ["doc_id", "genus", "epithet"]
-    order = Window.partitionBy(*name).orderBy("idx", "start")
-    ranked = found.withColumn("k", F.row_number().over(order)).withColumn("f", F.sum((~F.col("brief")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    per = ranked.groupBy(*name).agg(
-        F.count("*").alias("n"), F.count_if("italic").alias("n_italic"), F.min(F.when(~F.col("italic"), F.struct("idx", "start"))).alias("plain"), F.min(F.when(F.col("k") == 1, F.struct("idx", "brief", "said"))).alias("first"), F.count_if(~F.col("brief")).alias("n_full"),
-        F.min(F.when(~F.col("brief") & (F.col("f") == 2), F.col("idx"))).alias("again"),
-    )
+def issues(paragraphs: DataFrame, events: DataFrame) -> DataFrame:
+    """Issues of species names.  events: of `read` over the paragraphs."""
     label = F.concat_ws(" ", "genus", "epithet")
-    forms = unnamed(paragraphs).where(~F.col("genus").isin(list(no_genus))).groupBy("doc_id", "genus").agg(F.min("idx").alias("idx"), F.count_if(F.col("form") == "sp.").alias("one"), F.count_if(F.col("form") == "spp.").alias("more")).where("one > 0 and more > 0")
-    shaped = per.where("n >= 2 and plain is not null").withColumn("idx", F.col("plain.idx"))
-    full = per.where("not first.brief and n_full > 1 and n_full < n").withColumn("idx", F.col("again"))
-    return {
-        "mixed_italics": issue(shaped.where("n_italic > 0"), CHECK, "warning", "mixed_italics", F.concat_ws(" ", label, "n_italic", F.col("n") - F.col("n_italic"))),
-        "never_italic": issue(shaped.where("n_italic = 0"), CHECK, "warning", "never_italic", label),
-        "short_before_full": issue(per.where("first.brief").withColumn("idx", F.col("first.idx")), CHECK, "warning", "short_before_full", label),
-        "full_again": issue(full, CHECK, "info", "full_again", F.concat_ws(" ", label, F.col("n_full") - 1)),
-        "sp_and_spp": issue(forms, CHECK, "info", "sp_and_spp", F.col("genus")),
-        "lower_case_genus": issue(_lower_case(paragraphs, per.select(*name)), CHECK, "warning", "lower_case_genus", label),
-    }
+    made = lambda code, severity, when, idx, detail: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), idx.alias("idx"), detail.alias("detail")))
+    named, plain = F.col("epithet").isNotNull(), F.col("plain")
+    shaped = named & (F.col("n") >= 2) & plain.isNotNull()
+    listed = F.array_compact(
+        F.array(
+            made("mixed_italics", "warning", shaped & (F.col("n_italic") > 0), plain, F.concat_ws(" ", label, "n_italic", F.col("n") - F.col("n_italic"))), made("never_italic", "warning", shaped & (F.col("n_italic") == 0), plain, label),
+            made("short_before_full", "warning", named & F.col("first.brief"), F.col("first.idx"), label),
+            made("full_again", "info", named & ~F.col("first.brief") & (F.col("n_full") > 1) & (F.col("n_full") < F.col("n")), F.get("full", 1)["idx"], F.concat_ws(" ", label, F.col("n_full") - 1)),
+            made("sp_and_spp", "info", ~named & (F.col("one") > 0) & (F.col("more") > 0), F.col("first.idx"), F.col("genus")),
+        )
+    )
+    rows = _names(events).select("doc_id", F.explode(listed).alias("i")).select("doc_id", "i.*")
+    known = mentions(events).select("doc_id", "genus", "epithet").distinct()
+    small = _lower_case(paragraphs, known).select("doc_id", F.lit("warning").alias("severity"), F.lit("lower_case_genus").alias("code"), "idx", label.alias("detail"))
+    return rows.unionByName(small).select("doc_id", F.lit(CHECK).alias("check"), "severity", "code", F.col("idx").cast("int").alias("para_index"), "detail")

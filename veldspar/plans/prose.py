@@ -65,13 +65,6 @@ def definitions(spark, sf_dir):
     return a.definitions(a.read(_abbreviated(spark, sf_dir))).select("doc_id", "idx", "zone", "abbr", "start", "expansion")
 
 
-def _union(by_code):
-    out = None
-    for df in by_code.values():
-        out = df if out is None else out.unionByName(df)
-    return out
-
-
 def abbreviation_issues(spark, sf_dir):
     p = _abbreviated(spark, sf_dir)
     return a.issues(a.terms(p, a.read(p)))
@@ -79,7 +72,7 @@ def abbreviation_issues(spark, sf_dir):
 
 def species_issues(spark, sf_dir):
     p = _rows(spark, sf_dir, _SPECIES, ", false AS is_heading, CASE WHEN italic IS NULL THEN array() ELSE array(named_struct('start', 0, 'end', italic)) END AS italic_spans")
-    return _union(s.issues(p, s.mentions(p)))
+    return s.issues(p, s.read(p))
 
 
 def spelling_issues(spark, sf_dir):
