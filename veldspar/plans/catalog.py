@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lab", "funding", "manuscripts", "projects", "references", "journals", "prose")
+MODULES = ("lab", "funding", "manuscripts", "projects", "references", "journals", "prose", "records")
 
 
 def _all() -> dict:
