@@ -106,7 +106,7 @@ def test_missing_and_unused_names_and_notes(spark):
 def test_styles(spark, body, style):
     p = paper(spark, *body, ADLER, COSTA)
     found = c.worded(p)
-    assert [r.style for r in c.styles(c.listed(p), c.numbers(p), c.names(found), c.keys(found)).collect()] == [style]
+    assert [r.style for r in c.styles(c.listed(p), c.numbers(p), c.cited(found)).collect()] == [style]
 
 
 def test_numbers_against_the_list(spark):

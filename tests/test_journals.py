@@ -85,11 +85,12 @@ def test_required_sections(spark):
 def test_style_authors_and_doi(spark):
     entries = [("references", "Adler J, Byrne K, Costa L. On small things in water. J Water 12(3):45. doi:10.1234/abc (1991).")] + [("references", f"Adler J, Byrne K. Work {k} on small things. J Water 1:{k} (199{k % 10}).") for k in range(15)]
     p = paper(spark, ("results", "(Adler 1991)"), *entries)
-    held, found = c.listed(p), c.worded(p)
-    styles = c.styles(held, c.numbers(p), c.names(found), c.keys(found))
-    assert issues(j.citation_style(styles, held, rules(spark, reference_style="numbered"))) == [("journal_style", 1, "author_year instead of numbered")]
-    assert issues(j.citation_style(styles, held, rules(spark, reference_style="author_year"))) == []
-    assert issues(j.too_many_authors(held, rules(spark, max_authors_listed=2))) == [("too_many_authors", 1, "2: 1")]
-    assert issues(j.too_many_authors(held, rules(spark, max_authors_listed=1))) == [("too_many_authors", 1, "1: 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12 and 4 more")]
-    assert issues(j.without_doi(held, rules(spark, require_doi=True))) == [("doi_required", 2, "none: 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13 and 3 more")]
-    assert issues(j.without_doi(held, rules(spark))) == []
+    held = c.listed(p)
+    styles = c.styles(held, c.numbers(p), c.cited(c.worded(p)))
+    told = lambda **fields: issues(j.reference_issues(held, rules(spark, **fields), styles))
+    assert told(reference_style="numbered") == [("journal_style", 1, "author_year instead of numbered")]
+    assert told(reference_style="author_year") == told() == []
+    assert told(max_authors_listed=2) == [("too_many_authors", 1, "2: 1")]
+    assert told(max_authors_listed=1) == [("too_many_authors", 1, "1: 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12 and 4 more")]
+    assert told(require_doi=True) == [("doi_required", 2, "none: 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13 and 3 more")]
+    assert issues(j.reference_issues(held, rules(spark, reference_style="numbered", require_doi=True))) == told(require_doi=True)

@@ -8,6 +8,8 @@ paragraph by one sorted pass over matches and paragraph starts.  Every join, win
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,29 +87,37 @@ def year(c: Column) -> Column:
 
 
 def worded(paragraphs: DataFrame) -> DataFrame:
-    """The located matches of keys and of names with years, for `keys` and `names`."""
+    """The located matches of keys and of names with years, for `cited`."""
     return located(paragraphs, {"keys": KEYS, "round": ROUND, "square": SQUARE, "narrative": NARRATIVE})
 
 
-def keys(found: DataFrame) -> DataFrame:
-    """(doc_id, at, part, idx, key, anchor) of every key in square brackets that holds a digit.
+def cited(found: DataFrame) -> DataFrame:
+    """(doc_id, kind, idx, at, part, key, year, surnames, anchor): citations by key (kind key) and by name (kind name), in one pass.
 
-    found: of `worded`.  Keys keep their letters' case; typographic apostrophes are plain.
+    found: of `worded`.  A bracket of keys is split at commas and semicolons, and a key must hold a digit; keys keep their letters' case, and
+    typographic apostrophes are plain.  A bracket with a year is split at semicolons, and a piece needs a year and a surname; surnames is sorted without repeats.
     """
-    rows = found.where("kind = 'keys'").select("doc_id", "at", "idx", F.col("match").alias("anchor"), F.posexplode(F.split(F.substring("match", F.lit(2), F.length("match") - 2), "[,;]")).alias("part", "key"))
-    return rows.select("doc_id", "at", "part", "idx", F.replace(F.trim("key"), F.lit("’"), F.lit("'")).alias("key"), "anchor").where(F.col("key").rlike("[0-9]"))
+    inner, no = F.substring("match", F.lit(2), F.length("match") - 2), F.lit(None).cast("string")
+    names_ = lambda t: F.array_sort(F.array_distinct(surnames(t)))
+    one = lambda key, year_, who: F.struct(key.alias("key"), year_.alias("year"), who.alias("surnames"))
+    none = F.lit(None).cast("array<string>")
+    by_key = F.transform(F.split(inner, "[,;]"), lambda t: one(F.replace(F.trim(t), F.lit("’"), F.lit("'")), no, none))
+    by_name = F.transform(F.split(inner, ";"), lambda t: one(no, year(t), names_(t)))
+    told = F.regexp_extract("match", NARRATIVE, 1)
+    running = F.array(one(no, F.regexp_extract("match", NARRATIVE, 2), F.filter(F.array(told), lambda w: ~w.isin(NO_SURNAMES))))
+    each = F.when(F.col("kind") == "keys", by_key).when(F.col("kind") == "narrative", running).otherwise(by_name)
+    rows = found.select("doc_id", F.when(F.col("kind") == "keys", "key").otherwise("name").alias("kind"), "idx", "at", F.left("match", F.lit(60)).alias("anchor"), F.posexplode(each).alias("part", "c"))
+    return rows.select("doc_id", "kind", "idx", "at", "part", "c.key", "c.year", "c.surnames", "anchor").where(F.when(F.col("kind") == "key", F.col("key").rlike("[0-9]")).otherwise(F.col("year").isNotNull() & (F.size("surnames") > 0)))
 
 
-def names(found: DataFrame) -> DataFrame:
-    """(doc_id, idx, year, surnames, at, part, anchor) of author-year citations, of those with one paragraph, year and set of surnames the first.
+def keys(found: DataFrame) -> DataFrame:
+    """(doc_id, at, part, idx, key, anchor) of every key in square brackets that holds a digit.  found: of `worded`."""
+    return cited(found).where("kind = 'key'").select("doc_id", "at", "part", "idx", "key", "anchor")
 
-    found: of `worded`.  Brackets are split at semicolons; a piece needs a year and a surname.  surnames is sorted without repeats.
-    """
-    inside = found.where("kind in ('round', 'square')").select("doc_id", "at", "idx", F.left("match", F.lit(60)).alias("anchor"), F.posexplode(F.split(F.substring("match", F.lit(2), F.length("match") - 2), ";")).alias("part", "piece"))
-    inside = inside.select("doc_id", "idx", year(F.col("piece")).alias("year"), F.array_sort(F.array_distinct(surnames(F.col("piece")))).alias("surnames"), "at", "part", "anchor")
-    told = F.regexp_extract("match", NARRATIVE, 1)
-    running = found.where("kind = 'narrative'").select("doc_id", "idx", F.regexp_extract("match", NARRATIVE, 2).alias("year"), F.filter(F.array(told), lambda w: ~w.isin(NO_SURNAMES)).alias("surnames"), "at", F.lit(0).alias("part"), F.left("match", F.lit(60)).alias("anchor"))
-    return _once(inside.unionByName(running).where("year is not null and size(surnames) > 0"))
+
+def names(found: DataFrame) -> DataFrame:
+    """(doc_id, idx, year, surnames, at, part, anchor) of author-year citations, of those with one paragraph, year and set of surnames the first.  found: of `worded`."""
+    return _once(cited(found).where("kind = 'name'").select("doc_id", "idx", "year", "surnames", "at", "part", "anchor"))
 
 
 def _once(named: DataFrame) -> DataFrame:
@@ -196,26 +206,36 @@ def entry_keys(held: DataFrame) -> DataFrame:
 STYLES = ("numeric", "author_year", "key", "note")
 
 
-def styles(held: DataFrame, numeric: DataFrame, named: DataFrame, keyed: DataFrame, in_notes: DataFrame | None = None) -> DataFrame:
-    """(doc_id, style, n_cited) of every document with entries or citations.
+def styles(held: DataFrame, numeric: DataFrame, told: DataFrame, in_notes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, style, n_cited, n) of every document with entries or citations; n counts its entries.
 
-    The kind with most citations, in the order of STYLES on a tie; unknown without any, with less than twice the others' number
-    where that is over 2, with four or more numbers of which over half lie beyond the list, and by name or key without any year in the list.
+    held: of `listed`; numeric: of `numbers`; told: of `cited`; in_notes: of `noted`.  The style is the kind with most citations, in the order of STYLES on a tie (names count once for
+    a paragraph); unknown without any, with less than twice the others' number where that is over 2, with four or more numbers of which over half lie beyond the list, and by
+    name or key without any year in the list.  All citations and entries go through two groupings, by what they say and by document.
     """
-    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    list_ = held.groupBy("doc_id").agg(F.count("*").alias("n"), F.greatest(F.count("*"), F.coalesce(F.max("stated"), F.lit(0))).alias("most"), F.bool_or(F.col("year").isNotNull()).alias("dated"))
-    per = numeric.groupBy("doc_id", "number").agg(F.count("*").alias("c")).join(list_.select("doc_id", "most"), "doc_id", "left")
-    nums = per.groupBy("doc_id").agg(F.sum("c").alias("numeric"), F.count("*").alias("cited"), F.count_if(F.col("number") > F.col("most")).alias("beyond"))
-    both = list_.join(nums, "doc_id", "full").join(count(named, "author_year"), "doc_id", "full").join(count(keyed, "key"), "doc_id", "full")
-    both = both.join(count(in_notes, "note"), "doc_id", "full") if in_notes is not None else both.withColumn("note", F.lit(0).cast("long"))
-    known = both.na.fill(0, ["n", *STYLES, "cited", "beyond"])
+    no = lambda kind: F.lit(None).cast(kind)
+    shape = lambda df, kind, **c: df.select("doc_id", kind.alias("kind"), *[c.get(n, no(t)).alias(n) for n, t in (("number", "int"), ("idx", "int"), ("year", "string"), ("who", "string"))])
+    who = F.array_join("surnames", " ")
+    parts = [shape(held, F.lit("entry"), number=F.col("stated").cast("int"), year=F.col("year")), shape(numeric, F.lit("numeric"), number=F.col("number").cast("int"))]
+    parts.append(shape(told, F.when(F.col("kind") == "key", "key").otherwise("author_year"), idx=F.when(F.col("kind") == "name", F.col("idx")), year=F.col("year"), who=who))
+    if in_notes is not None:
+        parts.append(shape(in_notes, F.lit("note"), idx=F.col("idx"), year=F.col("year"), who=who))
+    both = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "kind", "number", "idx", "year", "who").agg(F.count("*").alias("c"))
+    of = lambda kind: F.col("kind") == kind
+    once = lambda kind: F.count_if(of(kind))
+    total = lambda kind: F.coalesce(F.sum(F.when(of(kind), F.col("c"))), F.lit(0))
+    per = both.groupBy("doc_id").agg(
+        total("entry").alias("n"), total("numeric").alias("numeric"), once("author_year").alias("author_year"), total("key").alias("key"), once("note").alias("note"), F.coalesce(F.max(F.when(of("entry"), F.col("number"))), F.lit(0)).alias("stated"),
+        F.bool_or(of("entry") & F.col("year").isNotNull()).alias("dated"), F.collect_set(F.when(of("numeric"), F.col("number"))).alias("cited"),  # numbers of three digits
+    )
     best = F.greatest(*STYLES)
-    total = sum((F.col(s) for s in STYLES[1:]), F.col(STYLES[0]))
+    all_ = F.col("numeric") + F.col("author_year") + F.col("key") + F.col("note")
     name = F.coalesce(*[F.when(F.col(s) == best, F.lit(s)) for s in STYLES])
-    mixed = (best < 2 * F.greatest(F.lit(1), total - best)) & (total - best > 2)
-    outside = (name == "numeric") & (F.col("n") > 0) & (F.col("cited") >= 4) & (2 * F.col("beyond") > F.col("cited"))
-    undated = name.isin("author_year", "key") & ~F.coalesce("dated", F.lit(False))
-    return known.select("doc_id", F.when((best == 0) | mixed | outside | undated, "unknown").otherwise(name).alias("style"), total.alias("n_cited"), "n")
+    mixed = (best < 2 * F.greatest(F.lit(1), all_ - best)) & (all_ - best > 2)
+    most = F.greatest("n", "stated")
+    outside = (name == "numeric") & (F.col("n") > 0) & (F.size("cited") >= 4) & (2 * F.size(F.filter("cited", lambda x: x > most)) > F.size("cited"))
+    undated = name.isin("author_year", "key") & ~F.col("dated")
+    return per.select("doc_id", F.when((best == 0) | mixed | outside | undated, "unknown").otherwise(name).alias("style"), all_.alias("n_cited"), "n")
 
 
 # Issues

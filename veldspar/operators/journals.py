@@ -150,28 +150,35 @@ def required_sections(paragraphs: DataFrame, rules: DataFrame) -> DataFrame:
     return _severity(each.join(there, ["doc_id", "required"], "left_anti"), "required_section", F.col("required"), None)
 
 
-def citation_style(styles: DataFrame, held: DataFrame, rules: DataFrame) -> DataFrame:
-    """Documents with a reference list whose citations are numbered where the journal asks for names, or the other way round; keys and notes count as names."""
-    used = F.when(F.col("style") == "numeric", "numbered").when(F.col("style") != "unknown", "author_year")
-    first = held.groupBy("doc_id").agg(F.min("idx").alias("idx"))
-    rows = styles.withColumn("used", used).join(first, "doc_id").join(rules.select("doc_id", "reference_style"), "doc_id").where("used <> reference_style")
-    return issue(rows, "references", "warning", "journal_style", F.concat_ws(" instead of ", "used", "reference_style"))
+def reference_issues(held: DataFrame, rules: DataFrame, styles: DataFrame | None = None) -> DataFrame:
+    """What a journal asks of a reference list: its style of citation, how many authors an entry prints, and a DOI for each.
 
-
-def _over(rows: DataFrame, code: str, lead: Column) -> DataFrame:
-    """One issue for each document that lists the first entries' places and counts the others."""
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("place")))
-    few = ranked.groupBy("doc_id", lead.alias("lead")).agg(F.count("*").alias("n"), F.min("idx").alias("idx"), F.array_sort(F.collect_list(F.when(F.col("_k") <= LISTED, F.col("place")))).alias("places"))
-    more = F.when(F.col("n") > LISTED, F.concat(F.lit(" and "), F.col("n") - LISTED, F.lit(" more"))).otherwise("")
-    return issue(few, "references", "warning", code, F.concat(F.col("lead"), F.lit(": "), F.array_join("places", ", "), more))
-
-
-def too_many_authors(held: DataFrame, rules: DataFrame) -> DataFrame:
-    """Documents with entries that list more authors than the journal prints before "et al."."""
-    rows = held.join(rules.where("max_authors_listed is not null").select("doc_id", "max_authors_listed"), "doc_id").where("author_count > max_authors_listed")
-    return _over(rows, "too_many_authors", F.col("max_authors_listed").cast("string"))
-
-
-def without_doi(held: DataFrame, rules: DataFrame) -> DataFrame:
-    """Documents with entries without a DOI for a journal that requires one for each."""
-    return _over(held.where("doi is null").join(rules.where("require_doi").select("doc_id"), "doc_id"), "doi_required", F.lit("none"))
+    held: of `citations.listed`; rules: of `assigned`; styles: of `citations.styles`, where the style is to be judged.  Keys and notes count as names, and an unknown style
+    is none.  One issue for each rule of a document; the first LISTED places are named and the others counted.
+    """
+    asked = rules.select("doc_id", "reference_style", "max_authors_listed", "require_doi")
+    wanted = lambda when: F.array_sort(F.collect_list(F.when(when, F.struct("place", "idx"))))
+    per = held.select("doc_id", "place", "idx", "author_count", "doi").join(asked, "doc_id").groupBy(*asked.columns).agg(
+        F.min("idx").alias("idx"), wanted(F.col("author_count") > F.col("max_authors_listed")).alias("over"), wanted(F.col("require_doi") & F.col("doi").isNull()).alias("bare")  # of one list
+    )
+    if styles is None:
+        per = per.withColumn("used", F.lit(None).cast("string"))
+    else:
+        used = F.when(F.col("style") == "numeric", "numbered").when(F.col("style") != "unknown", "author_year")
+        per = per.join(styles.select("doc_id", used.alias("used")), "doc_id", "left")
+
+    def places(c):
+        more = F.when(F.size(c) > LISTED, F.concat(F.lit(" and "), F.size(c) - LISTED, F.lit(" more"))).otherwise("")
+        return F.concat(F.array_join(F.transform(F.slice(c, 1, LISTED), lambda x: x["place"].cast("string")), ", "), more)
+
+    made = lambda code, when, idx, detail: F.when(when, F.struct(F.lit(code).alias("code"), idx.alias("idx"), detail.alias("detail")))
+    first = lambda c: F.get(F.col(c), 0)["idx"]
+    listed = F.array_compact(
+        F.array(
+            made("journal_style", F.col("used") != F.col("reference_style"), F.col("idx"), F.concat_ws(" instead of ", "used", "reference_style")),
+            made("too_many_authors", F.size("over") > 0, first("over"), F.concat(F.col("max_authors_listed").cast("string"), F.lit(": "), places(F.col("over")))),
+            made("doi_required", F.size("bare") > 0, first("bare"), F.concat(F.lit("none: "), places(F.col("bare")))),
+        )
+    )
+    rows = per.select("doc_id", F.explode(listed).alias("i")).select("doc_id", "i.*")
+    return rows.select("doc_id", F.lit("references").alias("check"), F.lit("warning").alias("severity"), "code", F.col("idx").cast("int").alias("para_index"), "detail")

@@ -45,9 +45,8 @@ def journal_issues(spark, sf_dir):
 
 def reference_issues(spark, sf_dir):
     p, held, found = r._both(spark, sf_dir)
-    own, c = rules(spark, sf_dir), r.c
-    style = c.styles(held, c.numbers(p), c.names(found), c.keys(found), c.noted(p, r.notes(spark, sf_dir)))
-    return j.citation_style(style, held, own).unionByName(j.too_many_authors(held, own)).unionByName(j.without_doi(held, own))
+    style = r.c.styles(held, r.c.numbers(p), r.c.cited(found), r.c.noted(p, r.notes(spark, sf_dir)))
+    return j.reference_issues(held, rules(spark, sf_dir), style)
 
 
 _DATE = "CASE WHEN regexp_full_match(verified0, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(verified0 AS DATE) END"

@@ -67,7 +67,7 @@ def entry_keys(spark, sf_dir):
 
 def styles(spark, sf_dir):
     p, held, found = _both(spark, sf_dir)
-    return c.styles(held, c.numbers(p), c.names(found), c.keys(found), c.noted(p, notes(spark, sf_dir)))
+    return c.styles(held, c.numbers(p), c.cited(found), c.noted(p, notes(spark, sf_dir)))
 
 
 def key_issues(spark, sf_dir):
