@@ -54,3 +54,19 @@ def test_callouts(spark):
     got = sorted((r.kind, r.grp, r.number, "".join(r.panels), r.short, r.start) for r in g.callouts(told).collect())
     assert got == [("figure", "extended", 5, "AB", True, 53), ("figure", "main", 1, "", False, 26), ("figure", "main", 2, "", False, 26), ("figure", "main", 3, "", False, 26), ("figure", "supplementary", 2, "", True, 4), ("table", "supplementary", 4, "B", False, 42)]
     assert g.callouts(g.runs(paper(spark, "See Fig. 1", section="references"))).collect() == []
+
+
+def told(spark, *texts):
+    return sorted(((r.code, r.para_index, r.detail) for r in g.issues(g.runs(paper(spark, *texts))).collect()), key=str)
+
+
+def test_issues(spark):
+    got = told(
+        spark, "Fig. 2A and Figure 1C, then Figures 5, 3", "Figure 1. Title (A) and (B)", "", "Figure 1. Again", "Figure 2: Title (A, B)", "Figure 4. Title", "Table 2. Rows", "Table 3 is named, with Supplementary Fig. 7 and Extended Data Table 1",
+    )
+    assert got == [
+        ("citation_order", 0, "figure main 2 before 1"), ("citation_order", 0, "figure main 5 before 3"), ("duplicate_legend", 3, "figure main 1"), ("mixed_names", None, "2/5"), ("never_cited", 5, "figure main 4"), ("never_cited", 6, "table main 2"),
+        ("no_legend", 0, "figure main 3"), ("no_legend", 0, "figure main 5"), ("no_legend", 7, "table main 3"), ("numbering", 5, "figure main 2 4"), ("numbering", 6, "table main start 2"), ("panels_not_cited", 1, "figure main 1 A,B"), ("panels_not_cited", 4, "figure main 2 B"), ("unknown_panel", 0, "figure main 1C"),
+    ]
+    assert told(spark, "See Table 1 and Table 1 and Supplementary Table 9") == [("no_legends_at_all", None, "table 1")]
+    assert told(spark, "nothing", None) == []

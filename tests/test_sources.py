@@ -144,3 +144,9 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert {(r.status, float(r.spent)) for r in spark.table("spent").collect()} == {("requested", 1.0), ("ordered", 2.5), ("ordered", 4.0)}
     assert {r.id: r.status for r in spark.table("states").collect()} == {"a": "ordered", "b": "ordered"}
+
+
+def test_dates_of_sheets_are_month_first(spark):
+    forms = {"2026-03-04": (2026, 3, 4), "03/04/2026": (2026, 3, 4), " 3/4/2026 ": (2026, 3, 4), "3/4/26": (2026, 3, 4), "1/2/70": (1970, 1, 2), "4.3.2026": (2026, 3, 4), "4 Mar 2026": (2026, 3, 4), "04-Mar-2026": (2026, 3, 4), "13/04/2026": None, "2026-02-30": None, "soon": None, "": None}
+    rows = spark.createDataFrame([(k,) for k in forms], "s string").select("s", sheets.day(F.col("s")).alias("d")).collect()
+    assert {r.s: r.d and (r.d.year, r.d.month, r.d.day) for r in rows} == forms

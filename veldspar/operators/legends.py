@@ -137,13 +137,72 @@ def legends(told: DataFrame) -> DataFrame:
 
 
 def callouts(told: DataFrame) -> DataFrame:
-    """(doc_id, idx, start, kind, grp, number, panels, short): what callouts outside legends, headings and the reference list name.
+    """(doc_id, idx, start, seq, kind, grp, number, panels, short): what callouts outside legends, headings and the reference list name.
 
-    told: of `runs`.  short is true for Fig. and Figs.
+    told: of `runs`.  seq is an item's place in its callout; short is true for Fig. and Figs.
     """
     rows = told.where("not legend and not absorbed and not heading and section <> 'references'").where(F.col("text").rlike(CALLOUT))
     each = rows.select("doc_id", "idx", F.explode(matches(F.col("text"), CALLOUT)).alias("m"))
     part = lambda k: F.regexp_extract("m.text", CALLOUT, k)
-    read = each.select("doc_id", "idx", "m.start", part(1).alias("prefix"), part(2).alias("word"), F.explode(spec_items(part(3))).alias("s"))
+    read = each.select("doc_id", "idx", "m.start", part(1).alias("prefix"), part(2).alias("word"), F.posexplode(spec_items(part(3))).alias("seq", "s"))
     short = F.lower("word").startswith("fig") & ~F.lower("word").startswith("figure")
-    return read.select("doc_id", "idx", "start", _kind(F.col("word")).alias("kind"), _group(F.col("prefix"), F.col("s.label")).alias("grp"), _number(F.col("s.label")).alias("number"), F.col("s.panels").alias("panels"), short.alias("short"))
+    return read.select("doc_id", "idx", "start", "seq", _kind(F.col("word")).alias("kind"), _group(F.col("prefix"), F.col("s.label")).alias("grp"), _number(F.col("s.label")).alias("number"), F.col("s.panels").alias("panels"), short.alias("short"))
+
+
+# Issues
+
+
+def _made(code: str, severity: str, idx: Column, detail: Column) -> Column:
+    return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), idx.cast("int").alias("idx"), detail.cast("string").alias("detail"))
+
+
+def _items(told: DataFrame) -> DataFrame:
+    """One row for each item of a document: its legends in order, its first callout, what it is cited for and the issues of the item alone."""
+    held = legends(told).select("doc_id", "kind", "grp", "number", F.lit(True).alias("legend"), "idx", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("seq"), "panels", F.lit(False).alias("short"))
+    named = callouts(told).select("doc_id", "kind", "grp", "number", F.lit(False).alias("legend"), "idx", "start", "seq", "panels", "short")
+    both = held.unionByName(named).repartition("doc_id")  # all that follows lies within a document
+    cited = F.when(~F.col("legend"), F.transform("panels", lambda p: F.struct(p.alias("panel"), F.col("idx").alias("idx"))))
+    rows = both.groupBy("doc_id", "kind", "grp", "number").agg(
+        F.array_sort(F.collect_list(F.when(F.col("legend"), F.struct("idx", "panels")))).alias("legends"), F.min(F.when(~F.col("legend"), F.struct("idx", "start", "seq"))).alias("first"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(cited)))).alias("cited"), F.count_if(~F.col("legend")).alias("n"), F.count_if("short").alias("n_short"),  # of one item of one document
+    )
+    label, own = F.concat_ws(" ", "kind", "grp", "number"), F.coalesce(F.get("legends", 0)["panels"], F.array().cast("array<string>"))
+    used = F.array_distinct(F.transform("cited", lambda c: c["panel"]))
+    idle = F.array_except(own, used)
+    alone = F.concat(
+        F.transform(F.slice("legends", F.lit(2), F.greatest(F.size("legends") - 1, F.lit(0))), lambda x: _made("duplicate_legend", "warning", x["idx"], label)),
+        F.transform(F.filter("cited", lambda c: (F.size(own) > 0) & ~F.array_contains(own, c["panel"])), lambda c: _made("unknown_panel", "warning", c["idx"], F.concat(label, c["panel"]))),
+        F.array_compact(F.array(F.when((F.size(used) > 0) & (F.size(idle) > 0), _made("panels_not_cited", "info", F.get("legends", 0)["idx"], F.concat(label, F.lit(" "), F.array_join(idle, ",")))))),
+        F.array_compact(F.array(F.when((F.size("legends") > 0) & F.col("first").isNull(), _made("never_cited", "error", F.get("legends", 0)["idx"], label)))),
+    )
+    return rows.select("doc_id", "kind", "grp", F.struct("number", "first", F.get("legends", 0)["idx"].alias("legend")).alias("item"), "n", "n_short", alone.alias("alone"))
+
+
+def issues(told: DataFrame) -> DataFrame:
+    """Issues of figures and tables, each once.
+
+    told: of `runs`.  Items, then the items of one kind and group, then documents are grouped inside a document's partition: an item cited without a legend
+    is an error where its group has legends, and a main group without any is one info; numbering starts at 1 and has no gaps; an item is out of order if a
+    smaller one that is cited is first named later.
+    """
+    group = _items(told).groupBy("doc_id", "kind", "grp").agg(F.array_sort(F.collect_list("item")).alias("items"), F.sum("n").alias("n"), F.sum("n_short").alias("n_short"), F.flatten(F.collect_list("alone")).alias("alone"))
+    label = lambda n: F.concat_ws(" ", F.col("kind"), F.col("grp"), n.cast("string"))
+    held, cited = F.filter("items", lambda i: i["legend"].isNotNull()), F.filter("items", lambda i: i["first"].isNotNull())
+    some, lacking = F.size(held) > 0, F.filter("items", lambda i: i["legend"].isNull())
+    missing = F.when(some, F.transform(lacking, lambda i: _made("no_legend", "error", i["first"]["idx"], label(i["number"])))).when((F.col("grp") == "main") & (F.size(cited) > 0), F.array(_made("no_legends_at_all", "info", F.lit(None), F.concat_ws(" ", "kind", F.size(cited).cast("string")))))
+    none = F.array().cast("array<struct<severity:string,code:string,idx:int,detail:string>>")
+
+    def gaps(h):
+        first = F.when((F.size(h) > 0) & (F.get(h, 0)["number"] != 1), F.array(_made("numbering", "warning", F.get(h, 0)["legend"], F.concat_ws(" ", F.col("kind"), F.col("grp"), F.lit("start"), F.get(h, 0)["number"].cast("string")))))
+        jump = F.filter(F.transform(h, lambda x, k: F.when((k > 0) & (x["number"] - F.get(h, k - 1)["number"] > 1), _made("numbering", "warning", x["legend"], F.concat_ws(" ", F.col("kind"), F.col("grp"), F.get(h, k - 1)["number"].cast("string"), x["number"].cast("string"))))), lambda i: i.isNotNull())
+        return F.concat(F.coalesce(first, none), jump)
+
+    def late(c):
+        later = lambda x: F.get(F.filter(c, lambda y: (y["number"] < x["number"]) & (y["first"] > x["first"])), 0)["number"]
+        return F.filter(F.transform(c, lambda x: F.when(later(x).isNotNull(), _made("citation_order", "warning", x["first"]["idx"], F.concat_ws(" ", label(x["number"]), F.lit("before"), later(x).cast("string"))))), lambda i: i.isNotNull())
+
+    both = F.concat("alone", F.coalesce(missing, none), F.transform(F.array(held), gaps).getItem(0), F.transform(F.array(cited), late).getItem(0))
+    per = group.withColumn("made", both).groupBy("doc_id").agg(F.flatten(F.collect_list("made")).alias("made"), F.sum(F.when(F.col("kind") == "figure", F.col("n"))).alias("n"), F.sum(F.when(F.col("kind") == "figure", F.col("n_short"))).alias("short"))
+    mixed = F.when((F.col("short") > 0) & (F.col("short") < F.col("n")), F.array(_made("mixed_names", "info", F.lit(None), F.concat_ws("/", "short", "n"))))
+    rows = per.select("doc_id", F.explode(F.array_distinct(F.concat("made", F.coalesce(mixed, none)))).alias("i")).select("doc_id", "i.*")
+    return rows.select("doc_id", F.lit("figures").alias("check"), "severity", "code", F.col("idx").alias("para_index"), "detail")

@@ -57,6 +57,10 @@ def callouts(spark, sf_dir):
     return g.callouts(g.runs(legend_rows(spark, sf_dir))).select("doc_id", "idx", "kind", "grp", "number", F.array_join("panels", "").alias("panels"), "short")
 
 
+def figure_issues(spark, sf_dir):
+    return g.issues(g.runs(legend_rows(spark, sf_dir)))
+
+
 def _abbreviated(spark, sf_dir):
     return _rows(spark, sf_dir, _ABBREVIATED, ", is_heading")
 
@@ -159,21 +163,38 @@ od AS (SELECT doc_id, family, british, sum(n) AS times, min(idx) AS idx, arg_min
 """
 
 
+_LEGEND_ROWS = f"""SELECT doc_id, idx, CASE WHEN starts_with(word, 'fig') THEN 'figure' ELSE 'table' END AS kind, {_GROUP.format('pre', 'label')} AS grp, CAST(regexp_replace(label, '[^0-9]', '', 'g') AS INTEGER) AS number, anchor, n_absorbed::INTEGER AS n_absorbed,
+ CASE WHEN starts_with(word, 'fig') THEN coalesce(list_aggregate(list_filter({_LETTERS.format("'A'", "'Z'")}, lambda c: len(list_filter({_LETTERS.format("'A'", "c")}, lambda x: NOT list_contains(f, x))) = 0), 'string_agg', ''), '') ELSE '' END AS panels FROM ld"""
+_CALLOUTS = f"""cz AS (SELECT doc_id, idx, unnest(range(len(regexp_extract_all(text, '{_q(_CALL_RX)}')))) AS k, unnest(regexp_extract_all(text, '{_q(_CALL_RX)}', 1)) AS pre, unnest(regexp_extract_all(text, '{_q(_CALL_RX)}', 2)) AS word, unnest(regexp_extract_all(text, '{_q(_CALL_RX)}', 3)) AS spec FROM rt WHERE NOT legend AND NOT absorbed AND NOT is_heading AND section <> 'references'),
+cy AS (SELECT *, CAST(regexp_extract(spec, '([0-9]+)', 1) AS INTEGER) AS lo, CAST(coalesce(nullif(regexp_extract(spec, '-([0-9]+)', 1), ''), regexp_extract(spec, '([0-9]+)', 1)) AS INTEGER) AS hi, regexp_replace(spec, '^S', '') AS rest FROM cz)"""
+_CALLOUT_ROWS = f"""SELECT doc_id, idx, k, CASE WHEN starts_with(lower(word), 'fig') THEN 'figure' ELSE 'table' END AS kind, {_GROUP.format('pre', 'spec')} AS grp, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS number, coalesce(list_aggregate(list_sort(list_distinct(regexp_extract_all(upper(rest), '[A-Z]'))), 'string_agg', ''), '') AS panels, starts_with(lower(word), 'fig') AND NOT starts_with(lower(word), 'figure') AS short FROM cy"""
+_FIGURES = f"""{_RUNS}{_LEG}, {_CALLOUTS}, lr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, grp, number ORDER BY idx) AS n FROM ({_LEGEND_ROWS})), l1 AS (SELECT * FROM lr WHERE n = 1), cr AS ({_CALLOUT_ROWS}), fc AS (SELECT doc_id, kind, grp, number, min(idx * 1000000 + k * 1000 + number) AS place, min(idx) AS idx FROM cr GROUP BY ALL),
+gl AS (SELECT DISTINCT doc_id, kind, grp FROM l1), nu AS (SELECT *, lag(number) OVER (PARTITION BY doc_id, kind, grp ORDER BY number) AS before FROM l1), up AS (SELECT DISTINCT doc_id, idx, kind, grp, number, unnest(string_split(panels, '')) AS panel FROM cr WHERE panels <> ''),
+us AS (SELECT doc_id, kind, grp, number, list(DISTINCT panel) AS used FROM up GROUP BY ALL)
+"""
+
+
 def _issue(check: str, rows: str) -> str:
     return f"SELECT doc_id, '{check}' AS \"check\", severity, code, CAST(idx AS INTEGER) AS para_index, CAST(detail AS VARCHAR) AS detail FROM ({rows})"
 
 
 QUERIES = {
-    "ext05_legends": (
-        legends,
-        f"""{_RUNS}{_LEG} SELECT doc_id, idx, CASE WHEN starts_with(word, 'fig') THEN 'figure' ELSE 'table' END AS kind, {_GROUP.format('pre', 'label')} AS grp, CAST(regexp_replace(label, '[^0-9]', '', 'g') AS INTEGER) AS number, anchor, n_absorbed::INTEGER AS n_absorbed,
-            CASE WHEN starts_with(word, 'fig') THEN coalesce(list_aggregate(list_filter({_LETTERS.format("'A'", "'Z'")}, lambda c: len(list_filter({_LETTERS.format("'A'", "c")}, lambda x: NOT list_contains(f, x))) = 0), 'string_agg', ''), '') ELSE '' END AS panels FROM ld""",
-    ),
-    "ext05_callouts": (
-        callouts,
-        f"""{_RUNS} cx AS (SELECT doc_id, idx, unnest(regexp_extract_all(text, '{_q(_CALL_RX)}', 1)) AS pre, unnest(regexp_extract_all(text, '{_q(_CALL_RX)}', 2)) AS word, unnest(regexp_extract_all(text, '{_q(_CALL_RX)}', 3)) AS spec FROM rt WHERE NOT legend AND NOT absorbed AND NOT is_heading AND section <> 'references'),
-            cy AS (SELECT *, CAST(regexp_extract(spec, '([0-9]+)', 1) AS INTEGER) AS lo, CAST(coalesce(nullif(regexp_extract(spec, '-([0-9]+)', 1), ''), regexp_extract(spec, '([0-9]+)', 1)) AS INTEGER) AS hi, regexp_replace(spec, '^S', '') AS rest FROM cx)
-            SELECT doc_id, idx, CASE WHEN starts_with(lower(word), 'fig') THEN 'figure' ELSE 'table' END AS kind, {_GROUP.format('pre', 'spec')} AS grp, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS number, coalesce(list_aggregate(list_sort(list_distinct(regexp_extract_all(upper(rest), '[A-Z]'))), 'string_agg', ''), '') AS panels, starts_with(lower(word), 'fig') AND NOT starts_with(lower(word), 'figure') AS short FROM cy""",
+    "ext05_legends": (legends, f"{_RUNS}{_LEG} {_LEGEND_ROWS}"),
+    "ext05_callouts": (callouts, f"{_RUNS}{_CALLOUTS} SELECT * EXCLUDE (k) FROM ({_CALLOUT_ROWS})"),
+    "fig11_figures": (
+        figure_issues,
+        _FIGURES + _issue(
+            "figures",
+            """SELECT DISTINCT * FROM (SELECT doc_id, 'warning' AS severity, 'duplicate_legend' AS code, idx, concat_ws(' ', kind, grp, number) AS detail FROM lr WHERE n > 1
+            UNION ALL SELECT doc_id, 'error', 'no_legend', idx, concat_ws(' ', kind, grp, number) FROM fc SEMI JOIN gl USING (doc_id, kind, grp) ANTI JOIN l1 USING (doc_id, kind, grp, number)
+            UNION ALL SELECT doc_id, 'info', 'no_legends_at_all', NULL, concat_ws(' ', kind, count(*)) FROM fc ANTI JOIN gl USING (doc_id, kind, grp) WHERE grp = 'main' GROUP BY doc_id, kind
+            UNION ALL SELECT doc_id, 'error', 'never_cited', idx, concat_ws(' ', kind, grp, number) FROM l1 ANTI JOIN fc USING (doc_id, kind, grp, number)
+            UNION ALL SELECT doc_id, 'warning', 'numbering', idx, CASE WHEN before IS NULL THEN concat_ws(' ', kind, grp, 'start', number) ELSE concat_ws(' ', kind, grp, before, number) END FROM nu WHERE (before IS NULL AND number <> 1) OR number - before > 1
+            UNION ALL SELECT a.doc_id, 'warning', 'citation_order', a.idx, concat_ws(' ', a.kind, a.grp, a.number, 'before', min(z.number)) FROM fc a JOIN fc z ON a.doc_id = z.doc_id AND a.kind = z.kind AND a.grp = z.grp AND z.number < a.number AND z.place > a.place GROUP BY a.doc_id, a.idx, a.kind, a.grp, a.number
+            UNION ALL SELECT up.doc_id, 'warning', 'unknown_panel', up.idx, concat_ws(' ', kind, grp, number) || panel FROM up JOIN l1 USING (doc_id, kind, grp, number) WHERE l1.panels <> '' AND NOT contains(l1.panels, panel)
+            UNION ALL SELECT doc_id, 'info', 'panels_not_cited', l1.idx, concat_ws(' ', kind, grp, number) || ' ' || list_aggregate(list_filter(string_split(panels, ''), lambda x: NOT list_contains(used, x)), 'string_agg', ',') FROM l1 JOIN us USING (doc_id, kind, grp, number) WHERE len(list_filter(string_split(panels, ''), lambda x: NOT list_contains(used, x))) > 0 AND panels <> ''
+            UNION ALL SELECT doc_id, 'info', 'mixed_names', NULL, count(*) FILTER (short) || '/' || count(*) FROM cr WHERE kind = 'figure' GROUP BY doc_id HAVING bool_or(short) AND NOT bool_and(short))""",
+        ),
     ),
     "ext23_definitions": (definitions, f"{_DEFS} y AS (SELECT 1) SELECT doc_id, idx, zone, abbr, start::INTEGER AS start, expansion FROM dg"),
     "abb05_abbreviations": (

@@ -22,7 +22,8 @@ ALIASES = {
     "account": ["account", "system", "grant"], "status": ["status", "state"], "requested_by": ["requestedby", "requester"], "requested": ["requested", "daterequested"], "ordered": ["ordered", "dateordered"], "received": ["received", "datereceived"], "location": ["location", "place"], "notes": ["notes", "comments"],
 }
 STATUS = {"requested": "requested", "new": "requested", "approved": "approved", "ordered": "ordered", "placed": "ordered", "backordered": "backordered", "backorder": "backordered", "received": "received", "arrived": "received", "cancelled": "cancelled", "canceled": "cancelled"}
-DATES = ["yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyy/MM/dd"]
+#: The forms of a date, tried in this order; slashes are month first.
+DATES = ["yyyy-M-d", "M/d/yyyy", "M/d/yy", "d.M.yyyy", "d MMM yyyy", "d-MMM-yyyy"]
 HEADER_ROWS = 20
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -65,8 +66,9 @@ def grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def day(c: Column) -> Column:
-    """A date written in any known way; null otherwise."""
-    return F.coalesce(*[F.try_to_date(F.trim(c), f) for f in DATES])
+    """A date written in any known way; null otherwise.  A year of two digits is one of 1969 to 2068."""
+    century = lambda d, form: F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d) if form.endswith("/yy") else d
+    return F.coalesce(*[century(F.try_to_date(F.trim(c), f), f) for f in DATES])
 
 
 def number(c: Column) -> Column:
