@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.text import matches
+from veldspar.functions.text import spans
 
 from .manuscripts import issue
 
@@ -53,11 +53,9 @@ def table(rules: Iterable[tuple[str, str, str, str]] = tuple(RULES)) -> list[tup
     return [(w, f, b) for w, (f, b) in out.items()]
 
 
-def body(paragraphs: DataFrame) -> DataFrame:
-    """What is checked: all with text, headings too, but the reference list and the front matter; in a document that has nothing else the front matter as well."""
-    rows = paragraphs.where((F.col("text") != "") & (F.col("section") != "references"))
-    own = F.max(F.col("section") != "front_matter").over(Window.partitionBy("doc_id"))
-    return rows.withColumn("_own", own).where((F.col("section") != "front_matter") | ~F.col("_own")).drop("_own")
+def checked(paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, own): documents with text outside the reference list, and whether any of it stands outside the front matter too."""
+    return paragraphs.where("text <> '' and section <> 'references'").groupBy("doc_id").agg(F.max(F.col("section") != "front_matter").alias("own"))
 
 
 def _name(text: Column, m: Column) -> Column:
@@ -66,16 +64,29 @@ def _name(text: Column, m: Column) -> Column:
     return m["text"].rlike("^[A-Z]") & (before != "") & ~before.rlike("[.!?:]$")
 
 
+def _branches(words: list[str]) -> str:
+    """A pattern for the beginnings of words that looks at each letter once."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    if "" in by:
+        return ""
+    return "(?:" + "|".join(c + _branches(rest) for c, rest in sorted(by.items())) + ")"
+
+
 def found(paragraphs: DataFrame, rules: Iterable[tuple[str, str, str, str]] = tuple(RULES)) -> DataFrame:
-    """(doc_id, idx, start, word, family, british) of every word with two spellings, names aside."""
-    rules = tuple(rules)
-    words = table(rules)
-    heads = sorted({w[:4] for w, _, _ in words})  # a match begins like one of the words and is looked up whole
-    pattern = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(heads)})[a-z]*(?![\p{{L}}\p{{N}}_])"
+    """(doc_id, idx, start, word, family, british) of every word with two spellings, names aside.
+
+    All with text is searched, headings too, but the reference list and the front matter; in a document that has nothing else the front matter as well.
+    """
+    words = table(tuple(rules))
+    pattern = rf"(?i)(?<![\p{{L}}\p{{N}}_]){_branches(sorted({w[:4] for w, _, _ in words}))}[a-z]*(?![\p{{L}}\p{{N}}_])"  # a match begins like one of the words and is looked up whole
     text = F.col("text")
-    some = body(paragraphs).where(text.rlike(pattern)).select("doc_id", "idx", F.explode(F.filter(matches(text, pattern), lambda m: ~_name(text, m))).alias("m"))
+    rows = paragraphs.where((F.col("section") != "references") & text.rlike(pattern))
+    some = rows.select("doc_id", "idx", (F.col("section") == "front_matter").alias("front"), F.explode(F.filter(spans(text, pattern), lambda m: ~_name(text, m))).alias("m"))
     known = F.broadcast(paragraphs.sparkSession.createDataFrame(words, "word string, family string, british boolean"))
-    return some.select("doc_id", "idx", "m.start", F.lower("m.text").alias("word")).join(known, "word").select("doc_id", "idx", "start", "word", "family", "british")
+    hits = some.select("doc_id", "idx", "front", "m.start", F.lower("m.text").alias("word")).join(known, "word")
+    return hits.join(checked(paragraphs), "doc_id").where("not front or not own").select("doc_id", "idx", "start", "word", "family", "british")
 
 
 def issues(hits: DataFrame) -> DataFrame:
