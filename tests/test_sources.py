@@ -119,9 +119,16 @@ def test_reports_and_calendars(spark):
     issues = spark.createDataFrame([("d", "figures", "info", "x", None, "a"), ("d", "figures", "error", "y", 3, "b")], "doc_id string, check string, severity string, code string, para_index int, detail string")
     assert sinks.text_report(issues).first().report.splitlines() == ["ERROR | paragraph 3 | y | b", "INFO | x | a", "1 error, 0 warning, 1 info"]
     assert [i["code"] for i in json.loads(sinks.json_report(issues).first().report)["issues"]] == ["y", "x"]
-    events = spark.createDataFrame([("p", "é" * 60, date(2026, 1, 2), "final")], "person string, id string, day date, kind string")
-    lines = sinks.calendar(events).first().calendar.split("\r\n")
-    assert all(len(x.encode()) <= 75 for x in lines) and "DTSTART;VALUE=DATE:20260102" in lines
+    name = "é😀" * 30 + "a\\b;c,d\ne"
+    events = spark.createDataFrame([("p", name, date(2026, 1, 2), "final"), ("p", "b", date(2026, 1, 1), "final"), ("p", "b", date(2026, 1, 1), "final"), (None, "b", None, "x")], "person string, id string, day date, kind string")
+    (row,) = sinks.calendar(events, date(2026, 10, 1)).collect()
+    lines = row.calendar.split("\r\n")
+    assert all(len(x.encode()) <= 75 for x in lines) and row.calendar.endswith("END:VCALENDAR\r\n")
+    whole = row.calendar.replace("\r\n ", "").split("\r\n")
+    assert whole[:4] == ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//veldspar//deadlines//EN", "CALSCALE:GREGORIAN"] and whole.count("BEGIN:VEVENT") == 2
+    assert whole[5:8] == ["UID:b-final-20260101@veldspar", "DTSTAMP:20261001T000000Z", "DTSTART;VALUE=DATE:20260101"] and "DTEND;VALUE=DATE:20260103" in whole
+    said = "é😀" * 30 + "a\\\\b\\;c\\,d\\ne: final"
+    assert f"SUMMARY:{said}" in whole and f"DESCRIPTION:{said}" in whole
     files = spark.createDataFrame([("d", None), ("e", None), ("f", "BadZipFile")], "doc_id string, error string")
     assert {r.doc_id: r.status for r in sinks.exit_status(issues, files).collect()} == {"d": 1, "e": 0, "f": 2}
 

@@ -296,3 +296,64 @@ def number_issues(held: DataFrame, numeric: DataFrame) -> dict[str, DataFrame]:
         "citation_order": issue(ranked.where(~many & (F.col("k") <= 10)), CHECK, "warning", "citation_order", F.concat_ws(" after ", "number", "before")),
         "out_of_order": issue(ranked.where(many & (F.col("k") == 1)), CHECK, "info", "out_of_order", F.concat_ws("/", "late", "total"), None),
     }
+
+
+#: How many entries of a kind are named at most, and how many a gate lets through: these or a share of the list.
+NO_AUTHORS, NO_SOURCE, NO_YEAR, NO_DOI, GATE, SHARE = 8, 6, 6, 12, 3, 0.2
+
+
+def entry_issues(held: DataFrame) -> DataFrame:
+    """Issues of the entries themselves, whatever the style.
+
+    held: of `listed`.  Stated numbers are judged where four in five entries, and more than one, state them.  Entries without a source or a year are named only where
+    few are so (three, or a fifth of the list), and missing DOIs only where half the entries have one.  Everything lies within a document.
+    """
+    own = held.withColumn("same", F.left(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), F.lit(90))).repartition("doc_id")
+    order = Window.partitionBy("doc_id").orderBy("place")
+    rows = own.withColumn("twin", F.min("place").over(Window.partitionBy("doc_id", "same"))).withColumn("before", F.last("stated", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    sourceless = F.col("has_authors") & F.col("year").isNotNull() & ~F.col("has_source")
+    kept = F.struct("place", "idx", "stated", "before", "twin", "doi", (~F.col("has_authors")).alias("unsigned"), sourceless.alias("sourceless"), F.col("year").isNull().alias("undated"))
+    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(kept)).alias("e"))  # one document's list
+    n = F.size("e")
+    made = lambda code, severity, idx, detail: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), idx.alias("idx"), detail.cast("string").alias("detail"))
+    none = F.array().cast("array<struct<severity:string,code:string,idx:int,detail:string>>")
+    each = lambda code, severity, some, detail: F.transform(some, lambda x: made(code, severity, x["idx"], detail(x)))
+    few = lambda some: (F.size(some) > 0) & (F.size(some) <= F.greatest(F.lit(float(GATE)), SHARE * n))
+    stated = F.filter("e", lambda x: x["stated"].isNotNull())
+    wrong = F.filter(stated, lambda x: x["before"].isNotNull() & (x["stated"] != x["before"] + 1))
+    numbered = F.when((F.size(stated) > 1) & (F.size(stated) >= 0.8 * n), F.transform(wrong, lambda x: made("numbering", "warning", F.get(F.filter(stated, lambda y: y["stated"] == x["stated"]), 0)["idx"], F.when(x["stated"] == x["before"], F.concat(F.lit("twice "), x["stated"])).otherwise(F.concat_ws(" to ", x["before"].cast("string"), x["stated"].cast("string"))))))
+    marked = lambda c: F.filter("e", lambda x: x[c])
+    unsigned, sourceless, undated = marked("unsigned"), marked("sourceless"), marked("undated")
+    without = F.filter("e", lambda x: x["doi"].isNull())
+    more = F.when(F.size(without) > NO_DOI, F.concat(F.lit(" and "), F.size(without) - NO_DOI, F.lit(" more"))).otherwise("")
+    named = F.concat((n - F.size(without)).cast("string"), F.lit("/"), n.cast("string"), F.lit(": "), F.array_join(F.transform(F.slice(without, 1, NO_DOI), lambda x: x["place"].cast("string")), ", "), more)
+    bad = F.filter("e", lambda x: x["doi"].isNotNull() & ~F.rtrim(x["doi"], F.lit(".,;")).rlike(r"^10\.[0-9]{4,9}/\S+$"))
+    place = lambda x: x["place"]
+    all_ = F.concat(
+        F.coalesce(numbered, none), each("duplicate_entry", "warning", F.filter("e", lambda x: x["twin"] < x["place"]), lambda x: F.concat_ws("=", x["place"].cast("string"), x["twin"].cast("string"))), each("no_authors", "warning", F.slice(unsigned, 1, NO_AUTHORS), place),
+        F.when(few(sourceless), each("no_source", "warning", F.slice(sourceless, 1, NO_SOURCE), place)).otherwise(none), F.when(few(undated), each("no_year", "info", F.slice(undated, 1, NO_YEAR), place)).otherwise(none),
+        F.when((F.size(without) > 0) & (2 * F.size(without) <= n), F.array(made("doi_coverage", "info", F.get(without, 0)["idx"], named))).otherwise(none), each("bad_doi", "warning", bad, lambda x: x["doi"]),
+    )
+    found = per.select("doc_id", F.explode(all_).alias("i")).select("doc_id", "i.*")
+    return found.select("doc_id", F.lit(CHECK).alias("check"), "severity", "code", F.col("idx").cast("int").alias("para_index"), "detail")
+
+
+def issues(paragraphs: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """All issues of citations and references: each document's citations are held against its list in its own style.
+
+    notes: (doc_id, note_id, text, kind), where paragraphs have footnote_ids.  A document with citations and no list has one info; a style that isn't known, or no citations, is one too, and then only the
+    entries are judged.
+    """
+    held, numeric, told = listed(paragraphs), numbers(paragraphs), cited(worded(paragraphs))
+    in_notes = None if notes is None else noted(paragraphs, notes)
+    style = styles(held, numeric, told, in_notes)
+    of = lambda df, name: df.join(style.where((F.col("style") == name) & (F.col("n") > 0)).select("doc_id"), "doc_id", "left_semi")
+    named = _once(told.where("kind = 'name'").select("doc_id", "idx", "year", "surnames", "at", "part", "anchor"))
+    unknown = style.where("n > 0 and style = 'unknown'")
+    parts = [
+        issue(style.where("n = 0 and n_cited > 0"), CHECK, "info", "no_list", F.col("n_cited"), None), issue(unknown.where("n_cited = 0"), CHECK, "info", "no_citations", F.col("n"), None), issue(unknown.where("n_cited > 0"), CHECK, "info", "style_unknown", F.col("n_cited"), None),
+        *number_issues(of(held, "numeric"), of(numeric, "numeric")).values(), name_issues(of(held, "author_year"), of(named, "author_year")), key_issues(of(held, "key"), of(told.where("kind = 'key'").select("doc_id", "at", "part", "idx", "key", "anchor"), "key")), entry_issues(held),
+    ]
+    if in_notes is not None:
+        parts.append(name_issues(of(held, "note"), of(in_notes, "note"), "note"))
+    return reduce(DataFrame.unionByName, parts)

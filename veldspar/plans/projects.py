@@ -28,6 +28,12 @@ def notes(spark, sf_dir):
 
 N = "WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS project, turn AS note, DATE '2026-01-01' + CAST(conv_id % 300 AS INTEGER) AS day, text, [role, concat('s', turn)] AS samples FROM conversations)"
 
+_EVENT = " || chr(13) || chr(10) || ".join(
+    ["'BEGIN:VEVENT'", "'UID:' || id || '-' || kind || '-' || strftime(day, '%Y%m%d') || '@veldspar'", "'DTSTAMP:20261001T000000Z'", "'DTSTART;VALUE=DATE:' || strftime(day, '%Y%m%d')", "'DTEND;VALUE=DATE:' || strftime(day + 1, '%Y%m%d')", "'SUMMARY:' || id || ': ' || kind"]
+    + ["'BEGIN:VALARM'", "'ACTION:DISPLAY'", "'DESCRIPTION:' || id || ': ' || kind", "'TRIGGER:-P7D'", "'END:VALARM'", "'END:VEVENT'"]
+)
+CALENDAR_SQL = f"""SELECT person, array_to_string(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//veldspar//deadlines//EN', 'CALSCALE:GREGORIAN', string_agg({_EVENT}, chr(13) || chr(10) ORDER BY day, id, kind), 'END:VCALENDAR', ''], chr(13) || chr(10)) AS calendar
+FROM ({calls_plan.QUERIES["fel19_calendar"][1]}) GROUP BY person"""
 QUERIES = {
     "prj03_counts": (lambda s, d: projects.counts(analyses(s, d)), f"{A} SELECT project, lower(kind) AS kind, NULL AS status, count(DISTINCT sample) AS n_samples FROM a GROUP BY 1, 2 UNION ALL SELECT project, lower(kind), status, count(DISTINCT sample) FROM a WHERE status IS NOT NULL GROUP BY 1, 2, 3"),
     "prj05_home": (lambda s, d: projects.home(analyses(s, d)), f"{A}, g AS (SELECT project, count(DISTINCT sample) AS samples, count(*) FILTER (status = 'done') AS done, max(day) AS day FROM a GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY day DESC NULLS LAST, project) AS INTEGER) AS place FROM g"),
@@ -48,7 +54,7 @@ QUERIES = {
     ),
     "snk01_text_report": (lambda s, d: sinks.text_report(papers.m.run(papers.paragraphs(s, d), ["figures"])), None),
     "snk02_json_report": (lambda s, d: sinks.json_report(papers.m.run(papers.paragraphs(s, d), ["statements"])), None),
-    "snk07_calendar": (lambda s, d: sinks.calendar(calls_plan.funding.calendar(calls_plan.funding.stage(calls_plan.steps(s, d)), calls_plan._match(s, d), calls_plan.calls(s), calls_plan.TODAY)), None),
+    "snk07_calendar": (lambda s, d: sinks.calendar(calls_plan.funding.calendar(calls_plan.funding.stage(calls_plan.steps(s, d)), calls_plan._match(s, d), calls_plan.calls(s), calls_plan.TODAY), calls_plan.TODAY), CALENDAR_SQL),
     "snk06_sample_sheet": (
         lambda s, d: sinks.sample_sheet(analyses(s, d).groupBy("sample", "kind").agg(F.max("status").alias("status")), ["Seq", "imaging"]),
         f"{A} SELECT sample, max(status) FILTER (kind = 'Seq') AS \"Seq status\", max(status) FILTER (kind = 'imaging') AS \"imaging status\" FROM a GROUP BY 1",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _RANKS = {"error": 0, "warning": 1, "info": 2}
 
@@ -43,32 +43,41 @@ def anchors(issues: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "para_index", F.when(whole > 0, whole - 1).when(part > 0, part - 1).otherwise(0).alias("start"), F.when(whole > 0, F.length("a")).when(part > 0, F.length("four")).otherwise(F.length("t")).alias("size"))
 
 
-@F.pandas_udf(T.StringType())
-def fold(lines: pd.Series) -> pd.Series:
-    """Calendar lines cut at 75 octets without cutting a character; later parts open with a space."""
-
-    def one(text: str) -> str:
-        out, size = [""], 0
-        for ch in text:
-            n = len(ch.encode())
-            if size + n > 75:
-                out.append(" ")
-                size = 1
-            out[-1] += ch
-            size += n
-        return "\r\n".join(out)
-
-    return lines.map(one)
-
-
-def calendar(events: DataFrame) -> DataFrame:
-    """(person, calendar): a person's days (person, id, day, kind) as an iCalendar text with an alarm a week before."""
-    escape = lambda c: F.regexp_replace(F.regexp_replace(c, r"([\;,])", r"\\$1"), "\n", r"\\n")
-    lines = [F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.sha2(F.concat_ws("|", "person", "id", "kind"), 224)), F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format("day", "yyyyMMdd")), F.concat(F.lit("SUMMARY:"), escape(F.concat_ws(": ", "id", "kind")))]
-    lines += [F.lit(x) for x in ("BEGIN:VALARM", "ACTION:DISPLAY", "TRIGGER:-P7D", "END:VALARM", "END:VEVENT")]
-    each = events.select("person", "day", "id", "kind", F.posexplode(F.array(*lines)).alias("n", "line")).withColumn("line", fold("line"))
-    rows = each.groupBy("person").agg(F.array_sort(F.collect_list(F.struct("day", "id", "kind", "n", "line"))).alias("x"))  # one person's events
-    return rows.select("person", F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n"), F.array_join(F.transform("x", lambda i: i["line"]), "\r\n"), F.lit("\r\nEND:VCALENDAR\r\n")).alias("calendar"))
+def fold(line: Column) -> Column:
+    """A calendar line cut at 75 octets without cutting a character; later parts open with a space."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
+
+    def step(a, c):
+        n = F.octet_length(c)
+        over = a["n"] + n > 75
+        return F.struct(F.when(over, F.concat(a["out"], F.lit("\r\n "), c)).otherwise(F.concat(a["out"], c)).alias("out"), F.when(over, n + 1).otherwise(a["n"] + n).alias("n"))
+
+    return F.when(F.octet_length(line) <= 75, line).otherwise(F.aggregate(F.split(line, ""), start, step)["out"])
+
+
+def _escaped(c: Column) -> Column:
+    """Text of a calendar: backslashes, semicolons, commas and line feeds are written with a backslash."""
+    return F.replace(F.regexp_replace(c, r"([\;,])", r"\\$1"), F.lit("\n"), F.lit("\\n"))
+
+
+def calendar(events: DataFrame, stamp: date) -> DataFrame:
+    """(person, calendar): a person's days (person, id, day, kind) as an iCalendar text of all-day events, each with an alarm a week before.
+
+    stamp is the day on which the text is made.  An event is known by its id, kind and day, so a calendar that reads the text again changes it and adds none; of
+    repeated rows one stands.  Rows without a person or a day are left out.
+    """
+    label = F.concat_ws(": ", "id", "kind")
+    said = lambda name, c: F.concat(F.lit(f"{name}:"), c)
+    on = lambda name, c: F.concat(F.lit(f"{name};VALUE=DATE:"), F.date_format(c, "yyyyMMdd"))
+    lines = [
+        F.lit("BEGIN:VEVENT"), said("UID", _escaped(F.concat(F.concat_ws("-", "id", "kind", F.date_format("day", "yyyyMMdd")), F.lit("@veldspar")))), F.lit(f"DTSTAMP:{stamp:%Y%m%d}T000000Z"), on("DTSTART", F.col("day")), on("DTEND", F.date_add("day", 1)), said("SUMMARY", _escaped(label)),
+        F.lit("BEGIN:VALARM"), F.lit("ACTION:DISPLAY"), said("DESCRIPTION", _escaped(label)), F.lit("TRIGGER:-P7D"), F.lit("END:VALARM"), F.lit("END:VEVENT"),
+    ]
+    text = F.array_join(F.array(*[fold(x) for x in lines]), "\r\n")
+    rows = events.where("person is not null and day is not null").select("person", F.struct("day", "id", "kind", text.alias("text")).alias("e"))
+    per = rows.groupBy("person").agg(F.array_sort(F.array_distinct(F.collect_list("e"))).alias("x"))  # one person's events
+    head = "\r\n".join(("BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//veldspar//deadlines//EN", "CALSCALE:GREGORIAN", ""))
+    return per.select("person", F.concat(F.lit(head), F.array_join(F.transform("x", lambda i: i["text"]), "\r\n"), F.lit("\r\nEND:VCALENDAR\r\n")).alias("calendar"))
 
 
 #: Columns of an order sheet, in order.
