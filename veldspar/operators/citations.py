@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.functions.text import let
+
 from .manuscripts import body, entries, issue
 
 CHECK = "references"
@@ -241,38 +243,45 @@ def styles(held: DataFrame, numeric: DataFrame, told: DataFrame, in_notes: DataF
 # Issues
 
 
-def _met(cited: DataFrame, listed_: DataFrame, by: list[str]) -> DataFrame:
-    """Citations and entries, both as (doc_id, *by, me), grouped by what they may share; a row (doc_id, me, met) for each, met where it shares anything with the other side.
+def _lost(cited_: DataFrame, listed_: DataFrame) -> DataFrame:
+    """(doc_id, side, me) of the citations (side c) and entries (side e) that share no word with the other side of their document.
 
-    me is a struct with `side`, c or e; a null in `by` is shared with nothing.  A group holds what one document has of a key or a name.
+    Both have doc_id, me (a struct of one shape) and words, an array without nulls.  A row holds what one document cites and lists, so a document is
+    matched where it lies; the words of one side are gathered once for the other.
     """
-    both = cited.unionByName(listed_)
-    other = F.when(F.col("m.side") == "c", F.col("e")).otherwise(F.col("c"))
-    shared = both.groupBy("doc_id", *by).agg(F.collect_list("me").alias("all"), F.bool_or(F.col("me.side") == "c").alias("c"), F.bool_or(F.col("me.side") == "e").alias("e"))
-    known = F.lit(True)
-    for k in by:
-        known = known & F.col(k).isNotNull()
-    each = shared.select("doc_id", *by, "c", "e", F.explode("all").alias("m")).select("doc_id", F.col("m").alias("me"), (known & other).alias("met"))
-    return each.groupBy("doc_id", "me").agg(F.bool_or("met").alias("met"))
+    side = lambda df, name: df.groupBy("doc_id").agg(F.collect_list(F.struct("me", "words")).alias(name))
+    both = side(cited_, "c").join(side(listed_, "e"), "doc_id", "full")
+    none = F.array().cast("array<string>")
+    words = lambda c: F.coalesce(F.array_distinct(F.flatten(F.transform(c, lambda x: x["words"]))), none)
+    alone = lambda own, other: let(words(F.col(other)), lambda w: F.filter(F.col(own), lambda x: ~F.arrays_overlap(x["words"], w)))
+    marked = lambda own, other: F.coalesce(F.transform(alone(own, other), lambda x: F.struct(F.lit(own).alias("side"), x["me"].alias("me"))), F.array().cast(f"array<struct<side:string,me:{cited_.schema['me'].dataType.simpleString()}>>"))
+    return both.select("doc_id", F.explode(F.concat(marked("c", "e"), marked("e", "c"))).alias("x")).select("doc_id", "x.side", "x.me")
+
+
+def _me(idx: Column, what: Column) -> Column:
+    return F.struct(idx.cast("int").alias("idx"), what.cast("string").alias("what"))
+
+
+def _missing_and_unused(lost: DataFrame, where: str) -> DataFrame:
+    rows = lost.select("doc_id", "side", "me.idx", "me.what")
+    code = F.when(F.col("side") == "c", f"{where}_missing").otherwise(f"{where}_unused")
+    return rows.select("doc_id", F.lit(CHECK).alias("check"), F.lit("error").alias("severity"), code.alias("code"), F.col("idx").alias("para_index"), F.col("what").alias("detail"))
 
 
 def key_issues(held: DataFrame, keyed: DataFrame) -> DataFrame:
     """Keys that name no entry (once each, where they stand first) and entries with keys that no citation names."""
-    no = lambda kind: F.lit(None).cast(kind)
     low = keyed.withColumn("key", F.lower("key")).groupBy("doc_id", "key").agg(F.min(F.struct("at", "part", "idx")).alias("m"))
-    cite = low.select("doc_id", "key", F.struct(F.lit("c").alias("side"), F.col("m.idx").alias("idx"), no("int").alias("place"), F.col("key").alias("what")).alias("me"))
-    own = held.select("doc_id", F.explode(_keys()).alias("key"), F.struct(F.lit("e").alias("side"), F.col("idx"), F.col("place").cast("int").alias("place"), no("string").alias("what")).alias("me"))
-    lost = _met(cite, own, ["key"]).where("not met").withColumn("idx", F.col("me.idx"))
-    return issue(lost.where("me.side = 'c'"), CHECK, "error", "key_missing", F.col("me.what")).unionByName(issue(lost.where("me.side = 'e'"), CHECK, "error", "key_unused", F.col("me.place")))
+    cite = low.select("doc_id", _me(F.col("m.idx"), F.col("key")).alias("me"), F.array("key").alias("words"))
+    own = held.select("doc_id", _me(F.col("idx"), F.col("place")).alias("me"), _keys().alias("words")).where(F.size("words") > 0)
+    return _missing_and_unused(_lost(cite, own), "key")
 
 
 def name_issues(held: DataFrame, named: DataFrame, where: str = "name") -> DataFrame:
     """Author-year citations without an entry of that year that shares a surname, and entries that no citation names."""
-    no = lambda kind: F.lit(None).cast(kind)
-    cite = named.select("doc_id", "year", F.explode("surnames").alias("surname"), F.struct(F.lit("c").alias("side"), F.col("idx"), no("int").alias("place"), F.concat_ws(" ", F.get("surnames", 0), "year").alias("what"), F.array_join("surnames", " ").alias("all")).alias("me"))
-    own = held.select("doc_id", "year", F.explode_outer("surnames").alias("surname"), F.struct(F.lit("e").alias("side"), F.col("idx"), F.col("place").cast("int").alias("place"), no("string").alias("what"), no("string").alias("all")).alias("me"))
-    lost = _met(cite, own, ["year", "surname"]).where("not met").withColumn("idx", F.col("me.idx"))
-    return issue(lost.where("me.side = 'c'"), CHECK, "error", f"{where}_missing", F.col("me.what")).unionByName(issue(lost.where("me.side = 'e'"), CHECK, "error", f"{where}_unused", F.col("me.place")))
+    dated = F.when(F.col("year").isNotNull(), F.transform("surnames", lambda s: F.concat_ws(" ", "year", s))).otherwise(F.array().cast("array<string>"))
+    cite = named.select("doc_id", _me(F.col("idx"), F.concat_ws(" ", F.get("surnames", 0), "year")).alias("me"), dated.alias("words"))
+    own = held.select("doc_id", _me(F.col("idx"), F.col("place")).alias("me"), dated.alias("words"))
+    return _missing_and_unused(_lost(cite, own), where)
 
 
 def number_issues(held: DataFrame, numeric: DataFrame) -> dict[str, DataFrame]:

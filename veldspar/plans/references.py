@@ -72,7 +72,8 @@ def styles(spark, sf_dir):
 
 def key_issues(spark, sf_dir):
     """Key issues of every document that has a list: what REF-06 says where the style is by key, for any style."""
-    _, held, found = _both(spark, sf_dir)
+    p = paragraphs(spark, sf_dir)
+    held, found = c.listed(p), c.located(p, {"keys": c.KEYS})
     return c.key_issues(held, c.keys(found).join(held.select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
