@@ -211,9 +211,12 @@ def issues(per: DataFrame, listed: int = 8) -> DataFrame:
             F.array(F.when((F.size(idle) > 0) & (F.col("n_used") == 0), made("never_used", "info", F.get(idle, 0)["idx"], F.col("abbr")))),
         )
     )
-    rows = per.where("first is not null and common and not named").select("doc_id", F.explode(own).alias("i")).select("doc_id", "i.*")
-    lost = per.where("first is null and common and not vendor and n_used >= 3").where(F.col("abbr").rlike("^[A-Z]{3,8}$"))
-    all_ = lost.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("abbr", "n_used", "used"))).alias("a"))  # short forms of one document
+    told = F.col("first").isNotNull() & F.col("common") & ~F.col("named")
+    lost = F.col("first").isNull() & F.col("common") & ~F.col("vendor") & (F.col("n_used") >= 3) & F.col("abbr").rlike("^[A-Z]{3,8}$")
+    none = F.array().cast("array<struct<severity:string,code:string,idx:int,detail:string>>")
+    # one grouping by document for both, so that what was read is used once
+    all_ = per.select("doc_id", F.when(told, own).otherwise(none).alias("own"), F.when(lost, F.struct("abbr", "n_used", "used")).alias("lost")).groupBy("doc_id").agg(F.flatten(F.collect_list("own")).alias("own"), F.array_sort(F.collect_list("lost")).alias("a"))
     names = F.array_join(F.transform(F.slice("a", 1, listed), lambda x: F.concat_ws(" ", x["abbr"], x["n_used"])), ", ")
-    rows = rows.unionByName(all_.select("doc_id", F.lit("info").alias("severity"), F.lit("never_defined").alias("code"), F.get("a", 0)["used"]["idx"].alias("idx"), names.alias("detail")))
+    last = F.when(F.size("a") > 0, F.array(made("never_defined", "info", F.get("a", 0)["used"]["idx"], names))).otherwise(none)
+    rows = all_.select("doc_id", F.explode(F.concat("own", last)).alias("i")).select("doc_id", "i.*")
     return rows.select("doc_id", F.lit(CHECK).alias("check"), "severity", "code", F.col("idx").cast("int").alias("para_index"), "detail")
