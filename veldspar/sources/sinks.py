@@ -57,7 +57,7 @@ def fold(line: Column) -> Column:
 
 def _escaped(c: Column) -> Column:
     """Text of a calendar: backslashes, semicolons, commas and line feeds are written with a backslash."""
-    return F.replace(F.regexp_replace(c, r"([\;,])", r"\\$1"), F.lit("\n"), F.lit("\\n"))
+    return F.replace(F.regexp_replace(c, r"([\\;,])", r"\\$1"), F.lit("\n"), F.lit("\\n"))
 
 
 def calendar(events: DataFrame, stamp: date) -> DataFrame:
