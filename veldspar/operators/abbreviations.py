@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veldspar.functions.text import let, spans
 
 CHECK = "abbreviations"
+# How a long form, a short form and a use look, small words, and capitals that are no short forms.
 _W = r"[\p{L}\p{N}_'’/-]"
 _TERM = rf"[A-Za-z]{_W}*(?:[ ‐-][A-Za-z]{_W}*)"
 _SHORT = r"[A-Za-z]?[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9-]{0,8}"

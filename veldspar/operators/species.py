@@ -17,6 +17,7 @@ from veldspar.functions.text import spans
 
 CHECK = "species"
 SECTIONS = "abstract introduction methods results discussion conclusions supplementary figure_legends".split()
+# How a name in full, with an initial and before sp. looks.
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_.])", r"(?![\p{L}\p{N}_-])"
 FULL = rf"{_BEFORE}[A-Z][a-z]{{3,}}\s+[a-z]{{3,}}{_AFTER}"
 BRIEF = rf"{_BEFORE}[A-Z]\.\s*[a-z]{{3,}}{_AFTER}"
