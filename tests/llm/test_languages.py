@@ -122,3 +122,15 @@ def test_every_language_gets_a_limit(spark, written):
     many = docs.unionByName(spark.range(20_000).select((F.col("id") + 1000).alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("the dog and the cat "), F.col("id").cast("string")).alias("text")))
     a, b = language.train(many), language.train(many.repartition(5))
     assert np.isfinite(a.limit).all() and a.limit == pytest.approx(b.limit)
+
+
+def test_the_limit_counts_every_text(spark, written):
+    """The quantile over all distinct training texts that the model gives their own language, each once."""
+    docs, _ = written
+    more = spark.range(6000).select((F.col("id") + 1000).alias("doc_id"), F.lit("en").alias("lang"), F.concat_ws(" ", F.lit("the dog"), F.substring(F.translate(F.md5(F.col("id").cast("string")), "0123456789", "aeioustrnm"), 1, (F.col("id") % 9 + 1).cast("int"))).alias("text"))
+    every = docs.unionByName(more).unionByName(more)
+    m = language.train(every)
+    rows = {(r.lang, r.text): r.entropy for r in every.join(language.predict(every, m), "doc_id").where("lang = lang_pred").collect()}
+    for k, name in enumerate(m.names):
+        own = np.ceil(np.array([h for (lang, _), h in rows.items() if lang == name]) * language.STEPS) / language.STEPS
+        assert m.limit[k] == pytest.approx(1.1 * np.quantile(own, 0.995), rel=1e-9)

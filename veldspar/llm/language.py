@@ -11,7 +11,7 @@ are dealt by the two middle letters of a gram, which all look-ups of a gram shar
 letter before the last), so each gram's cost comes from one block of each kind.  The driver fetches one block at a
 time, and a worker holds one at a time once all of them exceed HELD bytes; it then scores larger groups of texts for
 each round of blocks.  A text gets the language of least cross-entropy a character; it is marked rejected where
-that is beyond what the training texts of the language show (a high quantile over a bounded sample of texts).
+that is beyond what the training texts of the language show (a high quantile over all of them).
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ ORDER = 4
 BLOCK, HELD = 1_000_000, 64 << 20
 #: Symbols that are scored together for each round of blocks when they aren't kept.
 GROUP = 16 << 20
-#: Texts for each language whose cross-entropy sets the rejection, about.
-SAMPLE = 500
+#: Steps of a unit of cross-entropy that the rejection tells apart, so that a language has a bounded number of different values.
+STEPS = 4096
 _fold: list[np.ndarray] = []
 
 
@@ -304,12 +304,10 @@ def train(docs: DataFrame, usable: Column | None = None, lang: str = "lang", blo
     counted = as_bytes(rows, "lang").mapInArrow(_counted, "lang string, gram long, n long")
     out = _blocks(tables(save(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")), block)
     if out.names:
-        # about twice SAMPLE texts of each language by their hash, then distinct ones in that order
-        most = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-        drawn = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < F.lit(2.0 * SAMPLE * (1 << 30)) / F.col("rows")
-        some = rows.join(F.broadcast(most), "lang").where(drawn).withColumn("hash", F.xxhash64("text")).dropDuplicates(["lang", "hash"])  # a row for each language
-        first = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= SAMPLE)
-        got = predict(first.withColumn("doc_id", F.lit(None).cast("long")), out, "lang").where("lang_pred = lang").groupBy("lang").agg(F.percentile("entropy", 0.995).alias("limit")).collect()
+        # every distinct training text counts; of each only a hash and its cross-entropy, rounded up to 1/STEPS, are shuffled and kept
+        each = rows.select(F.lit(None).cast("long").alias("doc_id"), "lang", F.xxhash64("text").cast("string").alias("hash"), "text")
+        own = predict(each, out, "lang", "hash").where("lang_pred = lang").select("lang", "hash", (F.ceil(F.col("entropy") * STEPS) / STEPS).alias("entropy"))
+        got = own.distinct().groupBy("lang").agg(F.percentile("entropy", 0.995).alias("limit")).collect()  # a row for each language
         limit = {r.lang: r.limit for r in got}
         out.limit = np.array([1.1 * limit[n] if n in limit else np.inf for n in out.names])
     return out
