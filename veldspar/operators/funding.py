@@ -82,6 +82,12 @@ def reasons(people: DataFrame, calls: DataFrame, today: date) -> DataFrame:
     return pairs(people, calls, today).withColumn("reasons", F.filter(listed, lambda r: r["outcome"].isNotNull()))
 
 
+def outcomes(people: DataFrame, calls: DataFrame, today: date, rule: str) -> DataFrame:
+    """(person, id, rule, outcome) of one rule for every pair of a call that has it; no other rule is worked out."""
+    outcome = F.expr(RULES[rule])
+    return pairs(people, calls, today).select("person", "id", F.lit(rule).alias("rule"), outcome.alias("outcome")).where("outcome is not null")
+
+
 def match(people: DataFrame, calls: DataFrame, today: date) -> DataFrame:
     """(person, id, name, status, fit, deadline, days_left, n_unsure): a verdict for every pair."""
     has = lambda o: F.exists("reasons", lambda r: r["outcome"] == o)

@@ -94,8 +94,7 @@ def _match(s, d):
 
 def _rule(rule):
     def run(s, d):
-        r = funding.reasons(people(s, d), calls(s), TODAY).select("person", "id", F.explode("reasons").alias("r"))
-        return r.select("person", "id", "r.rule", "r.outcome").where(F.col("rule") == rule)
+        return funding.outcomes(people(s, d), calls(s), TODAY, rule)
 
     return run, f"{BOTH} SELECT person, id, rule, outcome FROM r WHERE rule = '{rule}' AND outcome IS NOT NULL"
 
