@@ -90,7 +90,8 @@ def attention(orders: DataFrame, today: date, order_within: int = 7, deliver_wit
 def catalogue(orders: DataFrame) -> DataFrame:
     """The latest order of each item, by its trimmed lower-case name."""
     named = orders.withColumn("key", F.lower(F.trim("item"))).where("key <> ''")
-    return named.groupBy("key").agg(F.max_by(F.struct(*orders.columns), F.struct("requested", "seq")).alias("latest")).select("latest.*", "key")
+    w = Window.partitionBy("key").orderBy(F.desc_nulls_last("requested"), F.desc_nulls_last("seq"))  # columns that nobody asks for aren't carried along, and a task sends one row an item
+    return named.withColumn("rank", F.row_number().over(w)).where("rank = 1").select(*orders.columns, "key")
 
 
 def frequent(orders: DataFrame, n: int = 8) -> DataFrame:
