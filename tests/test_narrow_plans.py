@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veldspar.operators import funding, lab
 from veldspar.plans import funding as calls
+from veldspar.plans import lab as orders
 
 
 def plan(df):
@@ -22,6 +23,13 @@ def test_one_rule_is_worked_out_alone(spark, sf, rule):
     assert "explode" not in plan(query) and "named_struct(rule" not in plan(query)
 
 
+def test_attention_joins_nothing(spark, sf):
+    own = orders.orders(spark, sf)
+    found = lab.find(own, "attention", "", orders.TODAY)
+    assert plan(found).count("Join") == plan(own).count("Join")
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in own.join(lab.attention(own, orders.TODAY).select("id"), "id", "left_semi").collect())
+
+
 def test_the_catalogue_carries_only_what_is_asked_for(spark):
     row = dict(item="A b", vendor="v", catalog="c", requested=date(2020, 1, 1), seq=1)
     rows = [row, row | dict(item=" a B", vendor="w", seq=2), row | dict(item="a b", vendor="x", requested=None, seq=9), row | dict(item=" ")]

@@ -79,12 +79,17 @@ def periods(today: date) -> dict[str, date]:
     return {"month": today.replace(day=1), "year": today.replace(month=1, day=1), "twelve_months": back}
 
 
+def _waiting(today: date, order_within: int = 7, deliver_within: int = 14) -> tuple[Column, Column]:
+    """Since when an order waits, and the reason why it needs attention, if any."""
+    since = F.when(F.col("status").isin("requested", "approved"), F.coalesce("approved", "requested")).when(F.col("status") == "ordered", F.col("ordered")).when(F.col("status") == "backordered", F.coalesce("ordered", "requested"))
+    days = F.datediff(F.lit(today), since)
+    return since, F.when(F.col("status") == "backordered", "backordered").when(F.col("status").isin("requested", "approved") & (days > order_within), "not_ordered").when((F.col("status") == "ordered") & (days > deliver_within), "not_delivered")
+
+
 def attention(orders: DataFrame, today: date, order_within: int = 7, deliver_within: int = 14) -> DataFrame:
     """(id, reason, since, days): orders that wait too long (strictly), and every back-ordered one."""
-    since = F.when(F.col("status").isin("requested", "approved"), F.coalesce("approved", "requested")).when(F.col("status") == "ordered", F.col("ordered")).when(F.col("status") == "backordered", F.coalesce("ordered", "requested"))
-    days = F.datediff(F.lit(today), F.col("since"))
-    reason = F.when(F.col("status") == "backordered", "backordered").when(F.col("status").isin("requested", "approved") & (days > order_within), "not_ordered").when((F.col("status") == "ordered") & (days > deliver_within), "not_delivered")
-    return orders.withColumn("since", since).select("id", reason.alias("reason"), "since", days.alias("days")).where("reason is not null")
+    since, reason = _waiting(today, order_within, deliver_within)
+    return orders.select("id", reason.alias("reason"), since.alias("since"), F.datediff(F.lit(today), since).alias("days")).where("reason is not null")
 
 
 def catalogue(orders: DataFrame) -> DataFrame:
@@ -156,7 +161,7 @@ def find(orders: DataFrame, tile: str = "all", text: str = "", today: date | Non
     """Orders under a tile (all, attention, ordered with back-ordered, or a status) whose fields hold a text."""
     out = orders
     if tile == "attention":
-        out = out.join(attention(orders, today).select("id"), "id", "left_semi")
+        out = out.where(_waiting(today)[1].isNotNull())
     elif tile == "ordered":
         out = out.where(F.col("status").isin("ordered", "backordered"))
     elif tile != "all":
