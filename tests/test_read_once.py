@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from veldspar.functions.text import matches
-from veldspar.operators import manuscripts
+from veldspar.operators import citations, manuscripts
 from veldspar.plans import manuscripts as papers
+from veldspar.plans import references
 
 
 def plan(df):
@@ -41,3 +42,14 @@ def test_a_pattern_runs_twice_over_a_text(spark):
     df = spark.createDataFrame([("a1bb22",)], "text string").select(matches(F.col("text"), "[0-9]+").alias("m"))
     assert [tuple(x) for x in df.first().m] == [(1, "1"), (4, "22")]
     assert plan(df.repartition(2)).count("regexp_extract_all") <= 1
+
+
+def test_matches_are_placed_without_reading_the_paragraphs_again(spark):
+    p = paragraphs(spark, [("a", 0, "one [Ab1,"), ("a", 1, ""), ("a", 2, "Cd2] two [Ef3]"), ("b", 0, "nothing")])
+    found = citations.located(p, {"keys": citations.KEYS})
+    assert sorted((r.doc_id, r.at, r.idx, r.start, r.match) for r in found.collect()) == [("a", 4, 0, 4, "[Ab1, Cd2]"), ("a", 19, 2, 9, "[Ef3]")]
+    assert plan(found).count("LogicalRDD") == 1
+
+
+def test_keys_of_an_entry_are_made_once(spark, sf):
+    assert plan(references.key_issues(spark, sf)).count("knownnotcontainsnull(filter(array(left(") <= 1

@@ -53,26 +53,27 @@ def located(paragraphs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     patterns: a regular expression for each kind; kinds don't exclude each other.  A paragraph without text holds nothing;
     a document without any gives no row.  Matches are ordered by `at`, the offset in the joined body.
     """
-    starts = placed(paragraphs)
-    texts = starts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("p"))
-    joined = texts.select("doc_id", F.concat(F.array_join(F.transform("p", lambda x: x["text"]), " "), F.lit(" ")).alias("joined"))
-    each = [F.struct(F.lit(k).alias("kind"), F.transform(F.split("joined", rx, -1), F.length).alias("gaps"), F.regexp_extract_all("joined", F.lit(rx), F.lit(0)).alias("found")) for k, rx in patterns.items()]
-    some = joined.where(F.col("joined").rlike("|".join(f"(?:{rx})" for rx in patterns.values()))).select("doc_id", F.explode(F.array(*each)).alias("k"))
-    split = some.select("doc_id", "k.kind", F.posexplode(F.arrays_zip(F.col("k.gaps").alias("gap"), F.col("k.found").alias("match"))).alias("i", "m"))
+    texts = placed(paragraphs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "idx", "text"))).alias("p"))
+    row = lambda kind, i, size, match, p: F.struct(kind.alias("kind"), i.cast("int").alias("i"), size.cast("int").alias("size"), match.alias("match"), p.alias("p"))
+    no, nowhere = F.lit(None).cast("string"), F.struct(F.lit(None).cast("long").alias("start"), F.lit(None).cast(paragraphs.schema["idx"].dataType).alias("idx"))
+    marks = F.transform("p", lambda x: row(no, F.lit(0), F.lit(0), no, F.struct(x["start"].alias("start"), x["idx"].alias("idx"))))
+
+    def pieces(joined, kind, rx):
+        """The gap before each match and the match; nothing, and no second search, where there is none."""
+        split = lambda found: F.transform(F.arrays_zip(F.transform(F.split(joined, rx, -1), F.length).alias("gap"), found.alias("match")), lambda x, i: row(F.lit(kind), i, x["gap"], x["match"], nowhere))
+        return let(F.regexp_extract_all(joined, F.lit(rx), F.lit(0)), lambda found: F.when(F.size(found) > 0, split(found)))
+
+    found = lambda joined: F.flatten(F.array_compact(F.array(*[pieces(joined, k, rx) for k, rx in patterns.items()])))
+    joined = F.concat(F.array_join(F.transform("p", lambda x: x["text"]), " "), F.lit(" "))
+    # exploded as it is made: a column of its own would be worked out twice, for the filter too
+    each = texts.select("doc_id", F.explode(let(let(joined, found), lambda f: F.when(F.size(f) > 0, F.concat(marks, f)))).alias("m")).select("doc_id", "m.*")
     upto = Window.partitionBy("doc_id", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.coalesce(F.length("m.match"), F.lit(0))
-    matches = split.select("doc_id", "kind", "i", F.col("m.match").alias("match"), (F.sum(F.col("m.gap") + size).over(upto) - size).alias("at")).where("match is not null")
-    return _back(matches, starts)
-
-
-def _back(matches: DataFrame, starts: DataFrame) -> DataFrame:
-    """Matches with the last paragraph that begins at or before them: both sorted together by offset."""
-    no = lambda kind: F.lit(None).cast(kind)
-    marks = starts.select("doc_id", no("string").alias("kind"), no("string").alias("match"), F.col("start").cast("long").alias("at"), F.struct("idx", "start").alias("p"))
-    both = marks.unionByName(matches.select("doc_id", "kind", "match", F.col("at").cast("long").alias("at"), F.lit(None).cast(marks.schema["p"].dataType).alias("p")))
+    size = F.coalesce(F.length("match"), F.lit(0))
+    placed_ = each.select("doc_id", "kind", "match", F.col("p.idx").alias("_idx"), F.coalesce("p.start", F.sum(F.col("size") + size).over(upto) - size).alias("at"))
     upto = Window.partitionBy("doc_id").orderBy("at", F.col("kind").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.select("doc_id", "kind", "match", "at", F.last("p", ignorenulls=True).over(upto).alias("p")).where("match is not null")
-    return found.select("doc_id", "kind", "at", F.col("p.idx").alias("idx"), (F.col("at") - F.col("p.start")).cast("int").alias("start"), "match")
+    mark = F.when(F.col("kind").isNull(), F.struct(F.col("_idx").alias("idx"), F.col("at").alias("start")))
+    back = placed_.select("doc_id", "kind", "match", "at", F.last(mark, ignorenulls=True).over(upto).alias("p")).where("match is not null")
+    return back.select("doc_id", "kind", "at", F.col("p.idx").alias("idx"), (F.col("at") - F.col("p.start")).cast("int").alias("start"), "match")
 
 
 # Citations
@@ -188,12 +189,16 @@ def listed(paragraphs: DataFrame) -> DataFrame:
 
 def _keys() -> Column:
     """The keys by which a citation may name an entry."""
-    authors = F.col("authors")
-    first, second = F.get(authors, 0), F.get(authors, 1)
-    initials = F.array_join(F.transform(F.slice(authors, 1, 4), lambda n: F.left(n, F.lit(1))), "")
-    stems = F.array_compact(F.array(F.left(first, F.lit(3)), first, initials, F.concat(initials, F.lit("+")), F.concat(F.left(first, F.lit(3)), F.left(second, F.lit(3)))))
-    made = F.array_distinct(F.flatten(F.transform(stems, lambda s: F.array(F.concat(s, F.right("year", F.lit(2))), F.concat(s, F.col("year"))))))
-    return F.when(F.col("year").isNotNull() & (F.size(authors) > 0), made).otherwise(F.array().cast("array<string>"))
+
+    def made(e):
+        authors, year_ = e["authors"], e["year"]
+        first, second = F.get(authors, 0), F.get(authors, 1)
+        initials = F.array_join(F.transform(F.slice(authors, 1, 4), lambda n: F.left(n, F.lit(1))), "")
+        stems = F.array_compact(F.array(F.left(first, F.lit(3)), first, initials, F.concat(initials, F.lit("+")), F.concat(F.left(first, F.lit(3)), F.left(second, F.lit(3)))))
+        keys_ = F.array_distinct(F.flatten(F.transform(stems, lambda s: F.array(F.concat(s, F.right(year_, F.lit(2))), F.concat(s, year_)))))
+        return F.when(year_.isNotNull() & (F.size(authors) > 0), keys_).otherwise(F.array().cast("array<string>"))
+
+    return let(F.struct("authors", "year"), made)
 
 
 def entry_keys(held: DataFrame) -> DataFrame:
@@ -272,7 +277,8 @@ def key_issues(held: DataFrame, keyed: DataFrame) -> DataFrame:
     """Keys that name no entry (once each, where they stand first) and entries with keys that no citation names."""
     low = keyed.withColumn("key", F.lower("key")).groupBy("doc_id", "key").agg(F.min(F.struct("at", "part", "idx")).alias("m"))
     cite = low.select("doc_id", _me(F.col("m.idx"), F.col("key")).alias("me"), F.array("key").alias("words"))
-    own = held.select("doc_id", _me(F.col("idx"), F.col("place")).alias("me"), _keys().alias("words")).where(F.size("words") > 0)
+    # exploded as they are made: a filter on the keys would work them out twice
+    own = held.select("doc_id", _me(F.col("idx"), F.col("place")).alias("me"), F.explode(let(_keys(), lambda k: F.when(F.size(k) > 0, F.array(k)))).alias("words"))
     return _missing_and_unused(_lost(cite, own), "key")
 
 
