@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from veldspar.functions.text import matches
-from veldspar.operators import citations, manuscripts
+from veldspar.operators import citations, manuscripts, species
 from veldspar.plans import manuscripts as papers
-from veldspar.plans import references
+from veldspar.plans import prose, references
 
 
 def plan(df):
@@ -53,3 +53,16 @@ def test_matches_are_placed_without_reading_the_paragraphs_again(spark):
 
 def test_keys_of_an_entry_are_made_once(spark, sf):
     assert plan(references.key_issues(spark, sf)).count("knownnotcontainsnull(filter(array(left(") <= 1
+
+
+def test_species_are_read_once(spark, sf):
+    df = prose.species_issues(spark, sf)
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 1
+
+
+def test_species_keep_their_bounds(spark):
+    rows = [("a", 0, "Éscherichia coli, xEscherichia coli, Escherichia coli-like, Escherichia coli, E. coli; q.Escherichia coli"), ("a", 1, "by escherichia coli")]
+    p = paragraphs(spark, rows)
+    assert [(r.kind, r.start) for r in species.read(p).orderBy("start").collect()] == [("f", rows[0][2].index("Escherichia coli, E.")), ("b", rows[0][2].index("E. coli"))]
+    assert [(r.code, r.para_index) for r in species.issues(p, species.read(p)).where("code = 'lower_case_genus'").collect()] == [("lower_case_genus", 1)]

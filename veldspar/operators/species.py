@@ -17,11 +17,12 @@ from veldspar.functions.text import spans
 
 CHECK = "species"
 SECTIONS = "abstract introduction methods results discussion conclusions supplementary figure_legends".split()
-# How a name in full, with an initial and before sp. looks.
+# How a name in full, with an initial and before sp. looks.  The capital comes before the look behind it, which few places then need.
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_.])", r"(?![\p{L}\p{N}_-])"
-FULL = rf"{_BEFORE}[A-Z][a-z]{{3,}}\s+[a-z]{{3,}}{_AFTER}"
-BRIEF = rf"{_BEFORE}[A-Z]\.\s*[a-z]{{3,}}{_AFTER}"
-UNNAMED = rf"{_BEFORE}[A-Z][a-z]{{3,}}\s+spp?\."
+_CAPITAL = r"[A-Z](?<![\p{L}\p{N}_.][A-Z])"
+FULL = rf"{_CAPITAL}[a-z]{{3,}}+\s++[a-z]{{3,}}+{_AFTER}"
+BRIEF = rf"{_CAPITAL}\.\s*+[a-z]{{3,}}+{_AFTER}"
+UNNAMED = rf"{_CAPITAL}[a-z]{{3,}}+\s++spp?\."
 #: Endings of ranks above the genus.
 HIGHER = r"(?:aceae|ales|idae|inae|oidea|mycetes|mycota|viridae)$"
 NO_GENUS = (
@@ -49,7 +50,7 @@ def read(paragraphs: DataFrame, no_genus: Iterable[str] = tuple(NO_GENUS), no_ep
     the genus are left out of f.
     """
     text, no = F.col("text"), F.lit(None).cast("string")
-    rows = body(paragraphs).where(text.rlike(rf"{_BEFORE}[A-Z](?:[a-z]{{3,}}\s+[a-z]|\.\s*[a-z]{{3}})"))
+    rows = body(paragraphs).where(text.rlike(rf"{_CAPITAL}(?:[a-z]{{3,}}+\s++[a-z]|\.\s*+[a-z]{{3}})"))
     italic = lambda m: F.lit(False)
     if "italic_spans" in paragraphs.columns:
         rows = rows.withColumn("italic_spans", F.coalesce("italic_spans", F.array().cast(paragraphs.schema["italic_spans"].dataType)))
@@ -86,7 +87,7 @@ def mentions(events: DataFrame) -> DataFrame:
 
 def _names(events: DataFrame) -> DataFrame:
     """One row for each name of a document, and for each genus before sp. or spp. (its epithet is null)."""
-    known = _known(events).withColumn("epithet", F.when(F.col("kind") != "u", F.col("epithet"))).withColumn("form", F.when(F.col("kind") == "u", F.regexp_extract("said", r"(\S+)$", 1)))
+    known = _known(events).withColumn("form", F.when(F.col("kind") == "u", F.col("epithet"))).withColumn("epithet", F.when(F.col("kind") != "u", F.col("epithet")))
     of, at = lambda kind: F.col("kind") == kind, F.struct("idx", "start")
     return known.where("kept or kind = 'u'").groupBy("doc_id", "genus", "epithet").agg(
         F.count("*").alias("n"), F.count_if("italic").alias("n_italic"), F.min(F.when(~F.col("italic"), F.col("idx"))).alias("plain"), F.min(F.struct("idx", "start", of("b").alias("brief"))).alias("first"), F.count_if(of("f")).alias("n_full"),
@@ -101,9 +102,9 @@ def _lower_case(paragraphs: DataFrame, names: DataFrame) -> DataFrame:
     """
     pattern = F.concat(F.lit(rf"{_BEFORE}"), F.lower("genus"), F.lit(r"\s+"), F.col("epithet"), F.lit(_AFTER))
     held = names.groupBy("doc_id").agg(F.collect_list(F.struct("genus", "epithet", pattern.alias("rx"))).alias("names"))  # the names of one document
-    any_ = F.array_join(F.transform("names", lambda n: n["rx"]), "|")
-    rows = body(paragraphs).select("doc_id", "idx", "text").join(held.withColumn("any", any_), "doc_id").where(F.rlike("text", F.col("any")))
-    inside = lambda n: F.rlike(F.col("text"), n["rx"]) & ~F.rtrim(F.left(F.col("text"), F.regexp_instr(F.col("text"), n["rx"]) - 1)).rlike(r"[.!?]$")
+    # few paragraphs hold a genus in small letters at all, and a pattern from a row is compiled for it
+    rows = body(paragraphs).select("doc_id", "idx", "text").join(held.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of"))).where(F.exists("names", lambda n: F.contains(F.col("text"), F.lower(n["genus"]))))
+    inside = lambda n: F.contains(F.col("text"), F.lower(n["genus"])) & F.rlike(F.col("text"), n["rx"]) & ~F.rtrim(F.left(F.col("text"), F.regexp_instr(F.col("text"), n["rx"]) - 1)).rlike(r"[.!?]$")
     return rows.select("doc_id", "idx", F.explode(F.filter("names", inside)).alias("n")).groupBy("doc_id", "n.genus", "n.epithet").agg(F.min("idx").alias("idx"))
 
 
@@ -121,7 +122,8 @@ def issues(paragraphs: DataFrame, events: DataFrame) -> DataFrame:
             made("sp_and_spp", "info", ~named & (F.col("one") > 0) & (F.col("more") > 0), F.col("first.idx"), F.col("genus")),
         )
     )
-    rows = _names(events).select("doc_id", F.explode(listed).alias("i")).select("doc_id", "i.*")
-    known = mentions(events).select("doc_id", "genus", "epithet").distinct()
+    names = _names(events)
+    rows = names.select("doc_id", F.explode(listed).alias("i")).select("doc_id", "i.*")
+    known = names.where("epithet is not null").select("doc_id", "genus", "epithet")
     small = _lower_case(paragraphs, known).select("doc_id", F.lit("warning").alias("severity"), F.lit("lower_case_genus").alias("code"), "idx", label.alias("detail"))
     return rows.unionByName(small).select("doc_id", F.lit(CHECK).alias("check"), "severity", "code", F.col("idx").cast("int").alias("para_index"), "detail")
