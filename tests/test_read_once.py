@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from veldspar.functions.text import matches
-from veldspar.operators import citations, manuscripts, species
+from veldspar.operators import citations, manuscripts, species, spelling
 from veldspar.plans import manuscripts as papers
 from veldspar.plans import prose, references
 
@@ -66,3 +66,10 @@ def test_species_keep_their_bounds(spark):
     p = paragraphs(spark, rows)
     assert [(r.kind, r.start) for r in species.read(p).orderBy("start").collect()] == [("f", rows[0][2].index("Escherichia coli, E.")), ("b", rows[0][2].index("E. coli"))]
     assert [(r.code, r.para_index) for r in species.issues(p, species.read(p)).where("code = 'lower_case_genus'").collect()] == [("lower_case_genus", 1)]
+
+
+def test_spellings_are_searched_once(spark):
+    p = paragraphs(spark, [("a", 0, "the colour, colours and color of grey xcolour colour_")])
+    made = spelling.issues(spelling.found(p))
+    assert [r.detail for r in made.collect()] == ["color American 1"]
+    assert plan(made).count("regexp_extract_all") == plan(spelling.found(p)).count("regexp_extract_all")

@@ -6,9 +6,10 @@ says which family and side it belongs to.  Its size is fixed by the lists below,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions.text import spans
@@ -80,7 +81,9 @@ def found(paragraphs: DataFrame, rules: Iterable[tuple[str, str, str, str]] = tu
     All with text is searched, headings too, but the reference list and the front matter; in a document that has nothing else the front matter as well.
     """
     words = table(tuple(rules))
-    pattern = rf"(?i)(?<![\p{{L}}\p{{N}}_]){_branches(sorted({w[:4] for w, _, _ in words}))}[a-z]*(?![\p{{L}}\p{{N}}_])"  # a match begins like one of the words and is looked up whole
+    begins = sorted({w[:4] for w, _, _ in words})
+    quick = "".join(f"[{''.join(re.escape(c) for c in sorted({w[k] for w in begins}))}]" for k in range(min(map(len, begins))))  # few places pass, before any look behind
+    pattern = rf"(?i)(?={quick})(?<![\p{{L}}\p{{N}}_]){_branches(begins)}[a-z]*+(?![\p{{L}}\p{{N}}_])"  # a match begins like one of the words and is looked up whole
     text = F.col("text")
     rows = paragraphs.where((F.col("section") != "references") & text.rlike(pattern))
     some = rows.select("doc_id", "idx", (F.col("section") == "front_matter").alias("front"), F.explode(F.filter(spans(text, pattern), lambda m: ~_name(text, m))).alias("m"))
@@ -95,7 +98,7 @@ def issues(hits: DataFrame) -> DataFrame:
     hits: of `found`.  As many of both is British; a document with one kind alone has no issue.
     """
     per = hits.groupBy("doc_id", "family", "british", "word").agg(F.count("*").alias("n"), F.min(F.struct("idx", "start")).alias("at"))
-    whole = hits.groupBy("doc_id").agg(F.count_if("british").alias("b"), F.count_if(~F.col("british")).alias("a")).where("a > 0 and b > 0")
-    odd = per.join(whole, "doc_id").where("british = (b < a)")
+    side = lambda british: F.sum(F.when(F.col("british") == british, F.col("n")).otherwise(0)).over(Window.partitionBy("doc_id"))
+    odd = per.repartition("doc_id").withColumns({"b": side(True), "a": side(False)}).where("a > 0 and b > 0 and british = (b < a)")
     best = odd.groupBy("doc_id", "family", "british").agg(F.sum("n").alias("times"), F.min(F.struct((-F.col("n")).alias("n"), "at", "word")).alias("m"), F.min("at").alias("at"))
     return issue(best.withColumn("idx", F.col("at.idx")), CHECK, "warning", "spelling", F.concat_ws(" ", F.col("m.word"), F.when(F.col("british"), "British").otherwise("American"), "times"))
