@@ -73,3 +73,11 @@ def test_spellings_are_searched_once(spark):
     made = spelling.issues(spelling.found(p))
     assert [r.detail for r in made.collect()] == ["color American 1"]
     assert plan(made).count("regexp_extract_all") == plan(spelling.found(p)).count("regexp_extract_all")
+
+
+def test_versions_are_split_once_each(spark):
+    old = paragraphs(spark, [("a", 0, "One two three four. Gone now for good."), ("a", 1, "It stays. It stays."), ("b", 0, "Same here.")])
+    new = paragraphs(spark, [("a", 0, "One two three five. Fresh words arrive. Fresh words arrive."), ("a", 2, "It stays."), ("b", 0, "Same here.")])
+    made = manuscripts.changes(old, new)
+    assert sorted((r.doc_id, r.idx, r.sentence, r.kind, r.similarity) for r in made.collect()) == [("a", 0, "Fresh words arrive.", "added", None)] * 2 + [("a", 0, "One two three five.", "edited", 0.833333)]
+    assert plan(made).count("LogicalRDD") == 2 and "Join" not in plan(made)
