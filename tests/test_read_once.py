@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from veldspar.functions.text import matches
-from veldspar.operators import citations, manuscripts, species, spelling
+from veldspar.operators import citations, legends, manuscripts, species, spelling
 from veldspar.plans import manuscripts as papers
 from veldspar.plans import prose, references
 
@@ -81,3 +81,8 @@ def test_versions_are_split_once_each(spark):
     made = manuscripts.changes(old, new)
     assert sorted((r.doc_id, r.idx, r.sentence, r.kind, r.similarity) for r in made.collect()) == [("a", 0, "Fresh words arrive.", "added", None)] * 2 + [("a", 0, "One two three five.", "edited", 0.833333)]
     assert plan(made).count("LogicalRDD") == 2 and "Join" not in plan(made)
+
+
+def test_a_callout_begins_at_a_word(spark):
+    told = legends.runs(paragraphs(spark, [("a", 0, "xFig. 1, Fig. 2a, SUPP. FIG. S3 and extended data figure 4")]))
+    assert sorted((r.start, r.grp, r.number) for r in legends.callouts(told).collect()) == [(9, "main", 2), (18, "supplementary", 3), (36, "extended", 4)]

@@ -18,7 +18,7 @@ LEGEND = (
     rf"(?i)^\s*{_PREFIX}(Fig(?:ure)?\.?|Table)\s*(S?[0-9]+)(?:\s*,\s*(?:related|corresponding|associated|linked)\s+to[^.]{{0,80}})?\s*(?:[.:;|–—-]|,\s+(?-i:[A-Z])|\s+(?-i:[A-Z][a-z]))"
 )
 _ITEM, _SEP = r"S?[0-9]+[A-Za-z]?(?![A-Za-z0-9])", r"\s*(?:[–—-]|,|;|and|&)\s*"
-CALLOUT = rf"(?i)\b{_PREFIX}(Fig(?:ure)?s?\.?|Tables?)\s*({_ITEM}(?:{_SEP}(?:{_ITEM}|[A-Za-z](?![A-Za-z0-9])))*)"
+CALLOUT = rf"(?i)(?=[seoft])\b{_PREFIX}(Fig(?:ure)?s?\.?|Tables?)\s*({_ITEM}(?:{_SEP}(?:{_ITEM}|[A-Za-z](?![A-Za-z0-9])))*)"
 PANEL = r"^\s*\(?[A-Za-z]\)"
 REFERENCE = r"(?i)\bet al\b|\bdoi\b|\bpp?\.\s*[0-9]|\b(?:19|20)[0-9][0-9][;:)]|\bvol\b"
 TOKEN = r"[Ss]?[0-9]+[A-Za-z]?|[A-Za-z]+|[–—-]|[,;&]"
@@ -36,23 +36,31 @@ def _letters(a: Column, b: Column) -> Column:
     return F.transform(F.sequence(low, high), lambda n: F.chr(n))
 
 
-def _step(a: Column, t: Column) -> Column:
-    """The state after one more token: an item, a dash, a separator, a panel letter or a word that ends the callout."""
-    dash, sep = t.isin("-", "–", "—"), t.isin(",", ";", "&") | (F.lower(t) == "and")
+def _token(t: Column) -> Column:
+    """What a token is and names, worked out once: the fold over tokens then only compares."""
     item = t.rlike(r"^[Ss]?[0-9]")
-    label, panel = F.upper(F.regexp_extract(t, r"^([Ss]?[0-9]+)", 1)), F.regexp_extract(t, r"[0-9]([A-Za-z])$", 1)
-    letter = ~item & ~dash & ~sep & (F.length(t) == 1) & (a["label"] != "") & ((F.upper(t) == t) | a["lower"])
-    number = lambda c: F.regexp_replace(c, "[^0-9]", "").try_cast("long")
-    low, high = number(a["label"]), number(label)
+    label = F.when(item, F.upper(F.regexp_extract(t, r"^([Ss]?[0-9]+)", 1))).otherwise("")
+    return F.struct(
+        F.when(item, "item").when(t.isin("-", "–", "—"), "dash").when(t.isin(",", ";", "&") | (F.lower(t) == "and"), "sep").when(F.length(t) == 1, "letter").otherwise("word").alias("is"), label.alias("label"),
+        F.when(item, F.regexp_replace(label, "[^0-9]", "").try_cast("long")).alias("number"), F.when(item, F.regexp_extract(t, r"[0-9]([A-Za-z])$", 1)).otherwise("").alias("panel"), F.upper(t).alias("up"), (F.upper(t) == t).alias("capital"),
+    )
+
+
+def _step(a: Column, t: Column) -> Column:
+    """The state after one more token (of `_token`): an item, a dash, a separator, a panel letter or a word that ends the callout."""
+    dash, sep, item = t["is"] == "dash", t["is"] == "sep", t["is"] == "item"
+    label, panel, up = t["label"], t["panel"], t["up"]
+    letter = (t["is"] == "letter") & (a["label"] != "") & (t["capital"] | a["lower"])
+    low, high = a["number"], t["number"]
     spans = a["dash"] & (a["label"] != "") & (a["panel"] == "") & (high - low > 1) & (high - low < WIDEST)
     named = lambda text, letter_: F.struct(text.alias("label"), letter_.alias("panel"))
     none = F.array().cast(_OUT)
-    between = F.when(spans, F.transform(F.sequence(low + 1, high - 1), lambda n: named(F.concat(F.regexp_extract(label, "^(S?)", 1), n.cast("string")), F.lit("")))).otherwise(none)
-    panels = F.when(a["dash"] & (a["panel"] != ""), _letters(a["panel"], F.upper(t))).otherwise(F.array(F.upper(t)))
+    between = F.when(spans, F.transform(F.sequence(low + 1, high - 1), lambda n: named(F.concat(F.when(label.startswith("S"), "S").otherwise(""), n.cast("string")), F.lit("")))).otherwise(none)
+    panels = F.when(a["dash"] & (a["panel"] != ""), _letters(a["panel"], up)).otherwise(F.array(up))
     more = F.when(item, F.concat(between, F.array(named(label, F.upper(panel))))).when(letter, F.transform(panels, lambda p: named(a["label"], p))).otherwise(none)
     pick = lambda of_item, of_letter, of_dash, of_sep, name: F.when(item, of_item).when(letter, of_letter).when(dash, of_dash).when(sep, of_sep).otherwise(a[name]).alias(name)
     after = F.struct(
-        pick(label, a["label"], a["label"], a["label"], "label"), pick(F.upper(panel), F.upper(t), a["panel"], a["panel"], "panel"),
+        pick(label, a["label"], a["label"], a["label"], "label"), F.when(item, high).otherwise(low).alias("number"), pick(F.upper(panel), up, a["panel"], a["panel"], "panel"),
         pick(F.when(panel != "", F.lower(panel) == panel).otherwise(a["lower"]), a["lower"], a["lower"], a["lower"], "lower"), pick(F.lit(False), F.lit(False), F.lit(True), F.lit(False), "dash"),
         (~(item | letter | dash | sep)).alias("done"), F.concat(a["out"], more).alias("out"),
     )
@@ -65,8 +73,8 @@ def spec_items(spec: Column) -> Column:
     A dash between numbers fills what lies between, one between letters fills the panels.  A lower-case letter
     on its own ends the text, unless the last item with a panel has a lower-case one.  Null and empty name nothing.
     """
-    start = F.struct(F.lit("").alias("label"), F.lit("").alias("panel"), F.lit(False).alias("lower"), F.lit(False).alias("dash"), F.lit(False).alias("done"), F.array().cast(_OUT).alias("out"))
-    out = F.aggregate(F.regexp_extract_all(F.coalesce(spec, F.lit("")), F.lit(TOKEN), F.lit(0)), start, _step)["out"]
+    start = F.struct(F.lit("").alias("label"), F.lit(None).cast("long").alias("number"), F.lit("").alias("panel"), F.lit(False).alias("lower"), F.lit(False).alias("dash"), F.lit(False).alias("done"), F.array().cast(_OUT).alias("out"))
+    out = F.aggregate(F.transform(F.regexp_extract_all(F.coalesce(spec, F.lit("")), F.lit(TOKEN), F.lit(0)), _token), start, _step)["out"]
     panels = lambda o, label: F.array_sort(F.array_distinct(F.transform(F.filter(o, lambda x: (x["label"] == label) & (x["panel"] != "")), lambda x: x["panel"])))
     whole = lambda o: F.transform(F.array_distinct(F.transform(o, lambda x: x["label"])), lambda n: F.struct(n.alias("label"), panels(o, n).alias("panels")))
     return F.transform(F.array(out), whole).getItem(0)
