@@ -52,3 +52,38 @@ def test_issues(spark):
     none = paper(spark, ("results", None), ("results", ""))
     assert a.issues(a.terms(none, a.read(none))).collect() == []
     assert "DNA 3" in issues(a.issues(a.terms(p, a.read(p), standard=["PCR"])))[2][2]
+
+
+def test_paragraphs_are_read_once(spark):
+    p = paper(spark, ("results", "QQQ and QQQ or QQQ (QQQ, France)"))
+    per = a.terms(p, a.read(p))
+    assert [(r.abbr, r.n_used, r.vendor) for r in per.collect()] == [("QQQ", 4, True)]
+    assert per._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_a_long_line_keeps_its_places(spark):
+    words = ["complex microbial extract (CME)" if k % 50 == 7 else f"'Q{'X' * (k % 5)}Z'" if k % 9 == 0 else f"Q{'X' * (k % 5)}Zs" for k in range(320)]
+    text = " \x01".join(words)
+    at, uses, made = 0, [], []
+    for k, w in enumerate(words):
+        if k % 50 == 7:
+            made.append(("CME", at + w.index("CME")))
+        elif k % 9:
+            uses.append((w[:-1], at))
+        at += len(w) + 2
+    got = told(spark, text)
+    assert sorted((r.start, r.abbr) for r in a.uses(got).collect()) == sorted((s, u) for u, s in uses)
+    assert sorted((r.start, r.abbr, r.expansion) for r in a.definitions(got).collect()) == [(s, u, "complex microbial extract") for u, s in made]
+    assert {r.lead[-2:] for r in a.definitions(got).collect()} == {" ("} and all("\x01" in r.lead and "\x02" not in r.lead for r in a.definitions(got).collect())
+
+
+def test_hyphens_in_a_bracket_are_read_one_way(spark):
+    """Each way to part a chain of hyphens into words was tried before: without end for a hundred of them."""
+    chain = "-".join(["ala"] * 120)
+    got = told(spark, f"peptides ({chain}; none) of ABC", f"peptides ({chain}; AAA)", "tests (mixed-effects; ME) or (one; OE)")
+    assert sorted((r.idx, r.abbr, r.expansion) for r in a.definitions(got).collect()) == [(1, "AAA", "ala ala ala"), (2, "ME", "mixed effects")]
+
+
+def test_vendors(spark):
+    p = paper(spark, ("acknowledgments", "by (ABC, DEF, Germany) and (GHI) or (xJKL, France)"), ("results", "MNO, here (PQRS"))
+    assert sorted(r.abbr for r in a.vendors(a.read(p)).collect()) == ["ABC", "DEF"]

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.functions.text import let, spans
+from veldspar.functions.text import let, pieces, places, unmarked
 
 CHECK = "abbreviations"
 # How a long form, a short form and a use look, small words, and capitals that are no short forms.
@@ -26,6 +26,11 @@ INSIDE = rf"([(\[]({_TERM}{{1,6}})\s*[;,]\s*{_NUMBER})({_SHORT})s?()[)\]]"
 #: Up to seven words at the end of a text, read backwards.
 _BACK = rf"^\s*((?:{_W}*[A-Za-z][ ‐-]){{0,6}}{_W}*[A-Za-z])"
 USE = r"(?<![\p{L}\p{N}_])(?:[0-9]{1,2}[-‐–])?[a-z]?[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9-]{0,8}(?![\p{L}\p{N}_])"
+#: INSIDE with one way to read each text: a hyphen is a letter of a word, and one separator of any kind stands somewhere.
+_INSIDE = rf"([(\[]((?=[A-Za-z]{_W}*[ ‐-][A-Za-z])[A-Za-z]{_W}*+(?:[ ‐][A-Za-z]{_W}*+){{0,6}})\s*[;,]\s*{_NUMBER})({_SHORT})s?()[)\]]"
+#: What every short form and use holds, and a vendor with its place.
+_CAPITALS = "[A-Z][A-Za-z0-9]*[A-Z]"
+VENDOR = r"[(,]\s*([A-Z]{3,8})(?=\s*,\s*[^)]{2,45}\))"
 SMALL = "of the and for in on to a an with by".split()
 NEVER = "FIGURE FIGURES TABLE TABLES AND THE OR IN OF FOR WITH SUPPLEMENTARY EXTENDED DATA".split()
 #: Short forms that nobody has to spell out, by field.
@@ -40,6 +45,9 @@ STANDARD = (
 ).split()
 ORGANISATION = r"(?i)(?<![\p{L}\p{N}_])(?:universit|institut|college|school|hospital|clinic|cent(?:er|re)|foundation|academy|society|association|consortium|ministry|department|laborator|company|corporation|inc\b|ltd\b|gmbh)"
 
+#: The same, with a look at the first letter before the one behind it.
+_ORGANISATION = ORGANISATION.replace("(?i)", "(?i)(?=[acdfghilmsu])", 1)
+
 
 def zone() -> Column:
     """abstract, main or methods; null elsewhere."""
@@ -48,9 +56,9 @@ def zone() -> Column:
 
 
 def normal(short: Column) -> Column:
-    """A short form without the number before it and without a plural s after capitals."""
-    bare = F.regexp_replace(short, r"^[0-9]{1,2}[-‐–]\s*", "")
-    return F.when(bare.rlike("^[^a-z]*[A-Z][^a-z]*s$"), F.regexp_replace(bare, "s+$", "")).otherwise(bare)
+    """A short form without the number before it and without a plural s after capitals; patterns run only where the first and last character call for them."""
+    bare = F.when(short.between("0", ":"), F.regexp_replace(short, r"^[0-9]{1,2}[-‐–]\s*", "")).otherwise(short)
+    return F.when(bare.endswith("s") & bare.rlike("^[^a-z]*[A-Z][^a-z]*s$"), F.regexp_replace(bare, "s+$", "")).otherwise(bare)
 
 
 def letters_of(short: Column) -> Column:
@@ -75,13 +83,13 @@ def expansion(term: Column, letters: Column) -> Column:
 
     def read(parts):
         counts = F.filter(F.array(*[F.size(letters) + k for k in range(4)]), lambda n: (n <= F.size(parts)) & (n > 0))
-        tails = F.transform(counts, lambda n: F.slice(parts, F.size(parts) - n + 1, n))
-        initials = lambda words: F.transform(F.filter(words, lambda w: ~F.lower(w).isin(SMALL)), lambda w: F.lower(F.left(w, F.lit(1))))
-        return F.filter(tails, lambda words: initials(words) == letters)
+        initials = F.transform(parts, lambda w: let(F.lower(w), lambda x: F.when(x.isin(SMALL), "").otherwise(F.left(x, F.lit(1)))))
+        agree = lambda all_: F.filter(counts, lambda n: F.array_remove(F.slice(all_, F.size(all_) - n + 1, n), "") == letters)
+        return F.transform(let(initials, agree), lambda n: F.slice(parts, F.size(parts) - n + 1, n))
 
     split = lambda rx: F.filter(F.split(term, rx), lambda w: w != "")
-    found = F.concat(let(split(r"\s+"), read), let(split(r"[\s‐-]+"), read))
-    return F.array_join(F.get(found, 0), " ")
+    first = lambda rx: F.array_join(F.get(let(split(rx), read), 0), " ")
+    return F.coalesce(first(r"\s+"), first(r"[\s‐-]+"))
 
 
 def _plausible(short: Column, term: Column, lead: Column, letters: Column) -> Column:
@@ -92,66 +100,94 @@ def _plausible(short: Column, term: Column, lead: Column, letters: Column) -> Co
     return (F.length(short) >= 2) & ~F.upper(short).isin(NEVER) & ~F.upper(F.element_at(words, -1)).isin(NEVER) & (enough | same | in_order(F.when(lead != "", lead).otherwise(term), letters))
 
 
-def _read(text: Column, pattern: str) -> Column:
+def _brackets(text: Column, parts: Column, at: Column, pattern: str) -> Column:
     """The matches of a definition's pattern: the short form and its place, the long form, what stands before, and whether the bracket holds more.
 
     A long form before a bracket is read backwards from it, so its words are looked at once.
     """
 
-    def one(m):
-        part = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), lambda k: F.call_function("regexp_extract", m["text"], F.lit(pattern), k))
-        back = F.reverse(m["before"])
-        outside = F.struct(F.reverse(F.regexp_extract(back, _BACK, 1)).alias("term"), F.length(F.regexp_extract(back, _BACK, 0)).alias("size"))
+    def one(k):
+        part = lambda g: F.regexp_extract(F.get(parts, k), pattern, g)
+        if pattern == BRACKET:
+            back = F.regexp_extract(F.reverse(F.get(parts, k - 1)), _BACK, 0)
+            read = F.struct(F.length(part(1)).alias("front"), part(3).alias("short"), F.reverse(F.regexp_replace(back, r"^\s+", "")).alias("term"), F.length(back).alias("size"), (part(4) != "").alias("extra"))
+        else:
+            read = F.struct(F.length(part(1)).alias("front"), part(3).alias("short"), part(2).alias("term"), F.lit(0).alias("size"), F.lit(False).alias("extra"))
+
+        def told(r):
+            start = F.get(at, k) + r["front"]
+            low = F.greatest(F.get(at, k) - r["size"] - 90, F.lit(0))
+            return F.struct(normal(r["short"]).alias("abbr"), F.trim(r["term"]).alias("term"), start.alias("start"), (start + F.length(r["short"])).alias("stop"), F.substring(text, low + 1, start - low).alias("lead"), r["extra"].alias("extra"))
 
-        def told(g, o):
-            at = m["start"] + F.length(g[0])
-            low = F.greatest(m["start"] - o["size"] - 90, F.lit(0))
-            return F.struct(normal(g[2]).alias("abbr"), F.trim(F.when(g[1] != "", g[1]).otherwise(o["term"])).alias("term"), at.alias("start"), (at + F.length(g[2])).alias("stop"), F.substring(text, low + 1, at - low).alias("lead"), (g[3] != "").alias("extra"))
+        return let(read, told)
 
-        none = F.struct(F.lit("").alias("term"), F.lit(0).alias("size"))
-        return let(part, lambda g: let(F.when(g[1] == "", outside).otherwise(none), lambda o: told(g, o)))
+    return F.filter(F.transform(_places_of(parts), one), lambda d: d["term"] != "")
 
-    return F.filter(F.transform(spans(text, pattern), one), lambda d: d["term"] != "")
 
+def _places_of(parts: Column) -> Column:
+    """Where the matches are among the pieces."""
+    return F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
 
-def _told(text: Column) -> Column:
+
+def _told(*found: Column) -> Column:
     """A paragraph's definitions: those that can be one, and with more in the bracket only where the initials agree."""
 
     def full(d):
         return let(letters_of(d["abbr"]), lambda ls: F.struct(d["abbr"].alias("abbr"), d["term"].alias("term"), d["start"].alias("start"), d["stop"].alias("stop"), d["lead"].alias("lead"), d["extra"].alias("extra"), expansion(d["term"], ls).alias("expansion"), _plausible(d["abbr"], d["term"], d["lead"], ls).alias("can")))
 
-    return F.filter(F.transform(F.concat(_read(text, BRACKET), _read(text, INSIDE)), full), lambda d: d["can"] & (~d["extra"] | d["expansion"].isNotNull()))
+    return F.filter(F.transform(F.concat(*found), full), lambda d: d["can"] & (~d["extra"] | d["expansion"].isNotNull()))
 
 
 _TOLD = "array<struct<abbr:string,term:string,start:int,stop:int,lead:string,extra:boolean,expansion:string,can:boolean>>"
+_ENTRY = "array<struct<kind:string,abbr:string,start:int,expansion:string,term:string,lead:string>>"
+
 
+def _used(parts: Column, at: Column, told: Column, run: int = 64) -> Column:
+    """A paragraph's uses as they are written: not in quotes and not in a definition's brackets.
 
-def _used(text: Column, told: Column) -> Column:
-    """A paragraph's uses: not in quotes and not in a definition's brackets."""
+    The sides of a use are the ends of the pieces beside it.  Uses are taken in runs, each with the definitions that reach into it.
+    """
+    last = F.size(parts) - 2
+
+    def keep(near):
+        def one(k):
+            before, after = F.get(parts, k - 1), F.get(parts, k + 1)
+            # an empty piece between two uses is no end of the text
+            quoted = F.right(before, F.lit(1)).isin("'", "‘", "“", '"') & (F.left(after, F.lit(1)).isin("'", "’", "”", '"') | ((after == "") & (k == last)))
+            return ~quoted & ~F.exists(near, lambda d: (F.get(at, k) < d["stop"]) & (F.get(at, k + 1) > d["start"]))
 
-    def keep(u):
-        stop = u["start"] + F.length(u["text"])
-        quoted = F.substring(text, u["start"], F.lit(1)).isin("'", "‘", "“", '"', "") & F.substring(text, stop + 1, F.lit(1)).isin("'", "’", "”", '"', "")
-        return ~quoted & ~F.exists(told, lambda d: (u["start"] < d["stop"]) & (stop > d["start"]))
+        return one
 
-    rows = F.transform(F.filter(spans(text, USE), keep), lambda u: F.struct(normal(u["text"]).alias("abbr"), u["start"].alias("start")))
-    return F.filter(rows, lambda u: (F.length(u["abbr"]) >= 2) & ~F.upper(u["abbr"]).isin(NEVER))
+    entry = lambda k: F.struct(F.lit("u").alias("kind"), F.get(parts, k).alias("abbr"), F.get(at, k).alias("start"), *[F.lit(None).cast("string").alias(n) for n in ("expansion", "term", "lead")])
+    all_ = _places_of(parts)
+    within = lambda ks: F.filter(told, lambda d: (F.get(at, F.get(ks, 0)) < d["stop"]) & (F.get(at, F.get(ks, F.size(ks) - 1) + 1) > d["start"]))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / (2 * run)).cast("int")), lambda n: F.slice(all_, n * run + 1, F.lit(run)))
+    long_ = F.flatten(F.transform(runs, lambda ks: let(within(ks), lambda near: F.filter(ks, keep(near)))))
+    return F.transform(F.when(last < 2 * run, F.filter(all_, keep(told))).otherwise(long_), entry)
 
 
 def read(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, idx, zone, kind, abbr, start, expansion, term, lead): a row for each definition (kind d) and use (kind u) of a paragraph.
+    """(doc_id, idx, zone, kind, abbr, start, expansion, term, lead): a row for each definition (kind d), use (kind u) and vendor (kind v) of a paragraph.
 
-    expansion is null where the initials don't agree; a use has neither term nor lead.  Paragraphs outside the zones, headings and blanks have none.
+    expansion is null where the initials don't agree; a use has neither term nor lead.  Paragraphs outside the zones, headings and blanks have neither
+    definitions nor uses; a vendor, of any paragraph, has nothing but its name.  Texts are read once, and each pattern runs over them once.
     """
-    rows = paragraphs.where(~F.coalesce("is_heading", F.lit(False)) & F.col("text").rlike(USE)).withColumn("zone", zone()).where("zone is not null")
-    text, no = F.col("text"), F.lit(None).cast("string")
-
-    def both(told):
-        made = F.transform(told, lambda d: F.struct(F.lit("d").alias("kind"), d["abbr"].alias("abbr"), d["start"].alias("start"), d["expansion"].alias("expansion"), d["term"].alias("term"), d["lead"].alias("lead")))
-        return F.concat(made, F.transform(_used(text, told), lambda u: F.struct(F.lit("u").alias("kind"), u["abbr"].alias("abbr"), u["start"].alias("start"), no.alias("expansion"), no.alias("term"), no.alias("lead"))))
-
-    told = F.when(text.rlike(r"[(\[]"), _told(text)).otherwise(F.array().cast(_TOLD))
-    return rows.select("doc_id", "idx", "zone", F.explode(let(told, both)).alias("e")).select("doc_id", "idx", "zone", "e.*")
+    text, no = F.col("text"), F.lit(None)
+    rows = paragraphs.where(text.rlike(_CAPITALS)).select("doc_id", "idx", "text", unmarked(text).alias("clean"), F.when(~F.coalesce("is_heading", F.lit(False)), zone()).alias("zone"))
+    clean, body, open_ = F.col("clean"), F.col("zone").isNotNull(), text.rlike(r"[(\[]")
+    cut = rows.select("*", F.when(body, pieces(clean, USE)).alias("u"), F.when(body & open_, pieces(clean, BRACKET)).alias("b"), F.when(body & open_, pieces(clean, _INSIDE)).alias("i"), F.when(text.rlike(VENDOR), F.regexp_extract_all(text, F.lit(VENDOR), F.lit(1))).alias("v"))
+    set_ = cut.select("*", *[places(F.col(n)).alias(f"{n}_at") for n in "ubi"])
+    told = F.when(F.size("b") + F.size("i") > 2, _told(_brackets(text, F.col("b"), F.col("b_at"), BRACKET), _brackets(text, F.col("i"), F.col("i_at"), _INSIDE)))
+    known = set_.select("doc_id", "idx", "zone", "u", "u_at", "v", F.coalesce(told, F.array().cast(_TOLD)).alias("told"))
+    empty = F.array().cast(_ENTRY)
+    made = F.transform("told", lambda d: F.struct(F.lit("d").alias("kind"), d["abbr"].alias("abbr"), d["start"].alias("start"), d["expansion"].alias("expansion"), d["term"].alias("term"), d["lead"].alias("lead")))
+    used = F.when(F.size("u") > 1, _used(F.col("u"), F.col("u_at"), F.col("told")))
+    sold = F.transform("v", lambda v: F.struct(F.lit("v").alias("kind"), v.alias("abbr"), no.cast("int").alias("start"), *[no.cast("string").alias(n) for n in ("expansion", "term", "lead")]))
+    each = known.select("doc_id", "idx", "zone", F.explode(F.concat(made, F.coalesce(used, empty), F.coalesce(sold, empty))).alias("e")).select("doc_id", "idx", "zone", "e.*")
+    use = F.col("kind") == "u"
+    named = each.withColumn("abbr", F.when(use, normal(F.col("abbr"))).otherwise(F.col("abbr")))
+    # a use has two capitals at least, so it is long enough
+    return named.where(~use | ~F.upper("abbr").isin(NEVER))
 
 
 def definitions(found: DataFrame) -> DataFrame:
@@ -164,31 +200,26 @@ def uses(found: DataFrame) -> DataFrame:
     return found.where("kind = 'u'").select("doc_id", "idx", "zone", "abbr", "start")
 
 
-def vendors(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, abbr): capitals that a bracket names with a place after them, as in "(QIAGEN, Germany)", in any section."""
-    text = F.col("text")
-    named = F.filter(spans(text, r"(?<![\p{L}\p{N}_])[A-Z]{3,8}(?![\p{L}\p{N}_])"), lambda m: F.left(text, m["start"]).rlike(r"[(,]\s*$") & F.substring(text, m["start"] + F.length(m["text"]) + 1, F.lit(120)).rlike(r"^\s*,\s*[^)]{2,45}\)"))
-    return paragraphs.where(text.rlike(r"[(,]\s*[A-Z]{3,8}\s*,[^)]*\)")).select("doc_id", F.explode(F.transform(named, lambda m: m["text"])).alias("abbr")).distinct()
+def vendors(found: DataFrame) -> DataFrame:
+    """(doc_id, abbr) of `read`: capitals that a bracket names with a place after them, as in "(QIAGEN, Germany)", in any section."""
+    return found.where("kind = 'v'").select("doc_id", "abbr").distinct()
 
 
 def terms(paragraphs: DataFrame, found: DataFrame, standard: Iterable[str] = tuple(STANDARD)) -> DataFrame:
     """One row for each short form of a document: what its definitions, uses and vendors' brackets say, and whether it is exempt.
 
-    found: of `read` over the paragraphs.  (doc_id, abbr, free, sure, first, last, used, n_used, defined, vendor): free is false for standard short forms and for
-    names of organisations (by the words before a definition); sure holds the definitions whose initials agree, in order; first and last are the
-    places of the first and last definition, used that of the first use.  Definitions, uses and vendors are read in one pass and grouped once.
+    found: of `read` over the paragraphs, which aren't read again.  (doc_id, abbr, common, named, sure, first, last, used, n_used, vendor): common is false for
+    standard short forms; named says whether a definition's words are those of an organisation; sure holds the definitions whose initials agree, in order;
+    first and last are the places of the first and last definition, used that of the first use.  All of it is grouped once.
     """
-    no = lambda kind: F.lit(None).cast(kind)
-    named = F.col("kind").eqNullSafe("d") & F.concat_ws(" ", "lead", "term").rlike(ORGANISATION)
+    named = F.col("kind").eqNullSafe("d") & F.concat_ws(" ", "lead", "term").rlike(_ORGANISATION)
     each = found.select("doc_id", "abbr", "kind", "idx", "start", "zone", "expansion", named.alias("named"))
-    sold = vendors(paragraphs).select("doc_id", "abbr", F.lit("v").alias("kind"), no("int").alias("idx"), no("int").alias("start"), no("string").alias("zone"), no("string").alias("expansion"), F.lit(False).alias("named"))
     at, of = F.struct("idx", "start"), lambda kind: F.col("kind") == kind
-    per = each.unionByName(sold).groupBy("doc_id", "abbr").agg(
+    per = each.groupBy("doc_id", "abbr").agg(
         F.array_sort(F.collect_list(F.when(of("d") & F.col("expansion").isNotNull(), F.struct("idx", "start", "zone", "expansion")))).alias("sure"),  # of one short form in one document
         F.min(F.when(of("d"), at)).alias("first"), F.max(F.when(of("d"), at)).alias("last"), F.min(F.when(of("u"), at)).alias("used"), F.count_if(of("u")).alias("n_used"), F.bool_or("named").alias("named"), F.bool_or(of("v")).alias("vendor"),
     )
-    known = F.array(*[F.lit(x.upper()) for x in sorted(set(standard))])
-    return per.select("doc_id", "abbr", (~F.array_contains(known, F.upper("abbr"))).alias("common"), "named", "sure", "first", "last", "used", "n_used", "vendor")
+    return per.select("doc_id", "abbr", (~F.upper("abbr").isin([x.upper() for x in sorted(set(standard))])).alias("common"), "named", "sure", "first", "last", "used", "n_used", "vendor")
 
 
 def issues(per: DataFrame, listed: int = 8) -> DataFrame:
